@@ -1,0 +1,165 @@
+"""Per-group geometry assembly helpers (grouped pandas; inputs already reduced by Spark).
+
+Spark does the heavy part -- edge cancellation, noding on sheet lines and
+end-point degrees -- so each group arrives here as just the boundary edges
+of its merged polygon, or the paths of an accepted line group.  What is left
+is ordering those pieces into rings / one path, which is inherently per
+output feature.
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+
+RING_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
+PATH_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
+
+
+def _signed_area(ring) -> float:
+    a = 0.0
+    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
+        a += x1 * y2 - x2 * y1
+    return a / 2.0
+
+
+def _rotate_min(ring):
+    body = ring[:-1]
+    i = min(range(len(body)), key=lambda k: body[k])
+    body = body[i:] + body[:i]
+    return body + [body[0]]
+
+
+def _point_in_ring(pt, ring) -> bool:
+    x, y = pt
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            inside = not inside
+    return inside
+
+
+def _angle(frm, to) -> float:
+    return math.atan2(to[1] - frm[1], to[0] - frm[0])
+
+
+def build_rings(x1, y1, x2, y2) -> list[list[tuple]]:
+    """Chain undirected boundary edges into closed rings (turning right-most at shared vertices)."""
+    adj: dict = {}
+    edges = []
+    for i, (a, b) in enumerate(zip(zip(x1, y1), zip(x2, y2))):
+        edges.append((a, b))
+        adj.setdefault(a, []).append(i)
+        adj.setdefault(b, []).append(i)
+    used = [False] * len(edges)
+    rings = []
+    for s in range(len(edges)):
+        if used[s]:
+            continue
+        used[s] = True
+        start, cur = edges[s]
+        prev = start
+        ring = [start, cur]
+        while cur != start:
+            cands = [i for i in adj[cur] if not used[i]]
+            if not cands:
+                break
+            if len(cands) > 1:
+                back = _angle(cur, prev)
+
+                def turn(i):
+                    a, b = edges[i]
+                    nxt = b if a == cur else a
+                    d = (_angle(cur, nxt) - back) % (2 * math.pi)
+                    return d if d > 1e-12 else 2 * math.pi
+
+                cands.sort(key=turn)
+            i = cands[0]
+            used[i] = True
+            a, b = edges[i]
+            nxt = b if a == cur else a
+            prev, cur = cur, nxt
+            ring.append(cur)
+        if len(ring) >= 4 and ring[0] == ring[-1]:
+            rings.append(ring)
+    return rings
+
+
+def rings_to_polygons(rings) -> list[list[list[tuple]]]:
+    """Shells (counter-clockwise) with their holes (clockwise); nesting by point-in-ring."""
+    rings = sorted(rings, key=lambda r: -abs(_signed_area(r)))
+    polys: list[list] = []
+    for r in rings:
+        probe = ((r[0][0] + r[1][0]) / 2.0, (r[0][1] + r[1][1]) / 2.0)
+        owner = None
+        for p in reversed(polys):
+            if _point_in_ring(probe, p[0]) and not any(_point_in_ring(probe, h) for h in p[1:]):
+                owner = p
+                break
+        r = _rotate_min(r)
+        if owner is None:
+            polys.append([r if _signed_area(r) > 0 else [r[0]] + r[-2:0:-1] + [r[0]]])
+        else:
+            owner.append(r if _signed_area(r) < 0 else [r[0]] + r[-2:0:-1] + [r[0]])
+    return polys
+
+
+def assemble_polygons(pdf: pd.DataFrame) -> pd.DataFrame:
+    comp = int(pdf["comp"].iloc[0])
+    rings = build_rings(pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist())
+    polys = rings_to_polygons(rings)
+    coords = [[[[float(x), float(y)] for x, y in ring] for ring in poly] for poly in polys]
+    gtype = "POLYGON" if len(polys) == 1 else "MULTIPOLYGON"
+    return pd.DataFrame({"comp": [comp], "gtype": [gtype], "coords": [coords]})
+
+
+def chain_paths(paths: list[list[tuple]]) -> list[list[tuple]]:
+    """Sew paths at end points shared by exactly two path ends (line merge)."""
+    ends: dict = {}
+    for i, p in enumerate(paths):
+        ends.setdefault(p[0], []).append(i)
+        ends.setdefault(p[-1], []).append(i)
+    used = [False] * len(paths)
+    out = []
+
+    def extend(seq, at):
+        while True:
+            nxt = [i for i in ends.get(at, []) if not used[i]]
+            if len(ends.get(at, [])) != 2 or not nxt:
+                return seq
+            i = nxt[0]
+            used[i] = True
+            p = paths[i] if paths[i][0] == at else paths[i][::-1]
+            seq = seq + p[1:]
+            at = seq[-1]
+
+    # open chains first, starting at their smaller free end
+    starts = sorted(
+        [(pt, i) for pt, ids in ends.items() if len(ids) != 2 for i in ids],
+    )
+    for pt, i in starts:
+        if used[i]:
+            continue
+        used[i] = True
+        p = paths[i] if paths[i][0] == pt else paths[i][::-1]
+        out.append(extend(list(p), p[-1]))
+    # what is left are closed loops
+    for i in range(len(paths)):
+        if used[i]:
+            continue
+        used[i] = True
+        p = list(paths[i])
+        out.append(extend(p, p[-1]))
+    return out
+
+
+def assemble_lines(pdf: pd.DataFrame) -> pd.DataFrame:
+    comp = int(pdf["comp"].iloc[0])
+    paths = [[(float(c[0]), float(c[1])) for c in path] for path in pdf["path"]]
+    merged = chain_paths(paths)
+    coords = [[[[x, y] for x, y in m]] for m in merged]
+    gtype = "LINESTRING" if len(merged) == 1 else "MULTILINESTRING"
+    return pd.DataFrame({"comp": [comp], "gtype": [gtype], "coords": [coords]})
+
+

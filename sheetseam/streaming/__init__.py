@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference is a batch tool: it has no watermark, time window, stateful
+operator or late-data rule.  State across runs (the associations log) is
+handled by :mod:`sheetseam.operators.ids` as append-only batch tables.
+"""
