@@ -39,7 +39,9 @@ def detect_key(df: DataFrame) -> DataFrame:
     per_col = long.groupBy("i", "v").count().groupBy("i").agg(F.max("count").alias("mx"))
     names = F.array(*[F.lit(c) for c in cols])
     first = per_col.filter(F.col("mx") == 1).agg(F.min("i").alias("i"))
-    return first.select(F.coalesce(F.element_at(names, F.col("i") + 1), F.lit(KEY_FALLBACK_NAME)).alias("key_column"))
+    # element_at over a literal array must not see a NULL index (it folds to the last element)
+    pick = F.when(F.col("i").isNull(), F.lit(KEY_FALLBACK_NAME)).otherwise(F.element_at(names, F.col("i") + 1))
+    return first.select(pick.alias("key_column"))
 
 
 def detect_key_name(df: DataFrame) -> str:

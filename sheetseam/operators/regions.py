@@ -126,9 +126,9 @@ def region_membership(regions: DataFrame, geom: str = "geom") -> Column:
     return F.sort_array(F.transform(F.filter(F.array(*structs), hit), lambda r: r["region"]))
 
 
-def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom") -> DataFrame:
-    """Long form ``(key, region)``; features outside every region produce no row."""
-    return layer.select(key, F.explode(region_membership(regions, geom)).alias("region"))
+def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:
+    """Long form ``(extra..., key, region)``; features outside every region produce no row."""
+    return layer.select(*extra, key, F.explode(region_membership(regions, geom)).alias("region"))
 
 
 def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom") -> DataFrame:
