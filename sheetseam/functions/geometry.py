@@ -39,30 +39,59 @@ def vertices(geom="geom") -> Column:
     return F.flatten(F.flatten(_c(geom)["parts"]))
 
 
+def xs(geom="geom") -> Column:
+    """All x ordinates (struct-field extraction over the array: no lambda, code-generated)."""
+    return vertices(geom)["x"]
+
+
+def ys(geom="geom") -> Column:
+    return vertices(geom)["y"]
+
+
 def xmin(geom="geom") -> Column:
-    return F.array_min(F.transform(vertices(geom), lambda p: p["x"]))
+    return F.array_min(xs(geom))
 
 
 def xmax(geom="geom") -> Column:
-    return F.array_max(F.transform(vertices(geom), lambda p: p["x"]))
+    return F.array_max(xs(geom))
 
 
 def ymin(geom="geom") -> Column:
-    return F.array_min(F.transform(vertices(geom), lambda p: p["y"]))
+    return F.array_min(ys(geom))
 
 
 def ymax(geom="geom") -> Column:
-    return F.array_max(F.transform(vertices(geom), lambda p: p["y"]))
+    return F.array_max(ys(geom))
+
+
+def snap_value(v: Column, grid: float = SNAP_GRID) -> Column:
+    """One ordinate snapped like ``st_snaptogrid``; monotone, so the bbox of a snapped
+    geometry is the snapped bbox."""
+    g = F.lit(grid)
+    return F.rint(v / g) * g
 
 
 def round_numeric(value: Column, digits: int) -> Column:
-    """Round like PostgreSQL ``round(v::numeric, d)``: decimal, half away from zero."""
-    return F.round(value.cast("decimal(38,12)"), digits)
+    """Round like PostgreSQL ``round(v::numeric, d)``: decimal, half away from zero.
+
+    PostgreSQL turns a float8 into numeric with 15 significant digits (8 decimals for the
+    7-digit eastings/northings of projected metres); ``decimal(18,8)`` does the same and stays
+    long-backed, so the arithmetic is code-generated instead of ``BigDecimal`` (|v| < 1e10).
+    """
+    return F.round(value.cast("decimal(18,8)"), digits)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    Referring to an outer array expression inside a lambda re-evaluates it for every element;
+    binding it first keeps such expressions linear."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _dedupe_path(path: Column) -> Column:
     # drop a vertex equal to its predecessor
-    return F.filter(path, lambda p, i: (i == 0) | (p != F.element_at(path, i)))
+    return let(path, lambda s: F.filter(s, lambda p, i: (i == 0) | (p != F.element_at(s, i))))
 
 
 def snap(geom="geom", grid: float = SNAP_GRID) -> Column:
@@ -205,9 +234,9 @@ def path_endpoints(geom="geom") -> Column:
     """Boundary points by the mod-2 rule: path ends occurring an odd number of times."""
     paths = F.flatten(_c(geom)["parts"])
     ends = F.flatten(F.transform(paths, lambda p: F.array(F.element_at(p, 1), F.element_at(p, -1))))
-    return F.filter(
-        F.array_distinct(ends),
-        lambda e: F.size(F.filter(ends, lambda o: o == e)) % 2 == 1,
+    return let(
+        ends,
+        lambda es: F.filter(F.array_distinct(es), lambda e: F.size(F.filter(es, lambda o: o == e)) % 2 == 1),
     )
 
 

@@ -40,9 +40,11 @@ def _c(col) -> Column:
 
 
 def _on_grid(v: Column, base: int, step: int, lo: int, hi: int) -> Column:
-    d = v - F.lit(base)
-    q = (d - d % F.lit(step)) / F.lit(step)  # exact: truncating division of a decimal
-    return (d % F.lit(step) == 0) & (q > lo) & (q < hi)
+    # only an integral value can be on the grid; then all arithmetic is on longs
+    iv = v.cast("long")
+    d = iv - F.lit(base)
+    q = (d - d % F.lit(step)) / F.lit(step)  # exact: d is a multiple of step when it matters
+    return (v == iv) & (d % F.lit(step) == 0) & (q > lo) & (q < hi)
 
 
 def on_northsouth(v) -> Column:

@@ -163,3 +163,55 @@ def assemble_lines(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"comp": [comp], "gtype": [gtype], "coords": [coords]})
 
 
+
+
+def _grouped_batches(batches, key: str = "comp"):
+    """Yield ``(comp, frame)`` from batches of rows sorted by ``key`` within the partition;
+    a group cut by a batch boundary is carried into the next batch."""
+    carry = None
+    for pdf in batches:
+        if carry is not None and len(carry):
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+            carry = None
+        if not len(pdf):
+            continue
+        keys = pdf[key].to_numpy()
+        cuts = [0] + [i + 1 for i in range(len(keys) - 1) if keys[i] != keys[i + 1]] + [len(keys)]
+        last = cuts[-2]
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield int(keys[a]), pdf.iloc[a:b]
+        carry = pdf.iloc[last:]
+    if carry is not None and len(carry):
+        yield int(carry[key].iloc[0]), carry
+
+
+def polygons_from_edge_batches(batches):
+    """``mapInPandas`` body: rows ``(comp, x1, y1, x2, y2)`` sorted by comp -> one polygon per comp."""
+    out_c, out_t, out_g = [], [], []
+    for comp, g in _grouped_batches(batches):
+        rings = build_rings(g["x1"].tolist(), g["y1"].tolist(), g["x2"].tolist(), g["y2"].tolist())
+        polys = rings_to_polygons(rings)
+        out_c.append(comp)
+        out_t.append("POLYGON" if len(polys) == 1 else "MULTIPOLYGON")
+        out_g.append([[[[float(x), float(y)] for x, y in ring] for ring in poly] for poly in polys])
+        if len(out_c) >= 2048:
+            yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
+            out_c, out_t, out_g = [], [], []
+    if out_c:
+        yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
+
+
+def lines_from_path_batches(batches):
+    """``mapInPandas`` body: rows ``(comp, path)`` sorted by comp -> merged line(s) per comp."""
+    out_c, out_t, out_g = [], [], []
+    for comp, g in _grouped_batches(batches):
+        paths = [[(float(c[0]), float(c[1])) for c in path] for path in g["path"]]
+        merged = chain_paths(paths)
+        out_c.append(comp)
+        out_t.append("LINESTRING" if len(merged) == 1 else "MULTILINESTRING")
+        out_g.append([[[[x, y] for x, y in m]] for m in merged])
+        if len(out_c) >= 2048:
+            yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
+            out_c, out_t, out_g = [], [], []
+    if out_c:
+        yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})

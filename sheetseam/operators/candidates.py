@@ -3,7 +3,8 @@
 The reference joins every feature with every other under an OR of two face
 conditions.  Here each feature is turned into *face rows* (its high face --
 north or east -- and its low face -- south or west), and high faces are
-equi-joined to low faces on ``(region, rounded value, attributes, bucket)``.
+equi-joined to low faces on ``(rounded value, attributes, bucket)``; a common crop region is a filter on
+the region bitmasks.
 ``bucket`` cuts the face line into fixed-width stretches so that a hot
 ``(value, attributes)`` key is spread over many tasks and only features whose
 faces overlap along the line meet; a pair is emitted once, in the bucket that
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.functions import grid
+from sheetseam.session import big_join, materialize
 
-# Width of a bucket along a sheet line (metres).
-BUCKET = 2000.0
+# Width of a bucket along a sheet line (metres): half a standard sheet width, so a full-width
+# face spans three buckets while one bucket still holds only the features along 12 km of a line.
+BUCKET = 12000.0
 
 
 @dataclass(frozen=True)
@@ -62,16 +65,18 @@ EW = PassSpec("ew")
 
 
 def with_bbox(layer: DataFrame, is_poly: bool, geom: str = "geom") -> DataFrame:
-    """Add ``stg`` (matching geometry: snapped for polygons), exact bbox and rounded ``nv,sv,ev,wv``."""
-    stg = G.snap(geom) if is_poly else F.col(geom)
+    """Add exact bbox of the matching geometry (snapped for polygons) and rounded ``nv,sv,ev,wv``.
+
+    Snapping is monotone, so the snapped bbox is the bbox snapped: no per-vertex work here.
+    """
     digits = 0 if is_poly else 2
-    df = layer.withColumn("stg", stg)
-    df = df.withColumns(
+    sv = G.snap_value if is_poly else (lambda c: c)
+    df = layer.withColumns(
         {
-            "ymax_x": G.ymax("stg"),
-            "ymin_x": G.ymin("stg"),
-            "xmax_x": G.xmax("stg"),
-            "xmin_x": G.xmin("stg"),
+            "ymax_x": sv(G.ymax(geom)),
+            "ymin_x": sv(G.ymin(geom)),
+            "xmax_x": sv(G.xmax(geom)),
+            "xmin_x": sv(G.xmin(geom)),
         }
     )
     return df.withColumns(
@@ -89,8 +94,10 @@ def with_flags(df: DataFrame) -> DataFrame:
 
 
 def boundary_candidates(layer: DataFrame, is_poly: bool, spec: PassSpec, geom: str = "geom") -> DataFrame:
-    """Features whose bbox edge lies on a known sheet boundary for this pass."""
-    return with_flags(with_bbox(layer, is_poly, geom)).filter(spec.filter())
+    """Features whose bbox edge lies on a known sheet boundary for this pass, with ``stg``
+    (the matching geometry: snapped for polygons) computed for the survivors only."""
+    df = with_flags(with_bbox(layer, is_poly, geom)).filter(spec.filter())
+    return df.withColumn("stg", G.snap(geom) if is_poly else F.col(geom))
 
 
 def _face_rows(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, high: bool) -> DataFrame:
@@ -118,31 +125,30 @@ def _face_rows(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: P
     out = df.filter(F.col(fcol)).select(*[c.alias(n) for n, c in cols.items()], *attrs)
     b0 = F.floor(F.col("lo") / BUCKET).cast("long")
     b1 = F.floor(F.col("hi") / BUCKET).cast("long")
-    return out.withColumn("bucket", F.explode(F.sequence(b0, b1))).withColumn("region", F.explode("regions"))
+    return out.withColumn("bucket", F.explode(F.sequence(b0, b1)))
 
 
 def face_join(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, match_attrs: bool = True) -> DataFrame:
     """Candidate pairs: high face of ``h`` on the same line as low face of ``l``.
 
-    One row per unordered pair (and common region), with both sides' face data.
+    One row per unordered pair, with both sides' face data.
     """
     h = _face_rows(df, key, attrs, is_poly, spec, high=True).alias("h")
     lo = _face_rows(df, key, attrs, is_poly, spec, high=False).alias("l")
     cond = [
-        F.col("h.region") == F.col("l.region"),
         F.col("h.v") == F.col("l.v"),
         F.col("h.bucket") == F.col("l.bucket"),
     ]
     if match_attrs:
         cond += [F.col(f"h.{a}").eqNullSafe(F.col(f"l.{a}")) for a in attrs]
-    j = h.join(lo, cond, "inner").filter(
+    j = big_join(h, lo, cond, "inner").filter(
         (F.col("h.k") != F.col("l.k"))
         & (F.col("h.lo") <= F.col("l.hi"))
         & (F.col("l.lo") <= F.col("h.hi"))
         # emit a pair once: in the bucket holding the start of the overlap ...
         & (F.floor(F.greatest(F.col("h.lo"), F.col("l.lo")) / BUCKET).cast("long") == F.col("h.bucket"))
-        # ... and in the first region both sides belong to
-        & (F.col("h.region") == F.array_min(F.array_intersect(F.col("h.regions"), F.col("l.regions"))))
+        # a pair needs a crop region in common
+        & (F.col("h.regions").bitwiseAND(F.col("l.regions")) != 0)
     )
     return j
 
@@ -184,11 +190,16 @@ def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec:
         F.least("h.k", "l.k").alias("drop_id"),
         fast_ok.alias("fast_ok"),
         slow.alias("slow"),
-    )
+    ).filter("fast_ok or slow")
+    # the candidate pairs are few (features meeting across a line): materialise them, and run
+    # the exact per-pair check only when some pair needs it
+    pairs = materialize(pairs, f"candpairs-{spec.name}")
     fast = pairs.filter("fast_ok").select("merge_id", "drop_id")
+    slow_pairs = pairs.filter("slow").select("merge_id", "drop_id")
+    if slow_pairs.limit(1).count() == 0:
+        return fast.distinct()
     from sheetseam.operators import relate
 
-    slow_pairs = pairs.filter("slow").select("merge_id", "drop_id")
     checked = relate.check_slow_pairs(slow_pairs, df, key, is_poly)
     # a pair can match in both orientations only for zero-height faces
     return fast.unionByName(checked).distinct()
@@ -196,5 +207,6 @@ def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec:
 
 def identify(layer: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, geom: str = "geom") -> DataFrame:
     """Pass identification: bbox -> flags -> boundary filter -> face join -> relate."""
-    cand = boundary_candidates(layer, is_poly, spec, geom)
+    # the candidates feed both join sides and the slow path: materialise them once
+    cand = materialize(boundary_candidates(layer, is_poly, spec, geom), f"candidates-{spec.name}")
     return relate_pairs(cand, key, attrs, is_poly, spec)

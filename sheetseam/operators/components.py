@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.functions.arrays import ids_text
-from sheetseam.session import ensure_checkpoint_dir
+from sheetseam.session import big_join, ensure_checkpoint_dir
 
 MAX_ROUNDS = 200
 
@@ -38,21 +38,22 @@ def connected_components(edges: DataFrame, a: str = "merge_id", b: str = "drop_i
     for _ in range(MAX_ROUNDS):
         # propagate: take the smallest label among neighbours
         nb = (
-            e.join(labels.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst")
+            big_join(e, labels.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst")
             .groupBy("src")
             .agg(F.min("c").alias("c"))
         )
-        prop = labels.join(nb.withColumnRenamed("src", "id"), "id", "left").select(
+        prop = big_join(labels, nb.withColumnRenamed("src", "id"), "id", "left").select(
             "id", F.least("comp", F.coalesce("c", "comp")).alias("comp")
         )
         # jump: a label is an id too; take its label
-        jumped = prop.alias("p").join(
+        jumped = big_join(
+            prop.alias("p"),
             prop.select(F.col("id").alias("lid"), F.col("comp").alias("lcomp")).alias("q"),
             F.col("p.comp") == F.col("q.lid"),
             "left",
         ).select("id", F.least("comp", F.coalesce("lcomp", "comp")).alias("comp"))
         nxt = (
-            jumped.join(labels.withColumnRenamed("comp", "old"), "id")
+            big_join(jumped, labels.withColumnRenamed("comp", "old"), "id")
             .select("id", "comp", (F.col("comp") != F.col("old")).alias("changed"))
             .checkpoint()
         )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.schemas import ASSOCIATIONS_SCHEMA, COLLISION_MSG, FINAL_ID_START, REPORT_SCHEMA
+from sheetseam.session import big_join
 
 
 def empty_associations(spark) -> DataFrame:
@@ -69,7 +70,7 @@ def assign_final_ids(
         jk = (comps["_comps"] == found["comps"]) & (comps["layer"] == found["layer"])
     else:
         jk = comps["_comps"] == found["comps"]
-    looked = comps.join(found, jk, "left").drop("comps", "layer")
+    looked = big_join(comps, found, jk, "left").drop("comps", "layer")
     start_row = assoc.agg(F.max("ufid").alias("m")).collect()[0]["m"]
     start = max(FINAL_ID_START, (int(start_row) + 1) if start_row is not None else FINAL_ID_START)
     fresh = looked.filter(F.col("found").isNull()).withColumn("_first", F.element_at("_comps", 1))

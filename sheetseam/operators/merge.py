@@ -21,6 +21,7 @@ from sheetseam.functions import geometry as G
 from sheetseam.operators import assemble
 from sheetseam.operators.components import connected_components
 from sheetseam.schemas import BOUNDARY_ERROR_MSG, GEOM_DDL, MULTI_TYPES
+from sheetseam.session import big_join
 
 OPS = ("collect", "union", "linemerge")
 
@@ -57,6 +58,13 @@ def _norm_edges(g: DataFrame) -> DataFrame:
     ).filter((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
 
 
+def _by_group(df: DataFrame) -> DataFrame:
+    """Co-locate each group's rows and sort them, so one Python call handles many groups
+    per Arrow batch (instead of one call per group)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "comp").sortWithinPartitions("comp")
+
+
 def dissolve_edges(members: DataFrame) -> DataFrame:
     """Boundary edges of the union of each group: ``(comp, x1, y1, x2, y2)``."""
     g = members.select("comp", G.snap("geom").alias("g"))
@@ -99,8 +107,8 @@ def dissolve_edges(members: DataFrame) -> DataFrame:
 
 def dissolve_polygons(members: DataFrame) -> DataFrame:
     """``(comp, geom)``: union of each group's polygons (POLYGON, or MULTIPOLYGON if it falls apart)."""
-    edges = dissolve_edges(members)
-    out = edges.groupBy("comp").applyInPandas(assemble.assemble_polygons, assemble.RING_SCHEMA)
+    edges = _by_group(dissolve_edges(members))
+    out = edges.mapInPandas(assemble.polygons_from_edge_batches, assemble.RING_SCHEMA)
     return out.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
 
 
@@ -118,10 +126,10 @@ def merge_lines(members: DataFrame) -> DataFrame:
     deg = line_degrees(members)
     ok = deg.filter(F.col("max_degree") <= 2).select("comp")
     bad = deg.filter(F.col("max_degree") > 2).select("comp")
-    paths = members.join(ok, "comp").select(
+    paths = big_join(members, ok, "comp").select(
         "comp", F.explode(F.flatten(G.snap("geom")["parts"])).alias("p")
     ).select("comp", F.transform("p", lambda c: F.array(c["x"], c["y"])).alias("path"))
-    merged = paths.groupBy("comp").applyInPandas(assemble.assemble_lines, assemble.PATH_SCHEMA)
+    merged = _by_group(paths).mapInPandas(assemble.lines_from_path_batches, assemble.PATH_SCHEMA)
     merged = merged.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
     # rejected: no assembly needed, the members go back unmerged
     rejected = bad.select("comp", F.struct(F.lit("MULTILINESTRING").alias("gtype"), F.lit(None).cast(GEOM_DDL)["parts"].alias("parts")).alias("geom"))
@@ -156,14 +164,14 @@ def merge_pass(
     cols = layer.columns
     memb = connected_components(pairs)  # id, comp
     ids = memb.select(F.col("id").alias(key))
-    unmerged = layer.join(ids, key, "left_anti")
-    members = layer.join(memb.withColumnRenamed("id", key), key)
+    unmerged = big_join(layer, ids, key, "left_anti")
+    members = big_join(layer, memb.withColumnRenamed("id", key), key)
 
     agg = members.groupBy("comp").agg(
         F.max("ogc_fid").alias("ogc_fid"),
         *[F.first(a).alias(a) for a in attrs],
         F.sort_array(F.flatten(F.collect_list("ufid_components"))).alias("ufid_components"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("regions")))).alias("regions"),
+        F.bit_or("regions").alias("regions"),
     )
     if op == "union":
         geoms = dissolve_polygons(members)
@@ -171,14 +179,14 @@ def merge_pass(
         geoms = merge_lines(members)
     else:
         geoms = collect_geometry(members)
-    merged = agg.join(geoms, "comp")
+    merged = big_join(agg, geoms, "comp")
     accepted_flag = ~F.col("geom.gtype").isin(*MULTI_TYPES)
     merged = merged.withColumn("accepted", accepted_flag)
     groups = merged.select("comp", "accepted", F.col("geom.gtype").alias("gtype"))
 
     ok = merged.filter("accepted").withColumn(key, F.col("comp")).select(*cols)
     rejected = groups.filter(~F.col("accepted")).select("comp")
-    fallback_rows = members.join(rejected, "comp")
+    fallback_rows = big_join(members, rejected, "comp")
     fallback = fallback_rows.select(*cols)
     report = fallback_rows.select(F.col(key).cast("long").alias("ref"), F.lit(BOUNDARY_ERROR_MSG.format(table=table)).alias("msg"))
     return MergeResult(unmerged.unionByName(ok).unionByName(fallback), report, groups, memb)

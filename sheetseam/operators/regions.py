@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 
-MAX_REGIONS = 10_000
+MAX_REGIONS = 63  # one bit per region in a long mask
 MAX_REGION_VERTICES = 200_000
 
 
@@ -62,18 +62,22 @@ def _ring_edges(v: Column) -> Column:
 
 
 def intersects(fv: Column, fe: Column, f_is_poly: Column, rv: Column, re: Column) -> Column:
-    return (
-        F.exists(fv, lambda p: point_in_polygon(p, re))
-        | (f_is_poly & F.exists(rv, lambda q: point_in_polygon(q, fe)))
-        | F.exists(fe, lambda e1: F.exists(re, lambda e2: seg_intersects(e1["a"], e1["b"], e2["a"], e2["b"])))
-    )
+    def body(s):
+        v, e = s["v"], s["e"]
+        return (
+            F.exists(v, lambda p: point_in_polygon(p, re))
+            | (f_is_poly & F.exists(rv, lambda q: point_in_polygon(q, e)))
+            | F.exists(e, lambda e1: F.exists(re, lambda e2: seg_intersects(e1["a"], e1["b"], e2["a"], e2["b"])))
+        )
 
+    return G.let(F.struct(fv.alias("v"), fe.alias("e")), body)
 
-def region_literal(regions: DataFrame) -> list[Column]:
-    """Collect the (size-checked) crop regions into literal structs."""
+
+def region_rows(regions: DataFrame) -> list[dict]:
+    """Collect the (size-checked) crop regions: name, bbox, vertices, rectangle flag."""
     n = regions.count()
     if n > MAX_REGIONS:
-        raise ValueError(f"{n} crop regions: too many to inline; tile them into a table first")
+        raise ValueError(f"{n} crop regions: at most {MAX_REGIONS} are supported")
     rows = (
         regions.select(
             "region",
@@ -92,47 +96,68 @@ def region_literal(regions: DataFrame) -> list[Column]:
     out = []
     for r in rows:
         verts = [(float(p["x"]), float(p["y"])) for p in r["v"]]
-        is_rect = len({x for x, _ in verts}) == 2 and len({y for _, y in verts}) == 2
         out.append(
-            F.struct(
-                F.lit(r["region"]).alias("region"),
-                F.lit(float(r["xmin"])).alias("xmin"),
-                F.lit(float(r["ymin"])).alias("ymin"),
-                F.lit(float(r["xmax"])).alias("xmax"),
-                F.lit(float(r["ymax"])).alias("ymax"),
-                F.lit(is_rect).alias("is_rect"),
-                F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in verts]).alias("v"),
-            )
+            {
+                "region": r["region"],
+                "xmin": float(r["xmin"]),
+                "ymin": float(r["ymin"]),
+                "xmax": float(r["xmax"]),
+                "ymax": float(r["ymax"]),
+                "is_rect": len({x for x, _ in verts}) == 2 and len({y for _, y in verts}) == 2,
+                "v": verts,
+            }
         )
     return out
 
 
-def region_membership(regions: DataFrame, geom: str = "geom") -> Column:
-    """Column: sorted names of the crop regions a feature intersects (closed sets)."""
-    structs = region_literal(regions)
-    if not structs:
-        return F.array().cast("array<string>")
+def region_mask(regs: list[dict], geom: str = "geom") -> Column:
+    """Column (long): bit ``i`` set when the feature intersects region ``i`` (regions by name).
+
+    Plain constants and CASE only, so it is code-generated; the exact (lambda) test runs
+    only for features whose bbox straddles a region's bbox edge."""
     fx0, fx1, fy0, fy1 = G.xmin(geom), G.xmax(geom), G.ymin(geom), G.ymax(geom)
     fv = G.vertices(geom)
     fe = F.filter(G.edges(geom), lambda e: e["b"].isNotNull())
     is_poly = F.col(geom)["gtype"].isin("POLYGON", "MULTIPOLYGON")
-
-    def hit(r):
+    mask = F.lit(0).cast("long")
+    for i, r in enumerate(regs):
         overlap = (fx0 <= r["xmax"]) & (fx1 >= r["xmin"]) & (fy0 <= r["ymax"]) & (fy1 >= r["ymin"])
-        inside = r["is_rect"] & (fx0 >= r["xmin"]) & (fx1 <= r["xmax"]) & (fy0 >= r["ymin"]) & (fy1 <= r["ymax"])
-        exact = intersects(fv, fe, is_poly, r["v"], _ring_edges(r["v"]))
-        return overlap & (inside | exact)
+        inside = (fx0 >= r["xmin"]) & (fx1 <= r["xmax"]) & (fy0 >= r["ymin"]) & (fy1 <= r["ymax"])
+        rv = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in r["v"]])
+        exact = intersects(fv, fe, is_poly, rv, _ring_edges(rv))
+        bit = F.lit(1 << i).cast("long")
+        c = F.when(~overlap, F.lit(0).cast("long"))
+        if r["is_rect"]:
+            c = c.when(inside, bit)
+        mask = mask.bitwiseOR(c.when(exact, bit).otherwise(F.lit(0).cast("long")))
+    return mask
+
+
+def mask_names(mask: Column, names: list[str]) -> Column:
+    """Sorted region names of a mask (output form)."""
+    parts = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
+    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+
+
+def lowest_bit(mask: Column) -> Column:
+    return mask.bitwiseAND(-mask)
+
 
-    return F.sort_array(F.transform(F.filter(F.array(*structs), hit), lambda r: r["region"]))
+def region_names(regions: DataFrame) -> list[str]:
+    return [r["region"] for r in sorted(region_rows(regions), key=lambda r: r["region"])]
 
 
 def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:
     """Long form ``(extra..., key, region)``; features outside every region produce no row."""
-    return layer.select(*extra, key, F.explode(region_membership(regions, geom)).alias("region"))
+    regs = sorted(region_rows(regions), key=lambda r: r["region"])
+    names = [r["region"] for r in regs]
+    m = region_mask(regs, geom)
+    return layer.select(*extra, key, F.explode(mask_names(m, names)).alias("region"))
 
 
 def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom") -> DataFrame:
-    """Attach ``regions`` and drop features outside all regions (``regions=None``: one region ``all``)."""
+    """Attach ``regions`` (bitmask) and drop features outside all regions (``None``: one region)."""
     if regions is None:
-        return layer.withColumn("regions", F.array(F.lit("all")))
-    return layer.withColumn("regions", region_membership(regions, geom)).filter(F.size("regions") > 0)
+        return layer.withColumn("regions", F.lit(1).cast("long"))
+    regs = sorted(region_rows(regions), key=lambda r: r["region"])
+    return layer.withColumn("regions", region_mask(regs, geom)).filter(F.col("regions") != 0)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetseam.session import big_join
+
 EPS = 1e-9
 
 
@@ -168,6 +170,6 @@ def _decide(is_poly: bool):
 def check_slow_pairs(pairs: DataFrame, feats: DataFrame, key: str, is_poly: bool) -> DataFrame:
     """Decide ``pairs`` (merge_id, drop_id) exactly using the matching geometry ``stg`` of ``feats``."""
     g = feats.select(F.col(key).alias("gk"), F.col("stg").alias("g"))
-    ja = pairs.join(g.withColumnRenamed("gk", "merge_id").withColumnRenamed("g", "ga"), "merge_id")
-    jb = ja.join(g.withColumnRenamed("gk", "drop_id").withColumnRenamed("g", "gb"), "drop_id")
+    ja = big_join(pairs, g.withColumnRenamed("gk", "merge_id").withColumnRenamed("g", "ga"), "merge_id")
+    jb = big_join(ja, g.withColumnRenamed("gk", "drop_id").withColumnRenamed("g", "gb"), "drop_id")
     return jb.select("merge_id", "drop_id", "ga", "gb").mapInPandas(_decide(is_poly), "merge_id long, drop_id long")

@@ -13,7 +13,7 @@ from sheetseam.operators.inspect import attribute_columns, dispatch_kind
 from sheetseam.operators.merge import MergeResult, merge_pass
 from sheetseam.operators.regions import with_regions
 from sheetseam.schemas import OUTPUT_PREFIX
-from sheetseam.session import ensure_checkpoint_dir
+from sheetseam.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
@@ -35,16 +35,26 @@ def default_op(kind: str) -> str:
     return "union" if kind == "polygon" else "linemerge"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the per-feature work at least the cluster's parallelism.
+
+    Large layers arrive in many file splits and are left alone; a layer read from a few
+    small files would otherwise run every per-feature expression in one task."""
+    spark = df.sparkSession
+    want = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def prepare(layer: DataFrame, key: str, regions: DataFrame | None) -> DataFrame:
     """Key as long, regions attached (features outside all regions dropped), components seeded."""
-    df = layer.withColumn(key, F.col(key).cast("long"))
+    df = spread(layer).withColumn(key, F.col(key).cast("long"))
     df = with_regions(df, regions)
     return df.withColumn("ufid_components", F.array(F.col(key)))
 
 
 def run_pass(df: DataFrame, key: str, attrs: list[str], kind: str, op: str, spec: C.PassSpec, table: str) -> PassResult:
     is_poly = kind == "polygon"
-    pairs = C.identify(df, key, attrs, is_poly, spec).checkpoint()
+    pairs = materialize(C.identify(df, key, attrs, is_poly, spec), f"pairs-{spec.name}")
     return PassResult(pairs, merge_pass(df, pairs, key, attrs, op, table))
 
 
@@ -67,12 +77,13 @@ def stitch_layer(
     op = op or default_op(kind)
     attrs = attrs if attrs is not None else attribute_columns(layer, key, name)
     out_name = OUTPUT_PREFIX + name
-    df = prepare(layer, key, regions)
+    # the prepared layer feeds the candidates, the anti-join and the member join: write it once
+    df = materialize(prepare(layer, key, regions), "prepared")
 
     p1 = run_pass(df, key, attrs, kind, op, C.NS, f"northsouth_{name}")
-    mid = p1.merge.layer.checkpoint()  # pass 2 reads pass 1's result: cut the lineage here
+    mid = materialize(p1.merge.layer, "pass1")  # pass 2 reads pass 1's result: cut the lineage here
     p2 = run_pass(mid, key, attrs, kind, op, C.EW, f"eastwest_{name}")
-    interim = I.assign_final_ids(p2.merge.layer, key, out_name, associations, scope).checkpoint()
+    interim = materialize(I.assign_final_ids(p2.merge.layer, key, out_name, associations, scope), "final")
 
     assoc_rows = I.association_rows(interim, key, out_name)
     final = interim.drop("ufid_components", "regions")

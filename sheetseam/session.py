@@ -8,7 +8,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "sheetseam") -> SparkSession:
+def get_spark(
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    app: str = "sheetseam",
+    driver_memory: str | None = None,
+) -> SparkSession:
     """Build (or reuse) a session with AQE on.
 
     On a cluster the master and checkpoint folder come from the submit
@@ -23,8 +28,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # never broadcast on the planner's guess (file size says nothing about exploded
+        # geometry); AQE still broadcasts a side whose *measured* shuffle size is small
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
     )
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -51,6 +63,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def big_join(left, right, on, how: str = "inner"):
+    """Join two frames that both grow with the data: sort-merge, never a planner broadcast.
+
+    The hint holds whatever the session's broadcast threshold is; AQE may still
+    split skewed partitions of the sort-merge join.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
+def materialize(df, label: str = "t"):
+    """Cut the lineage by writing ``df`` as Parquet under the checkpoint folder and reading it back.
+
+    The folder is the shared one named by ``spark.checkpoint.dir`` (never a machine-local temp
+    dir on a cluster); a lost executor re-reads files instead of recomputing the plan.  Parquet
+    is compact for the nested geometry and gives the planner real sizes.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheetseam/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def shared_work_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
