@@ -45,7 +45,7 @@ def line(spark, sf_dir) -> DataFrame:
 
 
 def regions(spark) -> DataFrame:
-    return D.regions(spark)
+    return _memo("regions", spark, "", lambda: D.regions(spark))
 
 
 def _stitched(spark, sf_dir, layer: str) -> S.StitchResult:
@@ -55,7 +55,13 @@ def _stitched(spark, sf_dir, layer: str) -> S.StitchResult:
 
 
 def _ns(spark, sf_dir, layer: str) -> S.PassResult:
-    return _stitched(spark, sf_dir, layer).passes["ns"]
+    """The north/south pass alone (reused from a full stitch when one was already built)."""
+    full = _CACHE.get((f"stitch_{layer}", id(spark), sf_dir))
+    if full is not None:
+        return full.passes["ns"]
+    src = poly if layer == "poly" else line
+    kind = "polygon" if layer == "poly" else "line"
+    return _memo(f"ns_{layer}", spark, sf_dir, lambda: S.stitch_pass_only(src(spark, sf_dir), "ufid", kind, C.NS, regions=regions(spark), name=f"northsouth_{layer}"))
 
 
 def _both(spark, sf_dir) -> DataFrame:

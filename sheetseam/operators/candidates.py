@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
@@ -193,10 +193,11 @@ def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec:
     ).filter("fast_ok or slow")
     # the candidate pairs are few (features meeting across a line): materialise them, and run
     # the exact per-pair check only when some pair needs it
-    pairs = materialize(pairs, f"candpairs-{spec.name}")
+    obs = Observation()
+    pairs = materialize(pairs.observe(obs, F.sum(F.col("slow").cast("long")).alias("slow")), f"candpairs-{spec.name}")
     fast = pairs.filter("fast_ok").select("merge_id", "drop_id")
     slow_pairs = pairs.filter("slow").select("merge_id", "drop_id")
-    if slow_pairs.limit(1).count() == 0:
+    if not (obs.get["slow"] or 0):
         return fast.distinct()
     from sheetseam.operators import relate
 
@@ -207,6 +208,5 @@ def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec:
 
 def identify(layer: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, geom: str = "geom") -> DataFrame:
     """Pass identification: bbox -> flags -> boundary filter -> face join -> relate."""
-    # the candidates feed both join sides and the slow path: materialise them once
-    cand = materialize(boundary_candidates(layer, is_poly, spec, geom), f"candidates-{spec.name}")
+    cand = boundary_candidates(layer, is_poly, spec, geom)
     return relate_pairs(cand, key, attrs, is_poly, spec)

@@ -60,6 +60,7 @@ def assign_final_ids(
 ) -> DataFrame:
     """Replace the interim key of every composite by a stable final id (singles keep theirs)."""
     spark = layer.sparkSession
+    have_log = assoc is not None
     assoc = assoc if assoc is not None else empty_associations(spark)
     is_comp = F.size("ufid_components") > 1
     singles = layer.filter(~is_comp)
@@ -70,8 +71,12 @@ def assign_final_ids(
         jk = (comps["_comps"] == found["comps"]) & (comps["layer"] == found["layer"])
     else:
         jk = comps["_comps"] == found["comps"]
-    looked = big_join(comps, found, jk, "left").drop("comps", "layer")
-    start_row = assoc.agg(F.max("ufid").alias("m")).collect()[0]["m"]
+    if have_log:
+        looked = big_join(comps, found, jk, "left").drop("comps", "layer")
+        start_row = assoc.agg(F.max("ufid").alias("m")).collect()[0]["m"]
+    else:  # first run: nothing to look up
+        looked = comps.withColumn("found", F.lit(None).cast("long"))
+        start_row = None
     start = max(FINAL_ID_START, (int(start_row) + 1) if start_row is not None else FINAL_ID_START)
     fresh = looked.filter(F.col("found").isNull()).withColumn("_first", F.element_at("_comps", 1))
     fresh = dense_rank_by(fresh, "_first").withColumn("found", F.lit(start) + F.col("rank")).drop("rank", "_first")

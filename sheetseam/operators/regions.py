@@ -75,6 +75,15 @@ def intersects(fv: Column, fe: Column, f_is_poly: Column, rv: Column, re: Column
 
 def region_rows(regions: DataFrame) -> list[dict]:
     """Collect the (size-checked) crop regions: name, bbox, vertices, rectangle flag."""
+    cached = getattr(regions, "_sheetseam_rows", None)
+    if cached is not None:
+        return cached
+    rows = _collect_regions(regions)
+    regions._sheetseam_rows = rows
+    return rows
+
+
+def _collect_regions(regions: DataFrame) -> list[dict]:
     n = regions.count()
     if n > MAX_REGIONS:
         raise ValueError(f"{n} crop regions: at most {MAX_REGIONS} are supported")

@@ -54,7 +54,7 @@ def prepare(layer: DataFrame, key: str, regions: DataFrame | None) -> DataFrame:
 
 def run_pass(df: DataFrame, key: str, attrs: list[str], kind: str, op: str, spec: C.PassSpec, table: str) -> PassResult:
     is_poly = kind == "polygon"
-    pairs = materialize(C.identify(df, key, attrs, is_poly, spec), f"pairs-{spec.name}")
+    pairs = C.identify(df, key, attrs, is_poly, spec)  # reads the materialised candidate pairs
     return PassResult(pairs, merge_pass(df, pairs, key, attrs, op, table))
 
 
@@ -96,6 +96,6 @@ def stitch_layer(
 
 def stitch_pass_only(layer: DataFrame, key: str, kind: str, spec: C.PassSpec, op: str | None = None, regions=None, name: str = "layer") -> PassResult:
     """One pass on a prepared layer (used by per-operator queries)."""
-    df = prepare(layer, key, regions)
+    df = materialize(prepare(layer, key, regions), "prepared")
     attrs = attribute_columns(layer, key, name)
     return run_pass(df, key, attrs, kind, op or default_op(kind), spec, name)
