@@ -56,7 +56,7 @@ def test_text_fidelity(spark):
 
 
 def test_utilities(spark):
-    sheets = D.load_poly(spark, "/root/testdata/sf0.001")
+    sheets = D.load_poly(spark, "/root/testdata/sf0.01")  # sheet column 40 exists from sf0.01 on
     edges = {(r["direction"], r["v"]) for r in U.irregular_edges(U.sheet_footprints(sheets)).collect()}
     assert edges == {("EW", 2092000)}
     ml = spark.createDataFrame(
