@@ -25,6 +25,7 @@ from sheetseam.plans import stitching as S
 from sheetseam.plans import utilities as U
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
+from sheetseam.session import spread
 
 _CACHE: dict = {}
 
@@ -37,11 +38,11 @@ def _memo(kind: str, spark: SparkSession, sf_dir: str, build):
 
 
 def poly(spark, sf_dir) -> DataFrame:
-    return D.load_poly(spark, sf_dir)
+    return spread(D.load_poly(spark, sf_dir))
 
 
 def line(spark, sf_dir) -> DataFrame:
-    return D.load_line(spark, sf_dir)
+    return spread(D.load_line(spark, sf_dir))
 
 
 def regions(spark) -> DataFrame:

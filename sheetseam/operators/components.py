@@ -36,27 +36,21 @@ def connected_components(edges: DataFrame, a: str = "merge_id", b: str = "drop_i
     )
     labels = labels.checkpoint()
     for _ in range(MAX_ROUNDS):
-        # propagate: take the smallest label among neighbours
-        nb = (
-            big_join(e, labels.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst")
-            .groupBy("src")
-            .agg(F.min("c").alias("c"))
-        )
-        prop = big_join(labels, nb.withColumnRenamed("src", "id"), "id", "left").select(
-            "id", F.least("comp", F.coalesce("c", "comp")).alias("comp")
+        # propagate: own label and the neighbours' labels in one aggregation (which also keeps
+        # the old label, so no join against the previous round is needed to detect change)
+        via_edges = big_join(e, labels.select(F.col("id").alias("dst"), F.col("comp").alias("cand")), "dst").select(
+            F.col("src").alias("id"), "cand", F.lit(None).cast("long").alias("old")
         )
+        own = labels.select("id", F.col("comp").alias("cand"), F.col("comp").alias("old"))
+        prop = own.unionByName(via_edges).groupBy("id").agg(F.min("cand").alias("comp"), F.max("old").alias("old"))
         # jump: a label is an id too; take its label
         jumped = big_join(
             prop.alias("p"),
             prop.select(F.col("id").alias("lid"), F.col("comp").alias("lcomp")).alias("q"),
             F.col("p.comp") == F.col("q.lid"),
             "left",
-        ).select("id", F.least("comp", F.coalesce("lcomp", "comp")).alias("comp"))
-        nxt = (
-            big_join(jumped, labels.withColumnRenamed("comp", "old"), "id")
-            .select("id", "comp", (F.col("comp") != F.col("old")).alias("changed"))
-            .checkpoint()
-        )
+        ).select("id", F.least("comp", F.coalesce("lcomp", "comp")).alias("comp"), "old")
+        nxt = jumped.select("id", "comp", (F.col("comp") != F.col("old")).alias("changed")).checkpoint()
         # (eager checkpoint is an RDD action: observed metrics are not published for it)
         changed = nxt.filter("changed").limit(1).count()
         labels = nxt.select("id", "comp")

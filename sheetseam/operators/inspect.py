@@ -28,6 +28,9 @@ def attribute_columns(df: DataFrame, key: str, table: str | None = None) -> list
 def detect_key(df: DataFrame) -> DataFrame:
     """One row ``(key_column)``: the first column (schema order, not ogc_fid/geom) whose values
     are all distinct (one NULL allowed), else ``'ufid'``.  One pass over the data."""
+    from sheetseam.session import spread
+
+    df = spread(df)
     cols = [c for c in df.columns if c not in NEVER_KEY]
     if not cols:
         return df.sparkSession.createDataFrame([(KEY_FALLBACK_NAME,)], "key_column string")

@@ -13,7 +13,7 @@ from sheetseam.operators.inspect import attribute_columns, dispatch_kind
 from sheetseam.operators.merge import MergeResult, merge_pass
 from sheetseam.operators.regions import with_regions
 from sheetseam.schemas import OUTPUT_PREFIX
-from sheetseam.session import ensure_checkpoint_dir, materialize
+from sheetseam.session import ensure_checkpoint_dir, materialize, spread
 
 
 @dataclass
@@ -35,16 +35,6 @@ def default_op(kind: str) -> str:
     return "union" if kind == "polygon" else "linemerge"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the per-feature work at least the cluster's parallelism.
-
-    Large layers arrive in many file splits and are left alone; a layer read from a few
-    small files would otherwise run every per-feature expression in one task."""
-    spark = df.sparkSession
-    want = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def prepare(layer: DataFrame, key: str, regions: DataFrame | None) -> DataFrame:
     """Key as long, regions attached (features outside all regions dropped), components seeded."""
     df = spread(layer).withColumn(key, F.col(key).cast("long"))

@@ -63,6 +63,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df):
+    """Give per-row work at least the cluster's parallelism.
+
+    Large inputs arrive in many file splits and are left alone; a table read from a few
+    small files would otherwise run every per-row expression in one task."""
+    spark = df.sparkSession
+    want = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def big_join(left, right, on, how: str = "inner"):
     """Join two frames that both grow with the data: sort-merge, never a planner broadcast.
 
