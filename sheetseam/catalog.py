@@ -415,6 +415,32 @@ def q_duplicate_check(spark, sf_dir):
     return I.duplicate_keys(_stitched(spark, sf_dir, "poly").layer, "ufid")
 
 
+def q_single_part_filter(spark, sf_dir):
+    g = _ns(spark, sf_dir, "line").merge.groups
+    return g.select("comp", F.col("accepted"))
+
+
+def q_drop_components(spark, sf_dir):
+    st = _stitched(spark, sf_dir, "poly")
+    return st.layer.select(*[c for c in st.layer.columns if c != "geom"])
+
+
+def q_assoc_lookup(spark, sf_dir):
+    a = _stitched(spark, sf_dir, "poly").associations
+    return I.latest_ids(a).select(ids_text("comps").alias("components"), F.col("found").alias("ufid"))
+
+
+def q_contains_join(spark, sf_dir):
+    a = _stitched(spark, sf_dir, "poly").associations
+    src = poly(spark, sf_dir).select(F.col("ufid").alias("member"), "slot")
+    return I.reverse_lookup(a).withColumnRenamed("component", "member").join(src, "member").select("ufid", "member", "slot")
+
+
+def q_report_assoc_join(spark, sf_dir):
+    st = _stitched(spark, sf_dir, "line")
+    return I.report_with_associations(st.report, st.associations).select("ref", "msg", "ufid")
+
+
 # ---------------------------------------------------------------- plans
 def q_identify_pass(spark, sf_dir):
     p = _ns(spark, sf_dir, "poly").pairs.withColumn("layer", F.lit("poly"))
@@ -523,6 +549,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "append_report": q_append_report,
     "component_lookup": q_component_lookup,
     "duplicate_check": q_duplicate_check,
+    "single_part_filter": q_single_part_filter,
+    "drop_components": q_drop_components,
+    "assoc_lookup": q_assoc_lookup,
+    "contains_join": q_contains_join,
+    "report_assoc_join": q_report_assoc_join,
     "identify_pass": q_identify_pass,
     "merge_pass": q_merge_pass,
     "stitch_all": q_stitch_all,

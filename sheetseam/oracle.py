@@ -314,6 +314,16 @@ SQL.update(
         "append_report": with_line("SELECT ref, msg FROM lreport"),
         "component_lookup": with_poly("SELECT unnest(comps) AS component, fid AS ufid FROM pfinal WHERE len(comps) > 1"),
         "duplicate_check": with_poly("SELECT fid AS ufid, count(*) AS n FROM pfinal GROUP BY fid HAVING count(*) > 1"),
+        "single_part_filter": with_line("SELECT comp, maxdeg <= 2 AS accepted FROM ldeg1"),
+        "drop_components": with_poly("SELECT fid AS ufid, ogc_fid, slot, cls FROM pfinal"),
+        "assoc_lookup": with_poly(f"SELECT {_comps_txt()} AS components, fid AS ufid FROM pfinal WHERE len(comps) > 1"),
+        "contains_join": with_poly(
+            "SELECT f.fid AS ufid, m.member, p.slot FROM (SELECT fid, unnest(comps) AS member FROM pfinal WHERE len(comps) > 1) m "
+            "JOIN pfinal f ON f.fid = m.fid JOIN poly p ON p.ufid = m.member"
+        ),
+        "report_assoc_join": with_line(
+            "SELECT r.ref, r.msg, f.fid AS ufid FROM lreport r JOIN lfinal f ON f.fid = r.ref WHERE len(f.comps) > 1"
+        ),
         "identify_pass": f"""WITH RECURSIVE {POLY_PASSES},\n{LINE_PASSES.replace(REGIONS + ',', '', 1)}
             SELECT 'poly' AS layer, merge_id, drop_id FROM pns UNION ALL SELECT 'line', merge_id, drop_id FROM lns""",
         "merge_pass": with_poly(
