@@ -21,7 +21,7 @@ from sheetseam.functions import geometry as G
 from sheetseam.operators import assemble
 from sheetseam.operators.components import connected_components
 from sheetseam.schemas import BOUNDARY_ERROR_MSG, GEOM_DDL, MULTI_TYPES
-from sheetseam.session import big_join
+from sheetseam.session import big_join, ship_package
 
 OPS = ("collect", "union", "linemerge")
 
@@ -61,6 +61,7 @@ def _norm_edges(g: DataFrame) -> DataFrame:
 def _by_group(df: DataFrame) -> DataFrame:
     """Co-locate each group's rows and sort them, so one Python call handles many groups
     per Arrow batch (instead of one call per group)."""
+    ship_package(df.sparkSession)  # the grouped pandas step imports this package on executors
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, "comp").sortWithinPartitions("comp")
 

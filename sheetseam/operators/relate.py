@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetseam.session import big_join
+from sheetseam.session import big_join, ship_package
 
 EPS = 1e-9
 
@@ -169,6 +169,7 @@ def _decide(is_poly: bool):
 
 def check_slow_pairs(pairs: DataFrame, feats: DataFrame, key: str, is_poly: bool) -> DataFrame:
     """Decide ``pairs`` (merge_id, drop_id) exactly using the matching geometry ``stg`` of ``feats``."""
+    ship_package(pairs.sparkSession)
     g = feats.select(F.col(key).alias("gk"), F.col("stg").alias("g"))
     ja = big_join(pairs, g.withColumnRenamed("gk", "merge_id").withColumnRenamed("g", "ga"), "merge_id")
     jb = big_join(ja, g.withColumnRenamed("gk", "drop_id").withColumnRenamed("g", "gb"), "drop_id")

@@ -13,7 +13,7 @@ from sheetseam.operators.inspect import attribute_columns, dispatch_kind
 from sheetseam.operators.merge import MergeResult, merge_pass
 from sheetseam.operators.regions import with_regions
 from sheetseam.schemas import OUTPUT_PREFIX
-from sheetseam.session import ensure_checkpoint_dir, materialize, spread
+from sheetseam.session import materialize, prepare_session, spread
 
 
 @dataclass
@@ -60,7 +60,7 @@ def stitch_layer(
     attrs: list[str] | None = None,
 ) -> StitchResult:
     spark = layer.sparkSession
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     kind = kind or dispatch_kind(layer)
     if kind not in ("polygon", "line"):
         raise ValueError(f"layer {name}: geometry type not stitched ({kind})")
@@ -86,6 +86,7 @@ def stitch_layer(
 
 def stitch_pass_only(layer: DataFrame, key: str, kind: str, spec: C.PassSpec, op: str | None = None, regions=None, name: str = "layer") -> PassResult:
     """One pass on a prepared layer (used by per-operator queries)."""
+    prepare_session(layer.sparkSession)
     df = materialize(prepare(layer, key, regions), "prepared")
     attrs = attribute_columns(layer, key, name)
     return run_pass(df, key, attrs, kind, op or default_op(kind), spec, name)
