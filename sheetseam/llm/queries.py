@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_table, url_model
+from . import feistel, language_id, one_permutation, piece_table, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -25,6 +25,15 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: A deployment passes its own secret; equal values stay linked only under one key.
+PII_KEY = "corpus-2024"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    return feistel.pseudonymise(docs, "text", PII_KEY)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(ready(spark), sf_dir, "pages").select("page_id", "url")
     return url_model.filter_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict", "accept_probability")
@@ -36,6 +45,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *piece_table.digest(F.col("ids"), F.col("decoded")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_permutation.edit_report(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2), "text", "lang", "doc_id")
@@ -44,8 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": op3_pii,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
 }
 
