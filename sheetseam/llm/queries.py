@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, language_id, one_permutation, piece_table, tag_path, url_model
+from . import feistel, language_id, latent_leaks, one_permutation, piece_table, tag_path, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -25,6 +25,10 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(ready(spark), sf_dir, "pages").select("page_id", "url", "html")
     return tag_path.extract(pages, "html").withColumn("n_chars", F.length("text").cast("long"))
@@ -62,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
     "op7_url_filter": op7_url_filter,
