@@ -1,24 +1,23 @@
 """Connected groups of the join list, and the array-set operators around them.
 
 The reference closes the pair list with a recursive CTE that unions id
-arrays until nothing changes.  Here the closure is min-label propagation with
-pointer jumping over an edge DataFrame: every round is one join + one
-aggregation on the edge list and one self-join on the label table; the label
-table is cut from its lineage with a reliable ``checkpoint()`` (the folder
-named by ``spark.checkpoint.dir``) and the loop stops on the first round in
-which no label changes.  Groups stay in long form ``(id, comp)``; ``comp`` is
-the smallest id of the group.
+arrays until nothing changes.  Here every node hooks to its smallest neighbour,
+pointers double up to the roots, and the edges between different roots make the next,
+smaller graph.  Every step is cut from its lineage by writing it to the shared folder
+named by ``spark.checkpoint.dir``.  Groups stay in long form ``(id, comp)``;
+``comp`` is the smallest id of the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sheetseam.functions.arrays import ids_text
-from sheetseam.session import big_join, ensure_checkpoint_dir
+from sheetseam.session import big_join, materialize, release
 
-MAX_ROUNDS = 200
+#: Keys that the label of a large group is split over when labels are looked up.
+SALTS = 16
 
 
 def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -26,38 +25,58 @@ def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst")
 
 
-def connected_components(edges: DataFrame, a: str = "merge_id", b: str = "drop_id") -> DataFrame:
-    """``(id, comp)`` for every id in ``edges``; ``comp`` = min id of its connected group."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = _undirected(edges, a, b).checkpoint()
-    labels = e.groupBy("src").agg(F.min("dst").alias("m")).select(
-        F.col("src").alias("id"), F.least("src", "m").alias("comp")
+def _jumped(forest: DataFrame) -> DataFrame:
+    """``forest`` (id, comp) with every pointer followed once more; ``moved`` marks what changed.
+
+    Only pointers at nodes that point on are looked up, and the pointer shared by a large group is
+    split over SALTS keys."""
+    inner = forest.filter("comp != id").select(
+        F.col("id").alias("lid"), F.col("comp").alias("lcomp"), F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("lsalt")
+    )
+    salted = forest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    both = big_join(salted, inner, (F.col("comp") == F.col("lid")) & (F.col("salt") == F.col("lsalt")), "left")
+    return both.select("id", F.coalesce("lcomp", "comp").alias("comp"), F.col("lcomp").isNotNull().alias("moved"))
+
+
+def _roots(e: DataFrame) -> DataFrame:
+    """Every node hooks to its smallest neighbour (if smaller than itself); pointers then double up to the roots."""
+    forest = materialize(
+        e.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("comp")), "cc-labels"
     )
-    labels = labels.checkpoint()
-    for _ in range(MAX_ROUNDS):
-        # propagate: own label and the neighbours' labels in one aggregation (which also keeps
-        # the old label, so no join against the previous round is needed to detect change)
-        via_edges = big_join(e, labels.select(F.col("id").alias("dst"), F.col("comp").alias("cand")), "dst").select(
-            F.col("src").alias("id"), "cand", F.lit(None).cast("long").alias("old")
-        )
-        own = labels.select("id", F.col("comp").alias("cand"), F.col("comp").alias("old"))
-        prop = own.unionByName(via_edges).groupBy("id").agg(F.min("cand").alias("comp"), F.max("old").alias("old"))
-        # jump: a label is an id too; take its label
-        jumped = big_join(
-            prop.alias("p"),
-            prop.select(F.col("id").alias("lid"), F.col("comp").alias("lcomp")).alias("q"),
-            F.col("p.comp") == F.col("q.lid"),
-            "left",
-        ).select("id", F.least("comp", F.coalesce("lcomp", "comp")).alias("comp"), "old")
-        nxt = jumped.select("id", "comp", (F.col("comp") != F.col("old")).alias("changed")).checkpoint()
-        # (eager checkpoint is an RDD action: observed metrics are not published for it)
-        changed = nxt.filter("changed").limit(1).count()
-        labels = nxt.select("id", "comp")
-        if changed == 0:
+    while True:
+        seen = Observation()
+        deeper = _jumped(forest).observe(seen, F.count(F.when(F.col("moved"), 1)).alias("n")).select("id", "comp")
+        deeper = materialize(deeper, "cc-labels")
+        release(forest)
+        forest = deeper
+        if not seen.get["n"]:
+            return forest
+
+
+def connected_components(edges: DataFrame, a: str = "merge_id", b: str = "drop_id") -> DataFrame:
+    """``(id, comp)`` for every id in ``edges``; ``comp`` = min id of its connected group.
+
+    Every level hooks and contracts: each unfinished group at least halves, and pointers double, so the number of
+    jobs is logarithmic in the largest group whatever its shape.  Levels end when no edge is left."""
+    e = materialize(_undirected(edges, a, b), "cc-edges")
+    levels = []
+    while True:
+        roots = _roots(e)
+        levels.append(roots)
+        seen = Observation()
+        src = big_join(e, roots.select(F.col("id").alias("src"), F.col("comp").alias("s")), "src")
+        both = big_join(src, roots.select(F.col("id").alias("dst"), F.col("comp").alias("d")), "dst")
+        left = both.filter("s != d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
+        smaller = materialize(left.observe(seen, F.count(F.lit(1)).alias("n")), "cc-edges")
+        release(e)
+        e = smaller
+        if not seen.get["n"]:
             break
-    else:  # pragma: no cover
-        raise RuntimeError("connected components did not converge")
+    release(e)
+    labels = levels[-1]
+    for lower in reversed(levels[:-1]):
+        up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+        labels = big_join(lower, up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
     return labels
 
 

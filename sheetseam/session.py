@@ -82,8 +82,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    it is used as is.  Only when it is unset (local tests) a private folder
-    under the system temp dir is created.
+    it is used as is.  Only when it is unset and the master is ``local`` a private folder
+    under the system temp dir is created; elsewhere an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -92,6 +92,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sheetseam-ckpt-"))
     return sc.getCheckpointDir()
@@ -121,24 +123,25 @@ def materialize(df, label: str = "t"):
 
     The folder is the shared one named by ``spark.checkpoint.dir`` (never a machine-local temp
     dir on a cluster); a lost executor re-reads files instead of recomputing the plan.  Parquet
-    is compact for the nested geometry and gives the planner real sizes.
+    is compact for the nested geometry and gives the planner real sizes (a checkpointed frame keeps
+    its plan's estimate, which multiplies over the rounds of a loop).  ``release`` removes the files.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheetseam/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def shared_work_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        return os.cpu_count() or 8
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*frames) -> None:
+    """Remove the files of materialised frames that no later plan reads (others are left alone)."""
+    for df in frames:
+        path = getattr(df, "_written_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            df._written_path = None
