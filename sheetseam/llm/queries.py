@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, language_id, latent_leaks, one_permutation, piece_table, tag_path, url_model
+from . import feistel, language_id, latent_leaks, ngram_join, one_permutation, piece_table, tag_path, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -43,6 +43,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.pseudonymise(docs, "text", PII_KEY)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(ready(spark), sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(ready(spark), sf_dir, "pages").select("page_id", "url")
     return url_model.filter_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict", "accept_probability")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
+    "op5_ngram_join": op5_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
