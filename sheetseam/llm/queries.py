@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, language_id, latent_leaks, ngram_join, one_permutation, piece_table, tag_path, url_model
+from . import feistel, language_id, latent_leaks, ngram_join, one_permutation, piece_table, suffix_merge, tag_path, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -43,6 +43,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.pseudonymise(docs, "text", PII_KEY)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_merge.without_repeats(table(ready(spark), sf_dir, "documents").select("doc_id", "text"), "text")
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
