@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, language_id, latent_leaks, ngram_join, one_permutation, piece_table, suffix_merge, tag_path, url_model
+from . import feistel, language_id, latent_leaks, ngram_join, one_permutation, piece_table, suffix_merge, tag_path, trie_lm, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -55,6 +55,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "text")
+    out = trie_lm.score_texts(docs, "doc_id", "text", fold("doc_id", 5) != 1)
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(ready(spark), sf_dir, "pages").select("page_id", "url")
     return url_model.filter_urls(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict", "accept_probability")
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
