@@ -32,7 +32,7 @@ def fold(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
-def shards(spark: SparkSession, least: int = 1) -> int:
-    """Number of shards for keyed work: the session's shuffle partitions, which the operator of a
-    cluster sizes with the input."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def shards(spark: SparkSession) -> int:
+    """Number of shards for packed work: a few for each of the session's shuffle partitions (which grow with
+    the input), so that one shard stays small and partitions even out."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
