@@ -155,7 +155,7 @@ def _common(rows: list[bytes]) -> np.ndarray:
         part = rows[max(0, k - 1) : k + 8192]
         if len(part) < 2:
             continue
-        width = max(map(len, part))
+        width = max(1, *map(len, part))
         m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in part), dtype=np.uint8).reshape(len(part), width)
         differ = m[1:] != m[:-1]
         first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
