@@ -4,6 +4,7 @@ Each five-word shingle is hashed once.  The top seven bits of the hash choose on
 hash of a bin is its value.  An empty bin takes the value of a filled bin: of all filled bins the
 one whose keyed hash with the empty bin's number is smallest, which is what optimal densification draws (uniform among
 the filled bins, and the same bin for any text whose filled bins hold that one), without a bound on attempts.
+A copied value is hashed with the number of its new bin, so that a chance agreement of two values is not copied along.
 The low four bits of each value are packed, sixteen bins to a long.
 
 Likeness is the share of equal bins, corrected for the one in sixteen that agree by chance:
@@ -65,7 +66,7 @@ def _dense(minima: Column) -> Column:
     def fill(missing: Column) -> Column:
         return F.transform(
             missing,
-            lambda b: entry(b, F.array_min(F.transform(minima, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("h"), _lane(x).alias("v"))))["v"]),
+            lambda b: entry(b, _lane(F.xxhash64(F.array_min(F.transform(minima, lambda x: F.struct(F.xxhash64(b, _bin(x)).alias("h"), x.alias("x"))))["x"], b))),
         )
 
     missing = F.array_except(F.array([F.lit(b) for b in range(BINS)]), F.transform(minima, _bin))
