@@ -305,14 +305,12 @@ def _rest_edges(reps: DataFrame, labels: DataFrame) -> DataFrame:
     mixed_keys = post.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     post = big_join(post, mixed_keys, "key").select("key", "row", "n", "comp", (F.col("alone") + F.col("at")).alias("place"))
     a, b = post.alias("a"), post.alias("b")
-    overlap = F.expr(f"ceil({NEAR} * (a.n + b.n) / {OF + NEAR})")
-    bound = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # shingles from this one on
-    fits = (F.col("a.comp") < F.col("b.comp")) & (F.col("a.n") * OF >= F.col("b.n") * NEAR) & (F.col("b.n") * OF >= F.col("a.n") * NEAR)
-    # the first common prefix shingle has everything that is common at or after it
-    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & fits).select(
-        F.col("a.row").alias("x"), F.col("b.row").alias("y"), overlap.alias("least"), bound.alias("bound")
-    )
-    pairs = pairs.groupBy("x", "y").agg(F.max("bound").alias("bound"), F.max("least").alias("least")).where("bound >= least").select("x", "y")
+    x_n, y_n = F.col("a.n"), F.col("b.n")
+    overlap = F.ceil(NEAR * (x_n + y_n) / (OF + NEAR))
+    # the first shingle that both prefixes hold has everything common at or after it, in either set
+    reach = F.least(x_n - F.col("a.place"), y_n - F.col("b.place"))
+    fits = (F.col("a.comp") < F.col("b.comp")) & (x_n * OF >= y_n * NEAR) & (y_n * OF >= x_n * NEAR) & (reach >= overlap)
+    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & fits).select(F.col("a.row").alias("x"), F.col("b.row").alias("y")).distinct()
     side = lambda c: reps.select(F.col("row").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("doc_id", "n", "keys")))
     full = big_join(big_join(pairs, side("x"), "x"), side("y"), "y")
 
