@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import returned
+
 UNDETERMINED = "und"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -73,7 +75,7 @@ def document_frequencies(texts: DataFrame, text: str, bits: int) -> tuple[int, n
                 df[counts(t, bits)[0]] += 1
                 n += 1
         at = np.flatnonzero(df)
-        yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
+        yield returned(pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)}))
 
     rows = texts.select(F.col(text)).mapInPandas(partial, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(1 << bits, dtype=np.int64), 0
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, text: str, model: LanguageModel | None, pred: str =
     @F.pandas_udf("p string, s double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in texts:
-            yield pd.DataFrame([predict_text(shared.value, t) for t in b], columns=["p", "s"])
+            yield returned(pd.DataFrame([predict_text(shared.value, t) for t in b], columns=["p", "s"]))
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (pred, score)]
     both = docs.select(*kept, run(F.col(f"`{text}`")).alias("__lang"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import big_join
 from .common import shards, written
-from .packed import by_shard, mixed, pack_sorted, unpack_sorted, word_hashes
+from .packed import by_shard, mixed, pack_sorted, returned, unpack_sorted, word_hashes
 
 WORDS, NEAR, OF = 5, 75, 100
 #: Representatives that one prefix tree holds.
@@ -81,7 +81,7 @@ def _post(batch: int, ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, sets
     meta = np.stack([ids, rows, sizes]).astype("<i8").tobytes()
     out = [(batch % parts, batch, meta, None, None)]
     out += [(s, batch, None, pack_sorted(keys[i:j]), of[i:j].tobytes()) for s, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-    return pd.DataFrame(out, columns=["shard", "batch", "meta", "keys", "of"])
+    return returned(pd.DataFrame(out, columns=["shard", "batch", "meta", "keys", "of"]))
 
 
 def _number() -> Iterator[int]:
@@ -110,7 +110,7 @@ def _shared(mail: DataFrame, parts: int) -> DataFrame:
                 keep = d > 1
                 if keep.any():
                     out.append((b, None, pack_sorted(one[keep]), np.frombuffer(of, "<u2")[keep].tobytes(), d[keep].tobytes()))
-        return pd.DataFrame(out, columns=["batch", "meta", "keys", "of", "df"])
+        return returned(pd.DataFrame(out, columns=["batch", "meta", "keys", "of", "df"]))
 
     def at_home(got: pd.DataFrame) -> pd.DataFrame:
         ids, rows, sizes = np.frombuffer(next(m for m in got.meta if m is not None), "<i8").reshape(3, -1)
@@ -126,7 +126,7 @@ def _shared(mail: DataFrame, parts: int) -> DataFrame:
             i, j = cut[k], cut[k + 1]
             enough = n > 0 and j - i >= needed(n)
             out.append((ids[k], rows[k], n, keys[i:j].tobytes() if enough else None, df[i:j].tobytes() if enough else None))
-        return pd.DataFrame(out, columns=["doc_id", "row", "n", "keys", "df"])
+        return returned(pd.DataFrame(out, columns=["doc_id", "row", "n", "keys", "df"]))
 
     back = mail.groupBy("shard").applyInPandas(at_shard, _BACK)
     return back.groupBy("batch").applyInPandas(at_home, "doc_id long, row long, n long, keys binary, df binary")
@@ -288,7 +288,7 @@ def _tree_edges(reps: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         links = tree_links([np.frombuffer(k, "<u8") for k in g["keys"]], g["n"].tolist(), g["doc_id"].tolist()) if len(g) > 1 else []
-        return pd.DataFrame(links, columns=["merge_id", "drop_id"], dtype=np.int64)
+        return returned(pd.DataFrame(links, columns=["merge_id", "drop_id"], dtype=np.int64))
 
     return full.groupBy("which", "grip", "block").applyInPandas(run, "merge_id long, drop_id long")
 

@@ -7,7 +7,11 @@ retries the rows.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -20,6 +24,18 @@ CHUNK = 1 << 20
 _powers: list[np.ndarray] = []
 
 
+def returned(frame: pd.DataFrame) -> pd.DataFrame:
+    """The frame, after memory that this worker no longer uses has gone back to the system.
+
+    Workers outlive their tasks; without this each keeps the most it ever needed, beside the other
+    workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return frame
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shards, written
-from .packed import _TABLE, _power, by_shard, mixed, pack_sorted, unpack_sorted
+from .packed import _TABLE, _power, by_shard, mixed, pack_sorted, returned, unpack_sorted
 
 LENGTH, GRAM, REACH = 200, 16, 101
 #: Bytes from the anchor on that all windows of an anchor hold.
@@ -217,7 +217,7 @@ def _runs(texts: DataFrame, repeated, parts: int) -> DataFrame:
                 i = j
             held.clear()
             keys.clear()
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")])
+            return returned(pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")]))
 
         for b in batches:
             raw = _raw(b["text"])
@@ -398,7 +398,7 @@ def _merged(g: pd.DataFrame) -> pd.DataFrame:
     if not names:
         return pd.DataFrame({"k1": [], "k2": [], "first": [], "last": []}).astype("int64")
     both = np.concatenate(names)
-    return pd.DataFrame({"k1": both[:, 0], "k2": both[:, 1], "first": np.concatenate(first), "last": np.concatenate(end)})
+    return returned(pd.DataFrame({"k1": both[:, 0], "k2": both[:, 1], "first": np.concatenate(first), "last": np.concatenate(end)}))
 
 
 def _keys(text: Column) -> list[Column]:
