@@ -20,9 +20,10 @@ from sheetseam.operators import components as K
 from sheetseam.operators import ids as I
 from sheetseam.operators import inspect as X
 from sheetseam.operators import merge as M
-from sheetseam.operators.regions import mask_names, region_join, region_names
+from sheetseam.operators.regions import region_join
 from sheetseam.plans import stitching as S
 from sheetseam.plans import utilities as U
+from sheetseam.schemas import REGIONS
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
 from sheetseam.session import spread
@@ -327,8 +328,7 @@ def q_duplicate_keys(spark, sf_dir):
 
 def q_distinct_rows(spark, sf_dir):
     p = poly(spark, sf_dir)
-    names = region_names(regions(spark))
-    exploded = S.with_regions(p, regions(spark)).select("ufid", "slot", "cls", F.explode(mask_names(F.col("regions"), names)).alias("region"))
+    exploded = S.with_regions(p, regions(spark)).select("ufid", "slot", "cls", F.explode(REGIONS).alias("region"))
     return exploded.dropDuplicates(["ufid"]).select("ufid", "slot", "cls")
 
 
@@ -355,8 +355,7 @@ def q_union_merged_fallback(spark, sf_dir):
 
 def q_union_regions(spark, sf_dir):
     out = _ns(spark, sf_dir, "poly").merge.layer
-    names = region_names(regions(spark))
-    return out.select("ufid", F.array_join(mask_names(F.col("regions"), names), ",").alias("regions"))
+    return out.select("ufid", F.array_join(REGIONS, ",").alias("regions"))
 
 
 # ---------------------------------------------------------------- ids and logs

@@ -130,7 +130,7 @@ def area(geom="geom") -> Column:
 
     def part_area(part):
         shell = F.abs(_ring_signed_area2(F.element_at(part, 1)))
-        holes = F.aggregate(F.slice(part, 2, 1_000_000), F.lit(0.0), lambda acc, r: acc + F.abs(_ring_signed_area2(r)))
+        holes = F.aggregate(F.slice(part, 2, F.size(part)), F.lit(0.0), lambda acc, r: acc + F.abs(_ring_signed_area2(r)))
         return (shell - holes) / 2.0
 
     total = F.aggregate(F.transform(gcol["parts"], part_area), F.lit(0.0), lambda acc, a: acc + a)

@@ -1,119 +1,23 @@
-"""Per-group geometry assembly helpers (grouped pandas; inputs already reduced by Spark).
+"""Per-group geometry assembly (``mapInPandas`` over rows sorted by group).
 
-Spark does the heavy part -- edge cancellation, noding on sheet lines and
-end-point degrees -- so each group arrives here as just the boundary edges
-of its merged polygon, or the paths of an accepted line group.  What is left
-is ordering those pieces into rings / one path, which is inherently per
-output feature.
+Spark pairs, groups and co-locates; each group arrives here as the rings of its member polygons, or
+the paths of an accepted line group.  What is left, the union of a few polygons or the order of a few paths,
+is inherently per output feature.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 
+from sheetseam.operators import overlay
+
 RING_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
+#: Type of a union whose boundary does not close; its members go back unmerged.
+NOT_CLOSED = "NOT CLOSED"
 PATH_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
 
 
-def _signed_area(ring) -> float:
-    a = 0.0
-    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
-        a += x1 * y2 - x2 * y1
-    return a / 2.0
-
-
-def _rotate_min(ring):
-    body = ring[:-1]
-    i = min(range(len(body)), key=lambda k: body[k])
-    body = body[i:] + body[:i]
-    return body + [body[0]]
-
-
-def _point_in_ring(pt, ring) -> bool:
-    x, y = pt
-    inside = False
-    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
-        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-            inside = not inside
-    return inside
-
-
-def _angle(frm, to) -> float:
-    return math.atan2(to[1] - frm[1], to[0] - frm[0])
-
-
-def build_rings(x1, y1, x2, y2) -> list[list[tuple]]:
-    """Chain undirected boundary edges into closed rings (turning right-most at shared vertices)."""
-    adj: dict = {}
-    edges = []
-    for i, (a, b) in enumerate(zip(zip(x1, y1), zip(x2, y2))):
-        edges.append((a, b))
-        adj.setdefault(a, []).append(i)
-        adj.setdefault(b, []).append(i)
-    used = [False] * len(edges)
-    rings = []
-    for s in range(len(edges)):
-        if used[s]:
-            continue
-        used[s] = True
-        start, cur = edges[s]
-        prev = start
-        ring = [start, cur]
-        while cur != start:
-            cands = [i for i in adj[cur] if not used[i]]
-            if not cands:
-                break
-            if len(cands) > 1:
-                back = _angle(cur, prev)
-
-                def turn(i):
-                    a, b = edges[i]
-                    nxt = b if a == cur else a
-                    d = (_angle(cur, nxt) - back) % (2 * math.pi)
-                    return d if d > 1e-12 else 2 * math.pi
-
-                cands.sort(key=turn)
-            i = cands[0]
-            used[i] = True
-            a, b = edges[i]
-            nxt = b if a == cur else a
-            prev, cur = cur, nxt
-            ring.append(cur)
-        if len(ring) >= 4 and ring[0] == ring[-1]:
-            rings.append(ring)
-    return rings
-
-
-def rings_to_polygons(rings) -> list[list[list[tuple]]]:
-    """Shells (counter-clockwise) with their holes (clockwise); nesting by point-in-ring."""
-    rings = sorted(rings, key=lambda r: -abs(_signed_area(r)))
-    polys: list[list] = []
-    for r in rings:
-        probe = ((r[0][0] + r[1][0]) / 2.0, (r[0][1] + r[1][1]) / 2.0)
-        owner = None
-        for p in reversed(polys):
-            if _point_in_ring(probe, p[0]) and not any(_point_in_ring(probe, h) for h in p[1:]):
-                owner = p
-                break
-        r = _rotate_min(r)
-        if owner is None:
-            polys.append([r if _signed_area(r) > 0 else [r[0]] + r[-2:0:-1] + [r[0]]])
-        else:
-            owner.append(r if _signed_area(r) < 0 else [r[0]] + r[-2:0:-1] + [r[0]])
-    return polys
-
-
-def assemble_polygons(pdf: pd.DataFrame) -> pd.DataFrame:
-    comp = int(pdf["comp"].iloc[0])
-    rings = build_rings(pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist())
-    polys = rings_to_polygons(rings)
-    coords = [[[[float(x), float(y)] for x, y in ring] for ring in poly] for poly in polys]
-    gtype = "POLYGON" if len(polys) == 1 else "MULTIPOLYGON"
-    return pd.DataFrame({"comp": [comp], "gtype": [gtype], "coords": [coords]})
-
-
 def chain_paths(paths: list[list[tuple]]) -> list[list[tuple]]:
     """Sew paths at end points shared by exactly two path ends (line merge)."""
     ends: dict = {}
@@ -125,13 +29,13 @@ def chain_paths(paths: list[list[tuple]]) -> list[list[tuple]]:
 
     def extend(seq, at):
         while True:
-            nxt = [i for i in ends.get(at, []) if not used[i]]
-            if len(ends.get(at, [])) != 2 or not nxt:
+            here = ends.get(at, [])
+            nxt = next((i for i in here if not used[i]), None) if len(here) == 2 else None
+            if nxt is None:
                 return seq
-            i = nxt[0]
-            used[i] = True
-            p = paths[i] if paths[i][0] == at else paths[i][::-1]
-            seq = seq + p[1:]
+            used[nxt] = True
+            p = paths[nxt] if paths[nxt][0] == at else paths[nxt][::-1]
+            seq.extend(p[1:])
             at = seq[-1]
 
     # open chains first, starting at their smaller free end
@@ -154,64 +58,60 @@ def chain_paths(paths: list[list[tuple]]) -> list[list[tuple]]:
     return out
 
 
-def assemble_lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    comp = int(pdf["comp"].iloc[0])
-    paths = [[(float(c[0]), float(c[1])) for c in path] for path in pdf["path"]]
-    merged = chain_paths(paths)
-    coords = [[[[x, y] for x, y in m]] for m in merged]
-    gtype = "LINESTRING" if len(merged) == 1 else "MULTILINESTRING"
-    return pd.DataFrame({"comp": [comp], "gtype": [gtype], "coords": [coords]})
-
-
-
-
 def _grouped_batches(batches, key: str = "comp"):
     """Yield ``(comp, frame)`` from batches of rows sorted by ``key`` within the partition;
-    a group cut by a batch boundary is carried into the next batch."""
-    carry = None
+    the pieces of a group that batch boundaries cut are joined once, at its end."""
+    carry: list[pd.DataFrame] = []
+    last = None
     for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-            carry = None
         if not len(pdf):
             continue
         keys = pdf[key].to_numpy()
-        cuts = [0] + [i + 1 for i in range(len(keys) - 1) if keys[i] != keys[i + 1]] + [len(keys)]
-        last = cuts[-2]
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield int(keys[a]), pdf.iloc[a:b]
-        carry = pdf.iloc[last:]
-    if carry is not None and len(carry):
-        yield int(carry[key].iloc[0]), carry
-
-
-def polygons_from_edge_batches(batches):
-    """``mapInPandas`` body: rows ``(comp, x1, y1, x2, y2)`` sorted by comp -> one polygon per comp."""
-    out_c, out_t, out_g = [], [], []
-    for comp, g in _grouped_batches(batches):
-        rings = build_rings(g["x1"].tolist(), g["y1"].tolist(), g["x2"].tolist(), g["y2"].tolist())
-        polys = rings_to_polygons(rings)
-        out_c.append(comp)
-        out_t.append("POLYGON" if len(polys) == 1 else "MULTIPOLYGON")
-        out_g.append([[[[float(x), float(y)] for x, y in ring] for ring in poly] for poly in polys])
-        if len(out_c) >= 2048:
-            yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
-            out_c, out_t, out_g = [], [], []
-    if out_c:
-        yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if carry and keys[a] != last:
+                yield int(last), carry[0] if len(carry) == 1 else pd.concat(carry, ignore_index=True)
+                carry = []
+            carry.append(pdf.iloc[a:b])
+            last = keys[a]
+    if carry:
+        yield int(last), carry[0] if len(carry) == 1 else pd.concat(carry, ignore_index=True)
+
+
+def _rows(found):
+    """Frames of ``(comp, gtype, coords)`` from an iterator of such tuples."""
+    out = []
+    for row in found:
+        out.append(row)
+        if len(out) >= 2048:
+            yield pd.DataFrame(out, columns=["comp", "gtype", "coords"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["comp", "gtype", "coords"])
+
+
+def unions_from_batches(batches):
+    """``mapInPandas`` body: rows ``(comp, rings)`` sorted by comp, one per member polygon, its rings as flat ordinates ->
+    one union per comp; ``NOT CLOSED`` (no geometry) if its boundary cannot be closed into rings."""
+
+    def one():
+        for comp, g in _grouped_batches(batches):
+            members = [[[np.asarray(ring, dtype=float).reshape(-1, 2) for ring in part] for part in parts] for parts in g["rings"]]
+            polys = overlay.union(members)
+            if polys is None:
+                yield comp, NOT_CLOSED, None
+            else:
+                yield comp, "POLYGON" if len(polys) == 1 else "MULTIPOLYGON", [[[[x, y] for x, y in ring] for ring in poly] for poly in polys]
+
+    return _rows(one())
 
 
 def lines_from_path_batches(batches):
     """``mapInPandas`` body: rows ``(comp, path)`` sorted by comp -> merged line(s) per comp."""
-    out_c, out_t, out_g = [], [], []
-    for comp, g in _grouped_batches(batches):
-        paths = [[(float(c[0]), float(c[1])) for c in path] for path in g["path"]]
-        merged = chain_paths(paths)
-        out_c.append(comp)
-        out_t.append("LINESTRING" if len(merged) == 1 else "MULTILINESTRING")
-        out_g.append([[[[x, y] for x, y in m]] for m in merged])
-        if len(out_c) >= 2048:
-            yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
-            out_c, out_t, out_g = [], [], []
-    if out_c:
-        yield pd.DataFrame({"comp": out_c, "gtype": out_t, "coords": out_g})
+
+    def one():
+        for comp, g in _grouped_batches(batches):
+            merged = chain_paths([[(float(c[0]), float(c[1])) for c in path] for path in g["path"]])
+            yield comp, "LINESTRING" if len(merged) == 1 else "MULTILINESTRING", [[[[x, y] for x, y in m]] for m in merged]
+
+    return _rows(one())

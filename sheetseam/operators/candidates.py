@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.functions import grid
+from sheetseam.schemas import INTERNAL, REGIONS
 from sheetseam.session import big_join, materialize
 
 # Width of a bucket along a sheet line (metres): half a standard sheet width, so a full-width
@@ -112,7 +113,7 @@ def _face_rows(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: P
         "exact": exact,
         "lo": F.col(f"{ac}min_x"),
         "hi": F.col(f"{ac}max_x"),
-        "regions": F.col("regions"),
+        "regions": F.col(REGIONS),
     }
     if is_poly:
         cols["elems"] = F.transform(
@@ -148,7 +149,7 @@ def face_join(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: Pa
         # emit a pair once: in the bucket holding the start of the overlap ...
         & (F.floor(F.greatest(F.col("h.lo"), F.col("l.lo")) / BUCKET).cast("long") == F.col("h.bucket"))
         # a pair needs a crop region in common
-        & (F.col("h.regions").bitwiseAND(F.col("l.regions")) != 0)
+        & F.arrays_overlap("h.regions", "l.regions")
     )
     return j
 
@@ -174,7 +175,7 @@ def _line_fast(h: str = "h", l: str = "l") -> Column:
 def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, geom_source: DataFrame | None = None) -> DataFrame:
     """Join list ``(merge_id, drop_id)``: pairs passing the reference's DE-9IM pattern.
 
-    ``df`` must already carry ``stg``, bbox columns, flags, ``regions`` and be boundary-filtered.
+    ``df`` must already carry ``stg``, bbox columns, flags, region names and be boundary-filtered.
     """
     j = face_join(df, key, attrs, is_poly, spec)
     exact_eq = F.col("h.exact") == F.col("l.exact")
@@ -207,6 +208,12 @@ def relate_pairs(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec:
 
 
 def identify(layer: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, geom: str = "geom") -> DataFrame:
-    """Pass identification: bbox -> flags -> boundary filter -> face join -> relate."""
-    cand = boundary_candidates(layer, is_poly, spec, geom)
-    return relate_pairs(cand, key, attrs, is_poly, spec)
+    """Pass identification: bbox -> flags -> boundary filter -> face join -> relate.
+
+    Key and attributes travel under internal names, so an attribute may be called like any working column."""
+    names = [f"{INTERNAL}a{i}" for i in range(len(attrs))]
+    bare = layer.select(
+        F.col(f"`{key}`").alias(INTERNAL + "key"), *[F.col(f"`{a}`").alias(n) for a, n in zip(attrs, names)], F.col(geom).alias("geom"), REGIONS
+    )
+    cand = boundary_candidates(bare, is_poly, spec)
+    return relate_pairs(cand, INTERNAL + "key", names, is_poly, spec)

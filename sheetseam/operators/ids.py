@@ -10,11 +10,11 @@ task sees all composites.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetseam.schemas import ASSOCIATIONS_SCHEMA, COLLISION_MSG, FINAL_ID_START, REPORT_SCHEMA
-from sheetseam.session import big_join
+from sheetseam.schemas import ASSOCIATIONS_SCHEMA, COLLISION_MSG, FINAL_ID_START, INTERNAL, REPORT_SCHEMA
+from sheetseam.session import big_join, materialize
 
 
 def empty_associations(spark) -> DataFrame:
@@ -25,30 +25,25 @@ def empty_report(spark) -> DataFrame:
     return spark.createDataFrame([], REPORT_SCHEMA)
 
 
-def latest_ids(assoc: DataFrame, scope: str = "global") -> DataFrame:
-    """Per component list the id of its latest log row (ties: larger id). ``scope='layer'`` keys by layer too."""
-    keys = [F.sort_array(F.array_distinct("ufid_components")).alias("comps")]
-    if scope == "layer":
-        keys.append(F.col("layer"))
-    return assoc.groupBy(*keys).agg(F.max_by("ufid", F.struct("ts", "ufid")).alias("found"))
+def latest_ids(assoc: DataFrame) -> DataFrame:
+    """Per component list the id of its latest log row (ties: larger id)."""
+    return assoc.groupBy(F.sort_array(F.array_distinct("ufid_components")).alias("comps")).agg(F.max_by("ufid", F.struct("ts", "ufid")).alias("found"))
 
 
 def dense_rank_by(df: DataFrame, order_col: str, out_col: str = "rank") -> DataFrame:
-    """0-based rank of ``order_col`` (distinct values) without a single-partition window."""
+    """0-based rank of ``order_col`` (distinct values) without a single-partition window: ranks within range
+    partitions, plus a joined table of one offset per partition."""
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part, at = INTERNAL + "part", INTERNAL + "at"
     ordered = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.spark_partition_id())
-    tagged = tagged.checkpoint()  # fixes partitioning and ids, so offsets match the rows
-    counts = tagged.groupBy("_pid").count().orderBy("_pid").collect()  # one row per partition
-    offsets, run = {}, 0
-    for r in counts:
-        offsets[int(r["_pid"])] = run
-        run += int(r["count"])
-    off_map = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) if offsets else None
-    within = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    rank = (off_map[F.col("_pid")] + within) if off_map is not None else within
-    return tagged.withColumn(out_col, rank.cast("long")).drop("_mid", "_pid")
+    tagged = ordered.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.spark_partition_id())
+    tagged = materialize(tagged, "ranked")  # fixes partitioning and numbers, so offsets match the rows
+    sizes = tagged.groupBy(part).count()
+    offsets = sizes.select(F.col(part), (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(INTERNAL + "offset"))  # one row per partition
+    both = tagged.join(F.broadcast(offsets), part)
+    rank = F.col(INTERNAL + "offset") + F.col(at) - F.shiftleft(F.col(part).cast("long"), 33)
+    return both.withColumn(out_col, rank.cast("long")).select(*df.columns, out_col)
 
 
 def assign_final_ids(
@@ -64,25 +59,22 @@ def assign_final_ids(
     assoc = assoc if assoc is not None else empty_associations(spark)
     is_comp = F.size("ufid_components") > 1
     singles = layer.filter(~is_comp)
-    comps = layer.filter(is_comp).withColumn("_comps", F.sort_array(F.array_distinct("ufid_components")))
-    found = latest_ids(assoc, scope)
-    if scope == "layer":
-        comps = comps.withColumn("layer", F.lit(layer_name))
-        jk = (comps["_comps"] == found["comps"]) & (comps["layer"] == found["layer"])
-    else:
-        jk = comps["_comps"] == found["comps"]
+    own, first, new = INTERNAL + "comps", INTERNAL + "first", INTERNAL + "id"
+    comps = layer.filter(is_comp).withColumn(own, F.sort_array(F.array_distinct("ufid_components")))
+    found = latest_ids(assoc.filter(F.col("layer") == layer_name) if scope == "layer" else assoc)
+    found = found.select(F.col("comps").alias(own), F.col("found").alias(new))
     if have_log:
-        looked = big_join(comps, found, jk, "left").drop("comps", "layer")
+        looked = big_join(comps, found, own, "left")
         start_row = assoc.agg(F.max("ufid").alias("m")).collect()[0]["m"]
     else:  # first run: nothing to look up
-        looked = comps.withColumn("found", F.lit(None).cast("long"))
+        looked = comps.withColumn(new, F.lit(None).cast("long"))
         start_row = None
     start = max(FINAL_ID_START, (int(start_row) + 1) if start_row is not None else FINAL_ID_START)
-    fresh = looked.filter(F.col("found").isNull()).withColumn("_first", F.element_at("_comps", 1))
-    fresh = dense_rank_by(fresh, "_first").withColumn("found", F.lit(start) + F.col("rank")).drop("rank", "_first")
-    reused = looked.filter(F.col("found").isNotNull())
+    fresh = looked.filter(F.col(new).isNull()).withColumn(first, F.element_at(own, 1))
+    fresh = dense_rank_by(fresh, first, INTERNAL + "rank").withColumn(new, F.lit(start) + F.col(INTERNAL + "rank")).drop(INTERNAL + "rank", first)
+    reused = looked.filter(F.col(new).isNotNull())
     cols = layer.columns
-    out = reused.unionByName(fresh).withColumn(key, F.col("found").cast(layer.schema[key].dataType)).select(*cols)
+    out = reused.unionByName(fresh).withColumn(key, F.col(new).cast(layer.schema[key].dataType)).select(*cols)
     return singles.unionByName(out)
 
 
@@ -125,11 +117,3 @@ def report_with_associations(report: DataFrame, assoc: DataFrame) -> DataFrame:
     """Report rows joined to the associations they refer to (``ref = ufid``)."""
     return report.join(assoc.withColumnRenamed("ts", "assoc_ts"), report["ref"] == assoc["ufid"])
 
-
-def assemble_components(layer: DataFrame, flists: DataFrame, key: str) -> DataFrame:
-    """Per group, concatenation of the members' component arrays -> sorted distinct.
-
-    ``flists``: ``(comp, id)`` long form; ``layer`` has ``key`` and ``ufid_components``.
-    """
-    j = flists.join(layer.select(F.col(key).alias("id"), "ufid_components"), "id")
-    return j.groupBy("comp").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ufid_components")))).alias("ufid_components"))

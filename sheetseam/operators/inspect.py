@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetseam.schemas import KEY_FALLBACK_NAME, LINE_TYPES, POLYGON_TYPES
+from sheetseam.schemas import KEY_FALLBACK_NAME, LINE_TYPES, POLYGON_TYPES, SYSTEM_COLUMNS
 
 NEVER_KEY = ("ogc_fid", "geom")
 
@@ -19,7 +19,7 @@ def select_except(df: DataFrame, omit) -> DataFrame:
 def attribute_columns(df: DataFrame, key: str, table: str | None = None) -> list[str]:
     """Columns compared for equality when pairing: all but key, geometry, system columns and a
     column named like the table."""
-    skip = {key, "geom", "ogc_fid", "ufid_components", "regions", "stg"}
+    skip = {key, *SYSTEM_COLUMNS}
     if table:
         skip.add(table)
     return [c for c in df.columns if c not in skip]

@@ -1,10 +1,7 @@
 """One merge pass: groups -> merged features, unmerged features, fallback originals.
 
-``dissolve`` (polygon union) cancels shared boundary: ring edges are
-exploded, edges on axis-parallel lines are noded by a coverage sweep (window
-over ``(comp, line)`` ordered by position) so a long edge meeting several short
-ones cancels exactly where it is covered twice, other edges cancel by exact
-match; only the surviving edges reach the per-group ring assembly.
+``dissolve`` (polygon union) sends the rings of each group's members to one task, where
+:mod:`sheetseam.operators.overlay` builds the union; a union that does not close is rejected like a multi-part one.
 
 ``linemerge`` counts path ends per point in Spark; a group with a point of
 degree > 2 cannot become one LINESTRING and is rejected without assembling.
@@ -14,14 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.operators import assemble
 from sheetseam.operators.components import connected_components
-from sheetseam.schemas import BOUNDARY_ERROR_MSG, GEOM_DDL, MULTI_TYPES
-from sheetseam.session import big_join, ship_package
+from sheetseam.schemas import BOUNDARY_ERROR_MSG, GEOM_DDL, GROUP, MULTI_TYPES, REGIONS
+from sheetseam.session import big_join, materialize, ship_package
 
 OPS = ("collect", "union", "linemerge")
 
@@ -32,6 +29,7 @@ class MergeResult:
     report: DataFrame  # ref, msg
     groups: DataFrame  # comp, accepted, gtype
     membership: DataFrame  # id, comp
+    written: tuple = ()  # tables that layer, report and groups read; release them when those are done
 
 
 def _coords_to_geom(gtype: Column, coords: Column) -> Column:
@@ -44,20 +42,6 @@ def _coords_to_geom(gtype: Column, coords: Column) -> Column:
     return F.struct(gtype.alias("gtype"), parts.alias("parts"))
 
 
-def _norm_edges(g: DataFrame) -> DataFrame:
-    """``(comp, ax, ay, bx, by)`` with (ax, ay) < (bx, by); zero-length edges dropped."""
-    e = g.select("comp", F.explode(G.edges("g")).alias("e")).filter(F.col("e.b").isNotNull())
-    a, b = F.col("e.a"), F.col("e.b")
-    swap = (a["x"] > b["x"]) | ((a["x"] == b["x"]) & (a["y"] > b["y"]))
-    return e.select(
-        "comp",
-        F.when(swap, b["x"]).otherwise(a["x"]).alias("ax"),
-        F.when(swap, b["y"]).otherwise(a["y"]).alias("ay"),
-        F.when(swap, a["x"]).otherwise(b["x"]).alias("bx"),
-        F.when(swap, a["y"]).otherwise(b["y"]).alias("by"),
-    ).filter((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
-
-
 def _by_group(df: DataFrame) -> DataFrame:
     """Co-locate each group's rows and sort them, so one Python call handles many groups
     per Arrow batch (instead of one call per group)."""
@@ -66,50 +50,14 @@ def _by_group(df: DataFrame) -> DataFrame:
     return df.repartition(n, "comp").sortWithinPartitions("comp")
 
 
-def dissolve_edges(members: DataFrame) -> DataFrame:
-    """Boundary edges of the union of each group: ``(comp, x1, y1, x2, y2)``."""
-    g = members.select("comp", G.snap("geom").alias("g"))
-    e = _norm_edges(g)
-    horiz = F.col("ay") == F.col("by")
-    vert = F.col("ax") == F.col("bx")
-    hv = e.filter(horiz | vert).select(
-        "comp",
-        F.when(horiz, F.lit("h")).otherwise(F.lit("v")).alias("axis"),
-        F.when(horiz, F.col("ay")).otherwise(F.col("ax")).alias("line"),
-        F.when(horiz, F.col("ax")).otherwise(F.col("ay")).alias("lo"),
-        F.when(horiz, F.col("bx")).otherwise(F.col("by")).alias("hi"),
-    )
-    ev = hv.select(
-        "comp", "axis", "line", F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("pos"), F.lit(-1).alias("d")))).alias("ev")
-    ).groupBy("comp", "axis", "line", F.col("ev.pos").alias("pos")).agg(F.sum("ev.d").alias("d"))
-    w = Window.partitionBy("comp", "axis", "line").orderBy("pos")
-    cov = ev.select(
-        "comp", "axis", "line", "pos",
-        F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cover"),
-        F.lead("pos").over(w).alias("nxt"),
-    ).filter(F.col("nxt").isNotNull() & (F.col("cover") % 2 == 1))
-    is_h = F.col("axis") == "h"
-    kept_hv = cov.select(
-        "comp",
-        F.when(is_h, F.col("pos")).otherwise(F.col("line")).alias("x1"),
-        F.when(is_h, F.col("line")).otherwise(F.col("pos")).alias("y1"),
-        F.when(is_h, F.col("nxt")).otherwise(F.col("line")).alias("x2"),
-        F.when(is_h, F.col("line")).otherwise(F.col("nxt")).alias("y2"),
-    )
-    other = (
-        e.filter(~(horiz | vert))
-        .groupBy("comp", "ax", "ay", "bx", "by")
-        .count()
-        .filter(F.col("count") % 2 == 1)
-        .select("comp", F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
-    )
-    return kept_hv.unionByName(other)
-
-
 def dissolve_polygons(members: DataFrame) -> DataFrame:
-    """``(comp, geom)``: union of each group's polygons (POLYGON, or MULTIPOLYGON if it falls apart)."""
-    edges = _by_group(dissolve_edges(members))
-    out = edges.mapInPandas(assemble.polygons_from_edge_batches, assemble.RING_SCHEMA)
+    """``(comp, geom)``: union of each group's polygons (POLYGON, MULTIPOLYGON if it falls apart, or
+    ``NOT CLOSED`` without parts if its boundary cannot be closed)."""
+    rings = F.transform(
+        F.col("g.parts"), lambda part: F.transform(part, lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    )
+    rows = members.select("comp", G.snap("geom").alias("g")).select("comp", rings.alias("rings"))
+    out = _by_group(rows).mapInPandas(assemble.unions_from_batches, assemble.RING_SCHEMA)
     return out.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
 
 
@@ -164,30 +112,31 @@ def merge_pass(
         raise ValueError(f"op must be one of {OPS}")
     cols = layer.columns
     memb = connected_components(pairs)  # id, comp
-    ids = memb.select(F.col("id").alias(key))
-    unmerged = big_join(layer, ids, key, "left_anti")
-    members = big_join(layer, memb.withColumnRenamed("id", key), key)
-
-    agg = members.groupBy("comp").agg(
-        F.max("ogc_fid").alias("ogc_fid"),
-        *[F.first(a).alias(a) for a in attrs],
-        F.sort_array(F.flatten(F.collect_list("ufid_components"))).alias("ufid_components"),
-        F.bit_or("regions").alias("regions"),
-    )
+    # one shuffle of the layer: every feature with its group, or none
+    tagged = materialize(big_join(layer, memb.select(F.col("id").alias(key), F.col("comp").alias(GROUP)), key, "left"), "tagged")
+    unmerged = tagged.filter(F.col(GROUP).isNull()).select(*cols)
+    members = tagged.filter(F.col(GROUP).isNotNull())
+    shapes = members.select(F.col(GROUP).alias("comp"), "geom")
     if op == "union":
-        geoms = dissolve_polygons(members)
+        geoms = dissolve_polygons(shapes)
     elif op == "linemerge":
-        geoms = merge_lines(members)
+        geoms = merge_lines(shapes)
     else:
-        geoms = collect_geometry(members)
-    merged = big_join(agg, geoms, "comp")
-    accepted_flag = ~F.col("geom.gtype").isin(*MULTI_TYPES)
-    merged = merged.withColumn("accepted", accepted_flag)
+        geoms = collect_geometry(shapes)
+    rejected_types = (*MULTI_TYPES, assemble.NOT_CLOSED)
+    merged = materialize(geoms.withColumn("accepted", ~F.col("geom.gtype").isin(*rejected_types)), "merged")
     groups = merged.select("comp", "accepted", F.col("geom.gtype").alias("gtype"))
 
-    ok = merged.filter("accepted").withColumn(key, F.col("comp")).select(*cols)
-    rejected = groups.filter(~F.col("accepted")).select("comp")
-    fallback_rows = big_join(members, rejected, "comp")
+    agg = members.groupBy(GROUP).agg(
+        F.max("ogc_fid").alias("ogc_fid"),
+        *[F.first(a).alias(a) for a in attrs],
+        F.sort_array(F.flatten(F.collect_set("ufid_components"))).alias("ufid_components"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(REGIONS)))).alias(REGIONS),
+    )
+    accepted = merged.filter("accepted").select(F.col("comp").alias("__comp"), F.col("geom").alias("__geom"))
+    ok = big_join(agg, accepted, F.col(GROUP) == F.col("__comp")).withColumn(key, F.col(GROUP)).withColumnRenamed("__geom", "geom").select(*cols)
+    rejected = merged.filter(~F.col("accepted")).select(F.col("comp").alias(GROUP))
+    fallback_rows = big_join(members, rejected, GROUP)
     fallback = fallback_rows.select(*cols)
     report = fallback_rows.select(F.col(key).cast("long").alias("ref"), F.lit(BOUNDARY_ERROR_MSG.format(table=table)).alias("msg"))
-    return MergeResult(unmerged.unionByName(ok).unionByName(fallback), report, groups, memb)
+    return MergeResult(unmerged.unionByName(ok).unionByName(fallback), report, groups, memb, (tagged, merged))

@@ -1,0 +1,262 @@
+"""Union of the polygons of one group (called per group inside ``mapInPandas``).
+
+Edges run with the interior on their left.  They are cut wherever they meet, cross or lie on each other; for every
+resulting piece the number of polygons on either side is counted by a ray, and a piece is boundary of the union when exactly
+one side is covered.  Repeated, overlapping and nested members, sloped edges met by several short ones, and holes need no special
+case.  Boundary pieces close into rings because as many start as end at every point.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+import numpy as np
+
+#: Metres: points closer than this to an edge's end are that end.
+TOLERANCE = 1e-6
+
+
+def signed_area(ring) -> float:
+    r = np.asarray(ring)
+    r = r - r[0]  # small numbers: sheet coordinates are seven digits long
+    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2)
+
+
+def directed_edges(polygons: list[list[list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end points of all edges, shells counter-clockwise and holes clockwise."""
+    starts, ends = [], []
+    for parts in polygons:
+        for part in parts:
+            for k, ring in enumerate(part):
+                if len(ring) < 4:
+                    continue
+                if (signed_area(ring) > 0) != (k == 0):
+                    ring = ring[::-1]
+                starts.append(ring[:-1])
+                ends.append(ring[1:])
+    if not starts:
+        return np.zeros((0, 2)), np.zeros((0, 2))
+    a, b = np.concatenate(starts), np.concatenate(ends)
+    real = (a != b).any(axis=1)
+    return a[real], b[real]
+
+
+class _Points:
+    """One representative for all points within the tolerance (the first seen)."""
+
+    def __init__(self) -> None:
+        self.cells: dict[tuple[int, int], list[tuple]] = {}
+        self.known: dict[tuple, tuple] = {}
+
+    def __call__(self, p: tuple) -> tuple:
+        got = self.known.get(p)
+        if got is None:
+            x, y = int(p[0] // (2 * TOLERANCE)), int(p[1] // (2 * TOLERANCE))
+            near = (q for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for q in self.cells.get((i, j), ()))
+            got = next((q for q in near if abs(q[0] - p[0]) <= TOLERANCE and abs(q[1] - p[1]) <= TOLERANCE), None)
+            if got is None:
+                got = p
+                self.cells.setdefault((x, y), []).append(p)
+            self.known[p] = got
+        return got
+
+
+def _meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of edges whose boxes touch: a sweep over x."""
+    lo, hi = np.minimum(a, b) - TOLERANCE, np.maximum(a, b) + TOLERANCE
+    order = np.argsort(lo[:, 0], kind="stable")
+    reach = np.searchsorted(lo[order, 0], hi[order, 0], side="right")
+    left, right = [], []
+    for k, i in enumerate(order):
+        later = order[k + 1 : reach[k]]
+        touch = later[(lo[later, 1] <= hi[i, 1]) & (hi[later, 1] >= lo[i, 1])]
+        if len(touch):
+            left.append(np.full(len(touch), i))
+            right.append(touch)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def noded(a: np.ndarray, b: np.ndarray) -> list[tuple[tuple, tuple]]:
+    """The edges cut at every point where they meet."""
+    same = _Points()
+    a, b = (np.array([same(p) for p in map(tuple, x.tolist())]).reshape(-1, 2) for x in (a, b))
+    real = (a != b).any(axis=1)
+    a, b = a[real], b[real]
+    cuts: dict[int, list[tuple[float, tuple]]] = defaultdict(list)
+    i, j = _meeting(a, b)
+    d = b - a
+    size = np.hypot(d[:, 0], d[:, 1])
+
+    def place(edge: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of points along edges (0 to 1) and their distance from the edges' lines."""
+        w = point - a[edge]
+        along = (w * d[edge]).sum(axis=1) / size[edge] ** 2
+        off = np.abs(w[:, 0] * d[edge, 1] - w[:, 1] * d[edge, 0]) / size[edge]
+        return along, off
+
+    def cut(edge: np.ndarray, along: np.ndarray, point: np.ndarray) -> None:
+        for e, t, p in zip(edge.tolist(), along.tolist(), point.tolist(), strict=True):
+            cuts[e].append((t, same((p[0], p[1]))))
+
+    if len(i):
+        # ends of one edge on the other
+        touching = np.zeros(len(i), dtype=bool)
+        for edge, other in ((i, j), (j, i)):
+            for end in (a, b):
+                p = end[other]
+                t, off = place(edge, p)
+                touching |= (off <= TOLERANCE) & (t * size[edge] >= -TOLERANCE) & ((1 - t) * size[edge] >= -TOLERANCE)
+                on = (off <= TOLERANCE) & (t * size[edge] > TOLERANCE) & ((1 - t) * size[edge] > TOLERANCE)
+                cut(edge[on], t[on], p[on])
+        # proper crossings, where no end lies on the other edge
+        cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+        skew = (np.abs(cross) > 1e-12 * size[i] * size[j]) & ~touching
+        i, j, cross = i[skew], j[skew], cross[skew]
+        w = a[j] - a[i]
+        t = (w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / cross
+        u = (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / cross
+        inside = (t * size[i] > TOLERANCE) & ((1 - t) * size[i] > TOLERANCE) & (u * size[j] > TOLERANCE) & ((1 - u) * size[j] > TOLERANCE)
+        p = a[i] + t[:, None] * d[i]
+        cut(i[inside], t[inside], p[inside])
+        cut(j[inside], u[inside], p[inside])
+    out = []
+    for e, (s, z) in enumerate(zip(map(tuple, a.tolist()), map(tuple, b.tolist()), strict=True)):
+        last = s
+        for _, p in sorted(cuts.get(e, ())):
+            if p != last:
+                out.append((last, p))
+                last = p
+        if z != last:
+            out.append((last, z))
+    return out
+
+
+def _covered(at: np.ndarray, low: np.ndarray, high: np.ndarray, net: np.ndarray, axis: int) -> np.ndarray:
+    """For each point the sum of ``net`` over the edges that a ray towards smaller ``1 - axis`` values meets; edges run from
+    ``low`` to ``high`` in the order of ``axis``."""
+    out = np.zeros(len(at), dtype=np.int64)
+    other = 1 - axis
+    order = np.argsort(at[:, axis])
+    for k in range(0, len(order), 256):
+        some = order[k : k + 256]
+        x = at[some, axis]
+        near = np.flatnonzero((low[:, axis] <= x[-1]) & (high[:, axis] > x[0]))
+        if not len(near):
+            continue
+        lo, hi = low[near], high[near]
+        hit = (lo[None, :, axis] <= x[:, None]) & (hi[None, :, axis] > x[:, None])
+        slope = (hi[:, other] - lo[:, other]) / (hi[:, axis] - lo[:, axis])
+        value = lo[None, :, other] + slope[None, :] * (x[:, None] - lo[None, :, axis])
+        out[some] = ((hit & (value < at[some, other][:, None])) * net[near][None, :]).sum(axis=1)
+    return out
+
+
+def boundary(pieces: list[tuple[tuple, tuple]]) -> list[tuple[tuple, tuple]]:
+    """The pieces with exactly one covered side, interior on the left."""
+    count: dict[tuple, list[int]] = {}
+    for p, q in pieces:
+        key, k = ((p, q), 0) if p < q else ((q, p), 1)
+        count.setdefault(key, [0, 0])[k] += 1
+    if not count:
+        return []
+    u = np.array([k[0] for k in count])
+    v = np.array([k[1] for k in count])
+    net = np.array([f - g for f, g in count.values()], dtype=np.int64)  # u < v: by x, then y
+    middle = (u + v) / 2
+    upright = u[:, 0] == v[:, 0]
+    before = np.zeros(len(u), dtype=np.int64)  # covering below (left of, for upright pieces)
+    lying = ~upright
+    # a piece's own line passes through its middle: it is not strictly below
+    before[lying] = _covered_but_self(middle, u, v, net, lying, 0)
+    rising = np.where(u[:, 1] < v[:, 1], 1, -1)
+    steep = u[:, 1] != v[:, 1]
+    low = np.where((rising > 0)[:, None], u, v)
+    high = np.where((rising > 0)[:, None], v, u)
+    if upright.any():
+        # going right over a rising piece (interior on its left) leaves a polygon
+        before[upright] = _covered(middle[upright], low[steep & ~upright], high[steep & ~upright], (-net * rising)[steep & ~upright], 1)
+        before[upright] += _covered(middle[upright], low[upright], high[upright], (-net)[upright], 1)
+    after = np.where(upright, before - net, before + net)
+    out = []
+    for k, (p, q) in enumerate(count):
+        if (before[k] > 0) != (after[k] > 0):
+            interior_left = before[k] > 0 if upright[k] else after[k] > 0
+            out.append((p, q) if interior_left else (q, p))
+    return out
+
+
+def _covered_but_self(middle, u, v, net, lying, axis) -> np.ndarray:
+    low, high, own = u[lying], v[lying], net[lying]
+    at = middle[lying]
+    got = _covered(at, low, high, own, axis)
+    # rounding may put a piece just below its own middle
+    slope = (high[:, 1] - low[:, 1]) / (high[:, 0] - low[:, 0])
+    self_below = (low[:, 1] + slope * (at[:, 0] - low[:, 0])) < at[:, 1]
+    return got - self_below * own
+
+
+def rings_of(edges: list[tuple[tuple, tuple]]) -> list[list[tuple]] | None:
+    """Simple closed rings (a ring that touches itself is split there); None if some edge does not close."""
+    out: dict[tuple, list[tuple]] = defaultdict(list)
+    for p, q in edges:
+        out[p].append(q)
+    rings = []
+    for start in list(out):
+        while out[start]:
+            path, where = [start], {start: 0}
+            while True:
+                nxt = out.get(path[-1])
+                if not nxt:
+                    return None
+                p = nxt.pop()
+                if p in where:
+                    k = where[p]
+                    ring = path[k:] + [p]
+                    for x in path[k + 1 :]:
+                        del where[x]
+                    del path[k + 1 :]
+                    rings.append(ring)
+                    if k == 0:
+                        break
+                else:
+                    where[p] = len(path)
+                    path.append(p)
+    return rings
+
+
+def _inside(point, ring: np.ndarray) -> bool:
+    x, y = point
+    a, b = ring[:-1], ring[1:]
+    up = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[up], b[up]
+    return bool((x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]).sum() % 2)
+
+
+def _from_least(ring: list[tuple]) -> list[tuple]:
+    k = min(range(len(ring) - 1), key=ring.__getitem__)
+    return ring[k:-1] + ring[:k] + [ring[k]]
+
+
+def union(polygons: list[list[list[np.ndarray]]]) -> list[list[list[tuple]]] | None:
+    """Polygons (shell first, then holes) of the union; None if the boundary does not close into rings."""
+    rings = rings_of(boundary(noded(*directed_edges(polygons))))
+    if not rings:
+        return None
+    sized = [(signed_area(r), _from_least(r)) for r in rings]
+    shells = sorted(((s, r) for s, r in sized if s > 0), key=lambda x: (x[0], x[1]))
+    polys = [[r] for _, r in shells]
+    arrays = [np.array(r) for _, r in shells]
+    for s, r in sized:
+        if s > 0:
+            continue
+        (x1, y1), (x2, y2) = r[0], r[1]
+        n = np.hypot(x2 - x1, y2 - y1)
+        step = min(1e-3, n * 1e-3)
+        probe = ((x1 + x2) / 2 - (y2 - y1) / n * step, (y1 + y2) / 2 + (x2 - x1) / n * step)  # just inside the polygon
+        owner = next((k for k, shell in enumerate(arrays) if _inside(probe, shell)), None)
+        if owner is None:
+            return None
+        polys[owner].append(r)
+    return sorted(polys)

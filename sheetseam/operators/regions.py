@@ -1,11 +1,12 @@
-"""Crop-region membership (spatial inner join feature x region).
-
-Crop regions are a handful of polygons.  Their count and vertex total are
-checked, then they are inlined into the plan as a literal array, so the
-"join" is a per-row ``filter`` over that array: no shuffle and no broadcast
-exchange.  The exact intersection test (vertex-in-polygon and closed segment
-intersection, as higher-order functions) only matters when the feature's
-bounding box is not wholly inside a rectangular region.
+"""Crop-region membership (spatial inner join feature x region), for regions of any shape and number.
+
+A feature belongs to a region when an edge of one meets an edge of the other, a path of the feature starts inside the
+region, or a ring of the region starts inside the feature.  Inside is the parity of crossings over the edges of *all*
+rings, so holes and several parts need no special case.
+
+* A few small regions (checked: ``INLINE_REGIONS``, ``INLINE_EDGES``) are constants of the plan: per row, no shuffle.
+* Otherwise both sides are cut into sheet-sized cells and joined on the cell.  Cells wholly inside a region decide at once; features in
+  cells that a region edge touches are compared with the edges in their own cells and rows of cells only.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
+from sheetseam.schemas import REGIONS
+from sheetseam.session import big_join
 
-MAX_REGIONS = 63  # one bit per region in a long mask
-MAX_REGION_VERTICES = 200_000
+#: Regions up to this number and total of edges are written into the plan; larger sets are joined by cells.
+INLINE_REGIONS, INLINE_EDGES = 64, 2000
+CELL_W, CELL_H = 24000.0, 36000.0
 
 
 def _orient(a, b, c) -> Column:
@@ -61,112 +65,163 @@ def _ring_edges(v: Column) -> Column:
     return F.zip_with(F.slice(v, 1, n - 1), F.slice(v, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def intersects(fv: Column, fe: Column, f_is_poly: Column, rv: Column, re: Column) -> Column:
-    def body(s):
-        v, e = s["v"], s["e"]
-        return (
-            F.exists(v, lambda p: point_in_polygon(p, re))
-            | (f_is_poly & F.exists(rv, lambda q: point_in_polygon(q, e)))
-            | F.exists(e, lambda e1: F.exists(re, lambda e2: seg_intersects(e1["a"], e1["b"], e2["a"], e2["b"])))
-        )
+def _edges(geom="geom") -> Column:
+    """Edges of every path or ring (never from one ring to the next)."""
+    return F.filter(G.edges(geom), lambda e: e["b"].isNotNull())
 
-    return G.let(F.struct(fv.alias("v"), fe.alias("e")), body)
-
-
-def region_rows(regions: DataFrame) -> list[dict]:
-    """Collect the (size-checked) crop regions: name, bbox, vertices, rectangle flag."""
-    cached = getattr(regions, "_sheetseam_rows", None)
-    if cached is not None:
-        return cached
-    rows = _collect_regions(regions)
-    regions._sheetseam_rows = rows
-    return rows
-
-
-def _collect_regions(regions: DataFrame) -> list[dict]:
-    n = regions.count()
-    if n > MAX_REGIONS:
-        raise ValueError(f"{n} crop regions: at most {MAX_REGIONS} are supported")
-    rows = (
-        regions.select(
-            "region",
-            G.xmin("geom").alias("xmin"),
-            G.ymin("geom").alias("ymin"),
-            G.xmax("geom").alias("xmax"),
-            G.ymax("geom").alias("ymax"),
-            G.vertices("geom").alias("v"),
-        )
-        .orderBy("region")
-        .collect()
-    )
-    total = sum(len(r["v"]) for r in rows)
-    if total > MAX_REGION_VERTICES:
-        raise ValueError(f"crop regions have {total} vertices: too many to inline")
-    out = []
-    for r in rows:
-        verts = [(float(p["x"]), float(p["y"])) for p in r["v"]]
-        out.append(
-            {
-                "region": r["region"],
-                "xmin": float(r["xmin"]),
-                "ymin": float(r["ymin"]),
-                "xmax": float(r["xmax"]),
-                "ymax": float(r["ymax"]),
-                "is_rect": len({x for x, _ in verts}) == 2 and len({y for _, y in verts}) == 2,
-                "v": verts,
-            }
-        )
-    return out
 
+def _firsts(geom="geom") -> Column:
+    """First vertex of every path or ring."""
+    return F.transform(F.flatten(F.col(geom)["parts"] if isinstance(geom, str) else geom["parts"]), lambda p: F.element_at(p, 1))
 
-def region_mask(regs: list[dict], geom: str = "geom") -> Column:
-    """Column (long): bit ``i`` set when the feature intersects region ``i`` (regions by name).
-
-    Plain constants and CASE only, so it is code-generated; the exact (lambda) test runs
-    only for features whose bbox straddles a region's bbox edge."""
-    fx0, fx1, fy0, fy1 = G.xmin(geom), G.xmax(geom), G.ymin(geom), G.ymax(geom)
-    fv = G.vertices(geom)
-    fe = F.filter(G.edges(geom), lambda e: e["b"].isNotNull())
-    is_poly = F.col(geom)["gtype"].isin("POLYGON", "MULTIPOLYGON")
-    mask = F.lit(0).cast("long")
-    for i, r in enumerate(regs):
-        overlap = (fx0 <= r["xmax"]) & (fx1 >= r["xmin"]) & (fy0 <= r["ymax"]) & (fy1 >= r["ymin"])
-        inside = (fx0 >= r["xmin"]) & (fx1 <= r["xmax"]) & (fy0 >= r["ymin"]) & (fy1 <= r["ymax"])
-        rv = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in r["v"]])
-        exact = intersects(fv, fe, is_poly, rv, _ring_edges(rv))
-        bit = F.lit(1 << i).cast("long")
-        c = F.when(~overlap, F.lit(0).cast("long"))
-        if r["is_rect"]:
-            c = c.when(inside, bit)
-        mask = mask.bitwiseOR(c.when(exact, bit).otherwise(F.lit(0).cast("long")))
-    return mask
 
+def _is_area(geom="geom") -> Column:
+    return F.col(geom)["gtype"].isin("POLYGON", "MULTIPOLYGON")
 
-def mask_names(mask: Column, names: list[str]) -> Column:
-    """Sorted region names of a mask (output form)."""
-    parts = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
-    return F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
 
+def small_regions(regions: DataFrame) -> list[dict] | None:
+    """Name, box, edges, ring starts and rectangle flag of the regions; None if they are too many to write into a plan."""
+    sized = regions.select("region", "geom", F.size(_edges()).alias("n"))
+    total = sized.agg(F.count("*").alias("c"), F.sum("n").alias("e")).first()
+    if total.c > INLINE_REGIONS or (total.e or 0) > INLINE_EDGES:
+        return None
+    out = []
+    for r in sized.select("region", _edges().alias("e"), _firsts().alias("f")).orderBy("region").collect():
+        edges = [((x.a.x, x.a.y), (x.b.x, x.b.y)) for x in r.e]
+        if not edges:
+            continue
+        xs, ys = [p[0] for e in edges for p in e], [p[1] for e in edges for p in e]
+        box = (min(xs), min(ys), max(xs), max(ys))
+        corners = {(x, y) for x in box[::2] for y in box[1::2]}
+        level = all(p[0] == q[0] or p[1] == q[1] for p, q in edges)
+        out.append({
+            "region": r.region, "box": box, "edges": edges, "firsts": [(p.x, p.y) for p in r.f],
+            "is_rect": len(r.f) == 1 and len(edges) == 4 and level and {e[0] for e in edges} == corners and len(corners) == 4,
+        })
+    return out
 
-def lowest_bit(mask: Column) -> Column:
-    return mask.bitwiseAND(-mask)
 
+def _points(points) -> Column:
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
 
-def region_names(regions: DataFrame) -> list[str]:
-    return [r["region"] for r in sorted(region_rows(regions), key=lambda r: r["region"])]
 
+def _meets(edges: Column, firsts: Column):
+    """Test of a feature (struct of edges e, path starts f, is it an area) against a region's edges and ring starts."""
 
-def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:
-    """Long form ``(extra..., key, region)``; features outside every region produce no row."""
-    regs = sorted(region_rows(regions), key=lambda r: r["region"])
-    names = [r["region"] for r in regs]
-    m = region_mask(regs, geom)
-    return layer.select(*extra, key, F.explode(mask_names(m, names)).alias("region"))
+    def test(s: Column) -> Column:
+        return (
+            F.exists(s["f"], lambda p: point_in_polygon(p, edges))
+            | (s["area"] & F.exists(firsts, lambda q: point_in_polygon(q, s["e"])))
+            | F.exists(s["e"], lambda e1: F.exists(edges, lambda e2: seg_intersects(e1["a"], e1["b"], e2["a"], e2["b"])))
+        )
+
+    return test
 
 
-def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom") -> DataFrame:
-    """Attach ``regions`` (bitmask) and drop features outside all regions (``None``: one region)."""
+def _inline(regs: list[dict], geom: str) -> Column:
+    """Sorted names of the regions that the feature meets: constants and CASE; the exact test (lambdas) runs
+    only for features that straddle a region's box, or where the region is no rectangle."""
+    x0, x1, y0, y1 = G.xmin(geom), G.xmax(geom), G.ymin(geom), G.ymax(geom)
+    names = []
+    for r in regs:
+        bx0, by0, bx1, by1 = r["box"]
+        apart = (x0 > bx1) | (x1 < bx0) | (y0 > by1) | (y1 < by0)
+        inside = (x0 >= bx0) & (x1 <= bx1) & (y0 >= by0) & (y1 <= by1)
+        theirs = F.array(*[F.struct(F.element_at(_points(e), 1).alias("a"), F.element_at(_points(e), 2).alias("b")) for e in r["edges"]])
+
+        exact = G.let(F.struct(_edges(geom).alias("e"), _firsts(geom).alias("f"), _is_area(geom).alias("area")), _meets(theirs, _points(r["firsts"])))
+        found = F.when(apart, F.lit(False))
+        if r["is_rect"]:
+            found = found.when(inside, F.lit(True))
+        names.append(F.when(found.otherwise(exact), F.lit(r["region"])))
+    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+
+
+def _cell(x: Column, size: float) -> Column:
+    return F.floor(x / size).cast("long")
+
+
+def _cells(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """All (cx, cy) of a box."""
+    across, up = F.sequence(_cell(x0, CELL_W), _cell(x1, CELL_W)), F.sequence(_cell(y0, CELL_H), _cell(y1, CELL_H))
+    return F.flatten(F.transform(across, lambda i: F.transform(up, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def _edge_rows(df: DataFrame, *keep: str) -> DataFrame:
+    e = df.select(*keep, F.explode(_edges()).alias("e"))
+    return e.select(*keep, F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+
+
+def _edge_cells(edges: DataFrame, *keep: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    box = _cells(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]), F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+    return edges.select(*keep, "a", "b", F.explode(box).alias("c")).select(*keep, "a", "b", "c.cx", "c.cy")
+
+
+def _odd(points: DataFrame, edges: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """``by`` of the points with an odd number of edges of their row of cells to the right of them."""
+    a, b, p = F.col("a"), F.col("b"), F.col("p")
+    right = ((a["y"] > p["y"]) != (b["y"] > p["y"])) & (p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"])
+    hits = big_join(points, edges, on).filter(right)
+    return hits.groupBy(*by).count().filter("count % 2 = 1").select(*by)
+
+
+def _rows_of(edges: DataFrame, *keep: str) -> DataFrame:
+    """Edges in every row of cells that they span."""
+    a, b = F.col("a"), F.col("b")
+    rows = F.sequence(_cell(F.least(a["y"], b["y"]), CELL_H), _cell(F.greatest(a["y"], b["y"]), CELL_H))
+    return edges.select(*keep, "a", "b", F.explode(rows).alias("cy"))
+
+
+def _by_cells(features: DataFrame, regions: DataFrame) -> DataFrame:
+    """``(id, region)`` pairs that meet; ``features``: (id, geom)."""
+    border = _edge_rows(regions, "region")
+    border_cells = _edge_cells(border, "region")
+    border_rows = _rows_of(border, "region")
+    touched = border_cells.select("region", "cx", "cy").distinct()
+    # cells of a region's box without an edge are inside or outside as a whole: their middle decides
+    boxes = regions.select("region", F.explode(_cells(G.xmin(), G.xmax(), G.ymin(), G.ymax())).alias("c")).select("region", "c.cx", "c.cy").distinct()
+    quiet = big_join(boxes, touched, ["region", "cx", "cy"], "left_anti")
+    middles = quiet.select("region", "cx", "cy", F.struct(((F.col("cx") + 0.5) * CELL_W).alias("x"), ((F.col("cy") + 0.5) * CELL_H).alias("y")).alias("p"))
+    full = _odd(middles, border_rows, ["region", "cy"], ["region", "cx", "cy"])
+    cells = touched.withColumn("full", F.lit(0)).unionByName(full.withColumn("full", F.lit(1)))
+    own = features.select("id", _cells(G.xmin(), G.xmax(), G.ymin(), G.ymax()).alias("cs"))
+    own = own.select("id", F.size("cs").alias("n"), F.explode("cs").alias("c")).select("id", "n", "c.cx", "c.cy")
+    near = big_join(own, cells, ["cx", "cy"]).groupBy("id", "region").agg(F.first("n").alias("n"), F.sum("full").alias("full"))
+    whole = near.filter("full = n").select("id", "region")
+    open_ = near.filter("full < n").select("id", "region")
+    shapes = big_join(open_, features, "id")
+    # edges that meet
+    mine = _edge_cells(_edge_rows(shapes, "id", "region"), "id", "region")
+    theirs = border_cells.select("region", "cx", "cy", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    crossing = big_join(mine, theirs, ["region", "cx", "cy"]).filter(seg_intersects(F.col("a"), F.col("b"), F.col("ra"), F.col("rb"))).select("id", "region")
+    # a path of the feature starts inside the region
+    starts = shapes.select("id", "region", F.posexplode(_firsts()).alias("k", "p")).withColumn("cy", _cell(F.col("p.y"), CELL_H))
+    inside = _odd(starts, border_rows, ["region", "cy"], ["id", "region", "k"]).select("id", "region")
+    # a ring of the region starts inside the feature
+    seeds = regions.select("region", F.explode(_firsts()).alias("p")).withColumns({"cx": _cell(F.col("p.x"), CELL_W), "cy": _cell(F.col("p.y"), CELL_H)})
+    areas = big_join(big_join(own.select("id", "cx", "cy"), seeds, ["cx", "cy"]), open_, ["id", "region"])
+    areas = big_join(areas, features.filter(_is_area()), "id")
+    holding = areas.filter(point_in_polygon(F.col("p"), _edges())).select("id", "region")
+    return whole.unionByName(crossing).unionByName(inside).unionByName(holding).distinct()
+
+
+def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom", key: str | None = None) -> DataFrame:
+    """Attach the sorted names of the regions that each feature meets (``None``: one region for all) and drop
+    features outside all regions.  ``key`` is needed where the regions are too many to write into the plan."""
     if regions is None:
-        return layer.withColumn("regions", F.lit(1).cast("long"))
-    regs = sorted(region_rows(regions), key=lambda r: r["region"])
-    return layer.withColumn("regions", region_mask(regs, geom)).filter(F.col("regions") != 0)
+        return layer.withColumn(REGIONS, F.array(F.lit("all")))
+    small = small_regions(regions)
+    if small is not None:
+        return layer.withColumn(REGIONS, _inline(small, geom)).filter(F.size(REGIONS) > 0)
+    pairs = _by_cells(layer.select(F.col(key).alias("id"), F.col(geom).alias("geom")), regions)
+    found = pairs.groupBy("id").agg(F.sort_array(F.collect_set("region")).alias(REGIONS)).withColumnRenamed("id", key)
+    return big_join(layer, found, key).select(*layer.columns, REGIONS)
+
+
+def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:
+    """Long form ``(extra..., key, region)``; features outside every region produce no row.  ``extra`` and key together name a feature."""
+    if small_regions(regions) is not None:
+        return with_regions(layer, regions, geom).select(*extra, key, F.explode(REGIONS).alias("region"))
+    named = layer.withColumn("__seam_id", F.struct(*extra, key))
+    return with_regions(named, regions, geom, "__seam_id").select(*extra, key, F.explode(REGIONS).alias("region"))

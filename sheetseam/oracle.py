@@ -43,12 +43,12 @@ POLY = """poly AS (
   FROM orders)"""
 
 LINE = """line0 AS (
-  SELECT event_id AS ufid, event_id AS ogc_fid, event_id // 1599 AS slot, event_type AS cls,
+  SELECT 2 * event_id AS ufid, 2 * event_id AS ogc_fid, event_id // 1599 AS slot, event_type AS cls,
          1120000 + 24000 * ((event_id // 39) % 41) AS x1, 4758000 + 36000 * (event_id % 39) AS y1,
          1120000 + 24000 * ((event_id // 39) % 41) AS x2, 4758000 + 36000 * (event_id % 39) + 36000 AS y2
   FROM events
   UNION ALL
-  SELECT event_id + 1000000, event_id + 1000000, event_id // 1599, event_type,
+  SELECT 2 * event_id + 1, 2 * event_id + 1, event_id // 1599, event_type,
          1120000 + 24000 * ((event_id // 39) % 41) + 1000, 4758000 + 36000 * (event_id % 39),
          1120000 + 24000 * ((event_id // 39) % 41), 4758000 + 36000 * (event_id % 39) + 36000
   FROM events WHERE event_id % 7 = 0),
@@ -60,7 +60,7 @@ REGIONS = """regions(region, rx0, ry0, rx1, ry1) AS (
 
 
 def member_regions(src: str, name: str) -> str:
-    return f"""{name} AS (SELECT p.ufid, r.region FROM {src} p JOIN regions r
+    return f"""{name} AS MATERIALIZED (SELECT p.ufid, r.region FROM {src} p JOIN regions r
   ON p.wv <= r.rx1 AND p.ev >= r.rx0 AND p.sv <= r.ry1 AND p.nv >= r.ry0)"""
 
 
@@ -71,7 +71,7 @@ def common_region(reg: str, a: str, b: str) -> str:
 def components(pairs: str, name: str) -> str:
     return f"""{name}_e AS (SELECT merge_id AS a, drop_id AS b FROM {pairs} UNION ALL SELECT drop_id, merge_id FROM {pairs}),
 {name}_r(id, comp) AS (SELECT a, a FROM {name}_e UNION SELECT e.b, r.comp FROM {name}_r r JOIN {name}_e e ON e.a = r.id),
-{name} AS (SELECT id, min(comp) AS comp FROM {name}_r GROUP BY id)"""
+{name} AS MATERIALIZED (SELECT id, min(comp) AS comp FROM {name}_r GROUP BY id)"""
 
 
 ATTRS = "a.slot IS NOT DISTINCT FROM b.slot AND a.cls IS NOT DISTINCT FROM b.cls"
@@ -80,28 +80,28 @@ ATTRS = "a.slot IS NOT DISTINCT FROM b.slot AND a.cls IS NOT DISTINCT FROM b.cls
 POLY_PASSES = f"""{POLY},
 {REGIONS},
 {member_regions('poly', 'preg')},
-polyr AS (SELECT * FROM poly WHERE ufid IN (SELECT ufid FROM preg)),
-pns AS (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
+polyr AS MATERIALIZED (SELECT * FROM poly SEMI JOIN preg ON preg.ufid = poly.ufid),
+pns AS MATERIALIZED (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
   FROM polyr a JOIN polyr b ON a.nv = b.sv AND {ATTRS} AND least(a.ev, b.ev) > greatest(a.wv, b.wv) AND a.ufid <> b.ufid
   WHERE a.nv % 1000 = 0 AND b.sv % 1000 = 0 AND {ns_filter('a')} AND {ns_filter('b')} AND {common_region('preg', 'a', 'b')}),
 {components('pns', 'pm1')},
-p1 AS (
-  SELECT ufid, ogc_fid, slot, cls, wv, ev, sv, nv, [ufid] AS comps FROM polyr WHERE ufid NOT IN (SELECT id FROM pm1)
+p1 AS MATERIALIZED (
+  SELECT ufid, ogc_fid, slot, cls, wv, ev, sv, nv, [ufid] AS comps FROM polyr ANTI JOIN pm1 ON pm1.id = polyr.ufid
   UNION ALL
   SELECT m.comp, max(p.ogc_fid), any_value(p.slot), any_value(p.cls), min(p.wv), max(p.ev), min(p.sv), max(p.nv), list_sort(list(p.ufid))
   FROM pm1 m JOIN polyr p ON p.ufid = m.id GROUP BY m.comp),
-p1reg AS (SELECT DISTINCT coalesce(m.comp, r.ufid) AS ufid, r.region FROM preg r LEFT JOIN pm1 m ON m.id = r.ufid),
-pew AS (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
+p1reg AS MATERIALIZED (SELECT DISTINCT coalesce(m.comp, r.ufid) AS ufid, r.region FROM preg r LEFT JOIN pm1 m ON m.id = r.ufid),
+pew AS MATERIALIZED (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
   FROM p1 a JOIN p1 b ON a.ev = b.wv AND {ATTRS} AND least(a.nv, b.nv) > greatest(a.sv, b.sv) AND a.ufid <> b.ufid
   WHERE a.ev % 1000 = 0 AND b.wv % 1000 = 0 AND {ew_filter('a')} AND {ew_filter('b')} AND {common_region('p1reg', 'a', 'b')}),
 {components('pew', 'pm2')},
-pfin AS (
-  SELECT ufid, ogc_fid, slot, cls, wv, ev, sv, nv, comps FROM p1 WHERE ufid NOT IN (SELECT id FROM pm2)
+pfin AS MATERIALIZED (
+  SELECT ufid, ogc_fid, slot, cls, wv, ev, sv, nv, comps FROM p1 ANTI JOIN pm2 ON pm2.id = p1.ufid
   UNION ALL
   SELECT m.comp, max(p.ogc_fid), any_value(p.slot), any_value(p.cls), min(p.wv), max(p.ev), min(p.sv), max(p.nv), list_sort(flatten(list(p.comps)))
   FROM pm2 m JOIN p1 p ON p.ufid = m.id GROUP BY m.comp),
-pids AS (SELECT comps, 100000000 + row_number() OVER (ORDER BY comps[1]) - 1 AS nid FROM pfin WHERE len(comps) > 1),
-pfinal AS (SELECT coalesce(i.nid, f.ufid) AS fid, f.* FROM pfin f LEFT JOIN pids i ON i.comps = f.comps)"""
+pids AS (SELECT comps[1] AS first, 100000000 + row_number() OVER (ORDER BY comps[1]) - 1 AS nid FROM pfin WHERE len(comps) > 1),
+pfinal AS (SELECT coalesce(i.nid, f.ufid) AS fid, f.* FROM pfin f LEFT JOIN pids i ON len(f.comps) > 1 AND i.first = f.comps[1])"""
 
 # ---------------------------------------------------------------- line layer, both passes
 def _top_x(t: str) -> str:
@@ -137,38 +137,38 @@ def _ends(src: str, memb: str) -> str:
 LINE_PASSES = f"""{LINE},
 {REGIONS},
 {member_regions('line', 'lreg')},
-lr AS (SELECT * FROM line WHERE ufid IN (SELECT ufid FROM lreg)),
-lns AS (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
+lr AS MATERIALIZED (SELECT * FROM line SEMI JOIN lreg ON lreg.ufid = line.ufid),
+lns AS MATERIALIZED (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
   FROM lr a JOIN lr b ON a.nv = b.sv AND {ATTRS} AND a.ufid <> b.ufid AND {_top_x('a')} = {_bottom_x('b')}
   WHERE a.nv % 1000 = 0 AND b.sv % 1000 = 0 AND {ns_filter('a')} AND {ns_filter('b')} AND {common_region('lreg', 'a', 'b')}),
 {components('lns', 'lm1')},
 ldeg1 AS (SELECT comp, max(c) AS maxdeg FROM (SELECT comp, x, y, count(*) AS c FROM ({_ends('lr', 'lm1')}) GROUP BY comp, x, y) GROUP BY comp),
-l1 AS (
+l1 AS MATERIALIZED (
   SELECT ufid, ogc_fid, slot, cls, x1, y1, x2, y2, wv, ev, sv, nv, npts, len, [ufid] AS comps FROM lr
   WHERE ufid NOT IN (SELECT m.id FROM lm1 m JOIN ldeg1 d ON d.comp = m.comp WHERE d.maxdeg <= 2)
   UNION ALL
   SELECT m.comp, max(l.ogc_fid), any_value(l.slot), any_value(l.cls), min(l.wv), min(l.sv), max(l.ev), max(l.nv),
          min(l.wv), max(l.ev), min(l.sv), max(l.nv), sum(l.npts) - count(*) + 1, sum(l.len), list_sort(list(l.ufid))
   FROM lm1 m JOIN lr l ON l.ufid = m.id JOIN ldeg1 d ON d.comp = m.comp WHERE d.maxdeg <= 2 GROUP BY m.comp),
-l1reg AS (SELECT DISTINCT coalesce(m.comp, r.ufid) AS ufid, r.region FROM lreg r
+l1reg AS MATERIALIZED (SELECT DISTINCT coalesce(m.comp, r.ufid) AS ufid, r.region FROM lreg r
   LEFT JOIN (SELECT m.* FROM lm1 m JOIN ldeg1 d ON d.comp = m.comp WHERE d.maxdeg <= 2) m ON m.id = r.ufid),
-lew AS (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
+lew AS MATERIALIZED (SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id
   FROM l1 a JOIN l1 b ON a.ev = b.wv AND {ATTRS} AND a.ufid <> b.ufid AND {_ew_touch('a', 'b')}
   WHERE a.ev % 1000 = 0 AND b.wv % 1000 = 0 AND {ew_filter('a')} AND {ew_filter('b')} AND {common_region('l1reg', 'a', 'b')}),
 {components('lew', 'lm2')},
 ldeg2 AS (SELECT comp, max(c) AS maxdeg FROM (SELECT comp, x, y, count(*) AS c FROM ({_ends('l1', 'lm2')}) GROUP BY comp, x, y) GROUP BY comp),
-lfin AS (
+lfin AS MATERIALIZED (
   SELECT ufid, ogc_fid, slot, cls, npts, len, comps FROM l1
   WHERE ufid NOT IN (SELECT m.id FROM lm2 m JOIN ldeg2 d ON d.comp = m.comp WHERE d.maxdeg <= 2)
   UNION ALL
   SELECT m.comp, max(l.ogc_fid), any_value(l.slot), any_value(l.cls), sum(l.npts) - count(*) + 1, sum(l.len), list_sort(flatten(list(l.comps)))
   FROM lm2 m JOIN l1 l ON l.ufid = m.id JOIN ldeg2 d ON d.comp = m.comp WHERE d.maxdeg <= 2 GROUP BY m.comp),
-lids AS (SELECT comps, 100000000 + row_number() OVER (ORDER BY comps[1]) - 1 AS nid FROM lfin WHERE len(comps) > 1),
-lfinal AS (SELECT coalesce(i.nid, f.ufid) AS fid, f.* FROM lfin f LEFT JOIN lids i ON i.comps = f.comps),
+lids AS (SELECT comps[1] AS first, 100000000 + row_number() OVER (ORDER BY comps[1]) - 1 AS nid FROM lfin WHERE len(comps) > 1),
+lfinal AS (SELECT coalesce(i.nid, f.ufid) AS fid, f.* FROM lfin f LEFT JOIN lids i ON len(f.comps) > 1 AND i.first = f.comps[1]),
 lreport AS (
   SELECT m.id AS ref, 'Mapsheet boundary-join error for table northsouth_line' AS msg FROM lm1 m JOIN ldeg1 d ON d.comp = m.comp WHERE d.maxdeg > 2
   UNION ALL
-  SELECT m.id, 'Mapsheet boundary-join error for table eastwest_line' FROM lm2 m JOIN ldeg2 d ON d.comp = m.comp WHERE d.maxdeg > 2)"""
+  SELECT f.fid, 'Mapsheet boundary-join error for table eastwest_line' FROM lm2 m JOIN ldeg2 d ON d.comp = m.comp JOIN lfinal f ON f.ufid = m.id WHERE d.maxdeg > 2)"""
 
 
 def with_poly(body: str) -> str:

@@ -12,8 +12,10 @@ from sheetseam.operators import ids as I
 from sheetseam.operators.inspect import attribute_columns, dispatch_kind
 from sheetseam.operators.merge import MergeResult, merge_pass
 from sheetseam.operators.regions import with_regions
-from sheetseam.schemas import OUTPUT_PREFIX
-from sheetseam.session import materialize, prepare_session, spread
+from sheetseam.schemas import INTERNAL, OUTPUT_PREFIX, REGIONS
+from sheetseam.session import big_join, materialize, prepare_session, spread
+
+INTERIM_KEY = INTERNAL + "interim"
 
 
 @dataclass
@@ -38,7 +40,7 @@ def default_op(kind: str) -> str:
 def prepare(layer: DataFrame, key: str, regions: DataFrame | None) -> DataFrame:
     """Key as long, regions attached (features outside all regions dropped), components seeded."""
     df = spread(layer).withColumn(key, F.col(key).cast("long"))
-    df = with_regions(df, regions)
+    df = with_regions(df, regions, key=key)
     return df.withColumn("ufid_components", F.array(F.col(key)))
 
 
@@ -73,12 +75,17 @@ def stitch_layer(
     p1 = run_pass(df, key, attrs, kind, op, C.NS, f"northsouth_{name}")
     mid = materialize(p1.merge.layer, "pass1")  # pass 2 reads pass 1's result: cut the lineage here
     p2 = run_pass(mid, key, attrs, kind, op, C.EW, f"eastwest_{name}")
-    interim = materialize(I.assign_final_ids(p2.merge.layer, key, out_name, associations, scope), "final")
+    before = p2.merge.layer.withColumn(INTERIM_KEY, F.col(key).cast("long"))
+    done = materialize(I.assign_final_ids(before, key, out_name, associations, scope), "final")
+    interim = done.drop(INTERIM_KEY)
 
     assoc_rows = I.association_rows(interim, key, out_name)
-    final = interim.drop("ufid_components", "regions")
+    final = interim.drop("ufid_components", REGIONS)
+    # a composite rejected in pass 2 is reported by its final id, under which it is logged
+    ids = done.filter(F.size("ufid_components") > 1).select(F.col(INTERIM_KEY).alias("ref"), F.col(key).cast("long").alias("final_id"))
+    second = big_join(p2.merge.report, ids, "ref", "left").select(F.coalesce("final_id", "ref").alias("ref"), "msg")
     report = (
-        p1.merge.report.unionByName(p2.merge.report)
+        p1.merge.report.unionByName(second)
         .unionByName(I.collision_report(final, key, out_name))
     )
     return StitchResult(final, interim, assoc_rows, I.stamp(report), {"ns": p1, "ew": p2})

@@ -29,7 +29,11 @@ BOUNDARY_ERROR_MSG = "Mapsheet boundary-join error for table {table}"
 COLLISION_MSG = "UFID Collision in table {table}"
 
 # Columns never treated as attributes.
-SYSTEM_COLUMNS = ("ogc_fid", "geom", "ufid_components", "regions")
+#: Prefix of every internal column; attributes may have any other name.
+INTERNAL = "__seam_"
+REGIONS = INTERNAL + "regions"
+GROUP = INTERNAL + "group"
+SYSTEM_COLUMNS = ("ogc_fid", "geom", "ufid_components", REGIONS)
 
 POLYGON_TYPES = ("POLYGON", "MULTIPOLYGON")
 LINE_TYPES = ("LINESTRING", "MULTILINESTRING")

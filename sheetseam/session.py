@@ -100,13 +100,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df):
-    """Give per-row work at least the cluster's parallelism.
-
-    Large inputs arrive in many file splits and are left alone; a table read from a few
-    small files would otherwise run every per-row expression in one task."""
-    spark = df.sparkSession
-    want = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Deal a table read from fewer splits than there are cores over all of them, so that per-row work does not
+    run in a few tasks.  Such a table is small by its number of splits; larger ones are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def big_join(left, right, on, how: str = "inner"):

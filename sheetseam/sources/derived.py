@@ -2,7 +2,8 @@
 
 ``poly`` (from ``orders``): one full-sheet rectangle per row.
 ``line`` (from ``events``): one vertical mid-sheet line per row, plus a fork
-for every 7th key that ends at the same upper point (three-way junctions).
+for every 7th key that ends at the same upper point (three-way junctions); event k gives
+the keys 2k (line) and 2k + 1 (fork).
 ``slot`` keeps overlapping generations of the 39 x 41 sheet grid apart.
 """
 
@@ -19,7 +20,7 @@ ROWS, COLS = 39, 41
 SHEET_W, SHEET_H = 24000, 36000
 X0, Y0 = 1108000, 4758000
 LINE_X0 = 1120000
-FORK_EVERY, FORK_KEY_OFFSET, FORK_DX = 7, 1_000_000, 1000
+FORK_EVERY, FORK_DX = 7, 1000
 REGION_SPLIT_Y = 5460000
 
 
@@ -55,15 +56,15 @@ def line_layer(events: DataFrame) -> DataFrame:
     y = F.lit(Y0) + F.lit(SHEET_H) * r
     base = events.select(k.alias("k"), x.alias("x"), y.alias("y"), slot.alias("slot"), F.col("event_type").alias("cls"))
     main = base.select(
-        F.col("k").alias("ogc_fid"),
-        F.col("k").alias("ufid"),
+        (2 * F.col("k")).alias("ogc_fid"),
+        (2 * F.col("k")).alias("ufid"),
         "slot",
         "cls",
         G.linestring(G.point("x", "y"), G.point("x", F.col("y") + SHEET_H)).alias("geom"),
     )
     fork = base.filter(F.col("k") % FORK_EVERY == 0).select(
-        (F.col("k") + FORK_KEY_OFFSET).alias("ogc_fid"),
-        (F.col("k") + FORK_KEY_OFFSET).alias("ufid"),
+        (2 * F.col("k") + 1).alias("ogc_fid"),
+        (2 * F.col("k") + 1).alias("ufid"),
         "slot",
         "cls",
         G.linestring(G.point(F.col("x") + FORK_DX, "y"), G.point("x", F.col("y") + SHEET_H)).alias("geom"),

@@ -37,6 +37,125 @@ def test_connected_components_vs_union_find(spark):
     assert got == _uf_components(edges)
 
 
+def test_components_of_giant_groups(spark):
+    """A path and a star of many nodes finish in a bounded number of steps."""
+    n = 20_000
+    path = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("merge_id"), ((F.col("id") + 1) * 7919 % n).alias("drop_id"))
+    star = spark.range(n).select(F.lit(5 * n).cast("long").alias("merge_id"), (F.col("id") + 2 * n).alias("drop_id"))
+    r = K.connected_components(path.unionByName(star)).groupBy("comp").count().collect()
+    assert sorted((x["comp"], x["count"]) for x in r) == [(0, n), (2 * n, n + 1)]
+
+
+def _shape(*parts):
+    return ("POLYGON" if len(parts) == 1 else "MULTIPOLYGON", [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in part] for part in parts])
+
+
+def _box(w, s, e, n):
+    return [(w, s), (e, s), (e, n), (w, n), (w, s)]
+
+
+def _small_boxes():
+    import random
+
+    rnd = random.Random(3)
+    out = []
+    for k in range(60):
+        w, s = rnd.randint(0, 95) * 1000, rnd.randint(0, 95) * 1000
+        out.append((k, "a", None, _shape([_box(w, s, w + rnd.choice([500, 3000, 40000]), s + rnd.choice([500, 3000, 40000]))])))
+    return out
+
+
+def _regions_of_any_shape(spark, more=0):
+    from sheetseam.schemas import REGION_SCHEMA
+
+    rows = [
+        ("triangle", _shape([[(0, 0), (90000, 0), (0, 90000), (0, 0)]])),
+        ("holed", _shape([_box(0, 0, 100000, 100000), _box(20000, 20000, 80000, 80000)])),
+        ("parts", _shape([_box(0, 0, 30000, 30000)], [_box(60000, 60000, 99000, 99000)])),
+    ]
+    rows += [(f"r{i:03d}", _shape([_box(i * 1000, 0, i * 1000 + 1500, 100000)])) for i in range(more)]
+    return spark.createDataFrame(rows, REGION_SCHEMA)
+
+
+def _meets(box, name):
+    """Exact answer for a box and the regions above."""
+    w, s, e, n = box
+    over = lambda a, b, c, d: w <= c and e >= a and s <= d and n >= b
+    if name == "triangle":
+        return w + s <= 90000
+    if name == "holed":
+        return over(0, 0, 100000, 100000) and not (w > 20000 and e < 80000 and s > 20000 and n < 80000)
+    if name == "parts":
+        return over(0, 0, 30000, 30000) or over(60000, 60000, 99000, 99000)
+    i = int(name[1:])
+    return over(i * 1000, 0, i * 1000 + 1500, 100000)
+
+
+def test_regions_of_any_shape_and_number(spark):
+    from sheetseam.operators import regions as R
+
+    rows = _small_boxes()
+    layer = make_layer(spark, rows)
+    want = set()
+    for more in (0, 70):
+        names = ["triangle", "holed", "parts", *(f"r{i:03d}" for i in range(more))]
+        for k, _, _, g in rows:
+            ring = g[1][0][0]
+            box = (ring[0]["x"], ring[0]["y"], ring[2]["x"], ring[2]["y"])
+            want |= {(k, name) for name in names if _meets(box, name)}
+        regs = _regions_of_any_shape(spark, more)
+        assert (R.small_regions(regs) is None) == (more > 0)
+        got = {(r["ufid"], r["region"]) for r in region_join(layer, regs, "ufid").collect()}
+        assert got == want
+
+
+def test_features_that_hold_or_cross_regions(spark):
+    from sheetseam.operators import regions as R
+    from sheetseam.schemas import REGION_SCHEMA
+
+    small = spark.createDataFrame([("dot", _shape([_box(50000, 50000, 50100, 50100)]))], REGION_SCHEMA)
+    layer = make_layer(spark, [
+        (1, "a", None, _shape([_box(0, 0, 100000, 100000)])),
+        (2, "a", None, _shape([_box(0, 0, 100000, 100000), _box(40000, 40000, 60000, 60000)])),
+        (3, "a", None, line((0, 50050), (100000, 50050))),
+        (4, "a", None, line((0, 0), (1000, 1000))),
+    ])
+    want = {(1, "dot"), (3, "dot")}
+    assert {(r["ufid"], r["region"]) for r in region_join(layer, small, "ufid").collect()} == want
+    cells = R._by_cells(layer.select(F.col("ufid").alias("id"), "geom"), small)
+    assert {(r["id"], r["region"]) for r in cells.collect()} == want
+
+
+def test_union_of_repeated_overlapping_and_sloped_members(spark):
+    from sheetseam.operators import overlay as O
+
+    import numpy as np
+
+    def area(polys):
+        return sum(abs(O.signed_area(p[0])) - sum(abs(O.signed_area(h)) for h in p[1:]) for p in polys)
+
+    box = lambda *b: [[np.array(_box(*b), float)]]
+    a, b = box(0, 0, 24000, 36000), box(0, 36000, 24000, 72000)
+    assert area(O.union([a, a, b])) == 1_728_000_000
+    assert area(O.union([a, box(6000, 0, 30000, 36000), b])) == 1_944_000_000
+    sloped = [[np.array([(0, 0), (24000, 100), (24000, 36000), (0, 36000), (0, 0)], float)]]
+    left = [[np.array([(0, -1000), (12000, -1000), (12000, 50), (0, 0), (0, -1000)], float)]]
+    right = [[np.array([(12000, -1000), (24000, -1000), (24000, 100), (12000, 50), (12000, -1000)], float)]]
+    got = O.union([sloped, left, right])
+    assert len(got) == 1 and len(got[0]) == 1 and len(got[0][0]) == 8 and area(got) == 888_000_000
+    rnd = random.Random(1)
+    for _ in range(150):
+        boxes = []
+        for _ in range(rnd.randint(1, 7)):
+            w, s = rnd.randint(0, 12), rnd.randint(0, 12)
+            boxes.append((w, s, w + rnd.randint(1, 6), s + rnd.randint(1, 6)))
+        cells = {(x, y) for w, s, e, n in boxes for x in range(w, e) for y in range(s, n)}
+        t = rnd.choice([0, 0.3, 1.1])
+        turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+        got = O.union([[[ring @ turn.T + 1e6 for ring in part] for part in box(*b)] for b in boxes])
+        assert got is not None and abs(area(got) - len(cells)) < 1e-3
+
+
 def test_maximal_sets(spark):
     df = spark.createDataFrame([([1, 2],), ([1, 2, 3],), ([3, 2, 1],), ([7, 8],), ([8],)], "ids array<long>")
     got = sorted(tuple(r["ids"]) for r in K.maximal_sets(df).collect())
@@ -94,8 +213,8 @@ def test_latest_association_wins(spark):
     )
     got = {tuple(r["comps"]): r["found"] for r in I.latest_ids(log).collect()}
     assert got == {(1, 2): 105, (3, 4): 101}
-    per_layer = {(tuple(r["comps"]), r["layer"]): r["found"] for r in I.latest_ids(log, "layer").collect()}
-    assert per_layer[((1, 2), "new_a")] == 100
+    one = {tuple(r["comps"]): r["found"] for r in I.latest_ids(log.filter("layer = 'new_a'")).collect()}
+    assert one[(1, 2)] == 100
 
 
 def test_array_helpers(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.plans.stitching import stitch_layer
+from sheetseam.schemas import GEOMETRY
 from sheetseam.sources import derived as D
 from tests.conftest import line, make_layer, poly, rect
 
@@ -137,3 +138,18 @@ def test_features_conserved_on_derived_layer(spark):
     assert res.layer.count() == 952
     total = res.interim.agg(F.sum(G.area())).collect()[0][0]
     assert abs(total - poly_layer.count() * W * H) < 1.0
+
+
+def test_attributes_may_have_any_name(spark):
+    """Attributes called like working columns keep features apart and come out unchanged."""
+    names = ["n", "s", "e", "w", "k", "v", "lo", "hi", "regions", "layer", "comp", "bucket", "found"]
+    ddl = "ogc_fid long, ufid long, " + ", ".join(f"{c} long" for c in names) + ", geom " + GEOMETRY.simpleString()
+    rows = []
+    for i, c in enumerate([None, *names]):  # a pair per column of sheets: equal, or different in one attribute
+        for r in (0, 1):
+            rows.append((2 * i + r, 2 * i + r, *(r if n == c else 7 for n in names), cell(i, r)))
+    layer = spark.createDataFrame(rows, ddl)
+    for scope in ("global", "layer"):
+        out = stitch_layer(layer, "ufid", "poly", kind="polygon", scope=scope, attrs=names).layer.collect()
+        assert len(out) == 1 + 2 * len(names)
+        assert all(r[n] in (0, 1, 7) for r in out for n in names)
