@@ -92,9 +92,13 @@ def _number() -> Iterator[int]:
         at += 1 << 16
 
 
-def _shared(mail: DataFrame, parts: int) -> DataFrame:
+_ROW = "doc_id long, row long, n long, keys binary, grip array<long>, prefix array<long>"
+
+
+def _shared(mail: DataFrame, parts: int, ordered: bool = False) -> DataFrame:
     """Of every set only the shingles that other sets have too; one row per sent row, ``keys`` null if there
-    are too few of them for any link.  ``df`` counts the sets that hold each shingle."""
+    are too few of them for any link.  If ``ordered``, also two min-hashes (``grip``) and the shared shingles of
+    the prefix in the global order, rarest first, then by hash."""
 
     def at_shard(got: pd.DataFrame) -> pd.DataFrame:
         out = [(b, m, None, None, None) for b, m in zip(got["batch"], got.meta, strict=True) if m is not None]
@@ -124,12 +128,19 @@ def _shared(mail: DataFrame, parts: int) -> DataFrame:
         out = []
         for k, n in enumerate(sizes.tolist()):
             i, j = cut[k], cut[k + 1]
-            enough = n > 0 and j - i >= needed(n)
-            out.append((ids[k], rows[k], n, keys[i:j].tobytes() if enough else None, df[i:j].tobytes() if enough else None))
-        return returned(pd.DataFrame(out, columns=["doc_id", "row", "n", "keys", "df"]))
+            if n == 0 or j - i < needed(n):
+                out.append((ids[k], rows[k], n, None, None, None))
+                continue
+            own, grip, prefix = keys[i:j], None, None
+            if ordered:
+                grip = [int(mixed(own ^ np.uint64(s)).min().astype(np.int64)) for s in (1, 2)]
+                first = n - needed(n) + 1 - (n - len(own))  # those of this row alone come before the shared ones
+                prefix = own[np.lexsort((own, df[i:j]))][: max(first, 0)].astype(np.int64)
+            out.append((ids[k], rows[k], n, own.tobytes(), grip, prefix))
+        return returned(pd.DataFrame(out, columns=["doc_id", "row", "n", "keys", "grip", "prefix"]))
 
     back = mail.groupBy("shard").applyInPandas(at_shard, _BACK)
-    return back.groupBy("batch").applyInPandas(at_home, "doc_id long, row long, n long, keys binary, df binary")
+    return back.groupBy("batch").applyInPandas(at_home, _ROW)
 
 
 def _from_texts(docs: DataFrame, parts: int) -> DataFrame:
@@ -261,22 +272,6 @@ def tree_links(keys: list[np.ndarray], sizes: list[int], ids: list[int]) -> list
     return out
 
 
-def _ordered(cores: DataFrame) -> DataFrame:
-    """Adds to each representative the two min-hashes and its prefix in the global order (rarest shingle first)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            grip, prefix = [], []
-            for n, k, d in zip(b["n"], b["keys"], b["df"], strict=True):
-                keys, df = np.frombuffer(k, "<u8"), np.frombuffer(d, "<u4")
-                grip.append([int(mixed(keys ^ np.uint64(s)).min().astype(np.int64)) for s in (1, 2)])
-                first = n - needed(n) + 1 - (n - len(keys))  # those of this row alone come before the shared ones
-                prefix.append(keys[np.lexsort((keys, df))][: max(first, 0)].astype(np.int64))
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n": b["n"], "keys": b["keys"], "grip": grip, "prefix": prefix})
-
-    return cores.mapInPandas(run, "row long, doc_id long, n long, keys binary, grip array<long>, prefix array<long>")
-
-
 def _tree_edges(reps: DataFrame) -> DataFrame:
     """Links among representatives with a min-hash in common, block by block."""
     grips = reps.select("row", F.posexplode("grip").alias("which", "grip"))
@@ -330,7 +325,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Per row of ``docs``: doc_id, n_shingles and component_id."""
     parts = shards(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)).alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").isNotNull().alias("known"))
-    sets = written(_shared(_from_texts(rows, parts), parts), "ngram-sets")
+    sets = written(_shared(_from_texts(rows, parts), parts).drop("grip", "prefix"), "ngram-sets")
     some = sets.where("keys IS NOT NULL")
     # copies: rows whose whole set is shared and the same
     whole = F.length("keys") == F.col("n") * 8
@@ -339,8 +334,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = kinds.groupBy("kind").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
     copies = big_join(kinds, first, "kind").where("doc_id != rep.doc_id").select(F.col("doc_id").alias("merge_id"), F.col("rep.doc_id").alias("drop_id"))
     reps = big_join(some.select("doc_id", "row", "n", "keys"), first.select(F.col("rep.row").alias("row")), "row")
-    cores = _shared(_from_sets(reps, parts), parts).where("keys IS NOT NULL")
-    cores = written(_ordered(cores), "ngram-cores")
+    cores = written(_shared(_from_sets(reps, parts), parts, ordered=True).where("keys IS NOT NULL"), "ngram-cores")
     edges = written(_tree_edges(cores).unionByName(copies), "ngram-links")
     labels = connected_components(edges)
     rest = written(_rest_edges(cores, labels), "ngram-rest")

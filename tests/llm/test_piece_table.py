@@ -21,6 +21,7 @@ def both():
 def test_random_texts(both):
     table, library = both
     rnd = random.Random(5)
+    assert table.encode("ab" * 3000) == library.encode("ab" * 3000, add_eos=True)
     letters = "abcdefghi ▁\n\t  éßñ日本𠀀.,!12<>  theingon"
     for _ in range(3000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
