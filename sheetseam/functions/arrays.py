@@ -15,7 +15,7 @@ def normalise_ids(arr) -> Column:
 def array_union_agg(arr) -> Column:
     """Aggregate: concatenate arrays of a group, then sorted distinct; empty group -> []."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    return F.coalesce(normalise_ids(F.flatten(F.collect_list(a))), F.array().cast("array<bigint>"))
+    return F.coalesce(normalise_ids(F.flatten(F.collect_set(a))), F.array().cast("array<bigint>"))
 
 
 def ids_text(arr) -> Column:

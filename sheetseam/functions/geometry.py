@@ -205,10 +205,12 @@ def from_wkt(wkt) -> Column:
     ``from_json``; no Python runs per row.
     """
     w = F.upper(F.trim(F.regexp_replace(_c(wkt), r"^\s*SRID=\d+;", "")))
-    gtype = F.regexp_extract(w, r"^([A-Z]+)", 1)
-    body = F.regexp_replace(w, r"^[A-Z]+\s*", "")
-    num = r"([-+]?[0-9]*\.?[0-9]+(?:[E][-+]?[0-9]+)?)"
-    js = F.regexp_replace(body, num + r"\s+" + num + r"(?:\s+" + num + r")?", "[$1,$2]")
+    head = r"^([A-Z]+?)\s*(?:ZM|Z|M)?\s*(?=\(|EMPTY|$)"  # heights and measures are dropped
+    gtype = F.regexp_extract(w, head, 1)
+    body = F.regexp_replace(w, head, "")
+    num = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:E[-+]?[0-9]+)?)"
+    js = F.regexp_replace(body, num + r"\s+" + num + r"(?:\s+" + num + r"){0,2}", "[$1,$2]")
+    js = F.regexp_replace(F.regexp_replace(js, r"(?<![0-9])\.", "0."), r"\.(?![0-9])", ".0")
     js = F.translate(F.regexp_replace(js, r"\s+", ""), "()", "[]")
     js = F.regexp_replace(js, r"\[\+", "[")
     js = F.regexp_replace(js, r",\+", ",")
@@ -225,9 +227,9 @@ def from_wkt(wkt) -> Column:
         .when(gtype == "MULTILINESTRING", F.transform(d3, lambda p: F.array(to_pts(p))))
         .when(gtype == "MULTIPOLYGON", F.transform(d4, lambda part: F.transform(part, to_pts)))
     )
-    return F.when(body.contains("EMPTY") | parts.isNull(), F.lit(None).cast(GEOM_DDL)).otherwise(
-        F.struct(gtype.alias("gtype"), parts.alias("parts"))
-    )
+    made = F.struct(gtype.alias("gtype"), parts.alias("parts"))
+    whole = let(made, lambda g: F.when(~F.exists(vertices(g), lambda p: p["x"].isNull() | p["y"].isNull()), g))
+    return F.when(body.contains("EMPTY") | parts.isNull(), F.lit(None).cast(GEOM_DDL)).otherwise(whole)
 
 
 def path_endpoints(geom="geom") -> Column:

@@ -27,24 +27,27 @@ def attribute_columns(df: DataFrame, key: str, table: str | None = None) -> list
 
 def detect_key(df: DataFrame) -> DataFrame:
     """One row ``(key_column)``: the first column (schema order, not ogc_fid/geom) whose values
-    are all distinct (one NULL allowed), else ``'ufid'``.  One pass over the data."""
-    from sheetseam.session import spread
+    are all distinct (one NULL allowed), else ``'ufid'``.
 
-    df = spread(df)
+    One pass counts approximately and discards columns that are clearly repeated; the rest is counted exactly, column by column, up to
+    the first key."""
+    spark = df.sparkSession
     cols = [c for c in df.columns if c not in NEVER_KEY]
-    if not cols:
-        return df.sparkSession.createDataFrame([(KEY_FALLBACK_NAME,)], "key_column string")
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
-        ).alias("s")
-    ).select("s.i", "s.v")
-    per_col = long.groupBy("i", "v").count().groupBy("i").agg(F.max("count").alias("mx"))
-    names = F.array(*[F.lit(c) for c in cols])
-    first = per_col.filter(F.col("mx") == 1).agg(F.min("i").alias("i"))
-    # element_at over a literal array must not see a NULL index (it folds to the last element)
-    pick = F.when(F.col("i").isNull(), F.lit(KEY_FALLBACK_NAME)).otherwise(F.element_at(names, F.col("i") + 1))
-    return first.select(pick.alias("key_column"))
+    found = KEY_FALLBACK_NAME
+    if cols:
+        seen = df.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)],
+            *[F.approx_count_distinct(f"`{c}`", 0.05).alias(f"d{i}") for i, c in enumerate(cols)],
+        ).first()
+        for i, c in enumerate(cols):
+            present = seen[f"c{i}"]
+            if not seen.n or seen.n - present > 1 or seen[f"d{i}"] < 0.75 * present:
+                continue
+            if df.groupBy(f"`{c}`").count().filter("count > 1").isEmpty():
+                found = c
+                break
+    return spark.createDataFrame([(found,)], "key_column string")
 
 
 def detect_key_name(df: DataFrame) -> str:

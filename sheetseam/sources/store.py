@@ -22,7 +22,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def list_layers(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
-    """``(layer name, path)`` for each entry of ``folder`` (``x.parquet`` or a folder ``x``), by name."""
+    """``(layer name, path)`` for each entry of ``folder`` (``x.parquet`` or a folder ``x`` of Parquet files), by name."""
     fs, p = _fs(spark, folder)
     if not fs.exists(p):
         return []
@@ -31,6 +31,8 @@ def list_layers(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
         name = st.getPath().getName()
         if name.startswith((".", "_")):
             continue
+        if st.isDirectory() and not list(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "*.parquet")) or []):
+            continue  # a folder of layers, not a layer
         layer = name[: -len(".parquet")] if name.endswith(".parquet") else name
         out.append((layer, st.getPath().toString()))
     return sorted(out)
@@ -165,10 +167,11 @@ def revisioned_write(df: DataFrame, folder: str, name: str, revision: int, comme
 
 
 def read_as_of(spark: SparkSession, folder: str, name: str, key: str, revision: int) -> DataFrame:
-    """State of a revisioned layer at ``revision``: latest row per key up to it."""
+    """State of a revisioned layer at ``revision``: one row per key, the latest written up to it."""
     hist = spark.read.parquet(f"{folder.rstrip('/')}/{name}__revisions").filter(F.col("revision_id") <= revision)
-    latest = hist.groupBy(key).agg(F.max("revision_id").alias("revision_id"))
-    return hist.join(latest, [key, "revision_id"]).drop("comment", "created")
+    rest = [c for c in hist.columns if c not in (key, "comment", "created")]
+    latest = hist.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("revision_id", "created")).alias("__row"))
+    return latest.select(key, "__row.*").select(*[c for c in hist.columns if c not in ("comment", "created")])
 
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -177,12 +180,12 @@ _NON_ASCII = r"[^\x00-\x7F]"
 def text_fidelity(before: DataFrame, after: DataFrame, key: str, text: str, flag: str | None = None) -> DataFrame:
     """Rows flagged as carrying non-ASCII text (``flag`` column = 'Y', else detected) whose text
     differs after a copy: ``(n_flagged, n_mismatch)``."""
-    flagged = F.col(f"b.{flag}") == "Y" if flag else F.col(f"b.{text}").rlike(_NON_ASCII)
-    j = before.alias("b").join(after.alias("a"), F.col(f"b.{key}") == F.col(f"a.{key}"), "left")
-    return j.agg(
-        F.sum(flagged.cast("long")).alias("n_flagged"),
-        F.sum((flagged & ~F.col(f"b.{text}").eqNullSafe(F.col(f"a.{text}"))).cast("long")).alias("n_mismatch"),
-    )
+    flagged = F.col(flag) == "Y" if flag else F.col(text).rlike(_NON_ASCII)
+    digest = F.sha2(F.col(text).cast("binary"), 256)  # only flagged rows and digests are shuffled
+    b = before.filter(flagged).select(F.col(key).alias("k"), digest.alias("b"))
+    a = after.select(F.col(key).alias("k"), digest.alias("a"))
+    j = b.join(a, "k", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_flagged"), F.coalesce(F.sum((~F.col("b").eqNullSafe(F.col("a"))).cast("long")), F.lit(0)).alias("n_mismatch"))
 
 
 def utf8_roundtrip(df: DataFrame, text: str) -> DataFrame:

@@ -3,6 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from sheetseam.functions import geometry as G
 from sheetseam.plans import runner
 from sheetseam.plans import utilities as U
 from sheetseam.sources import derived as D
@@ -82,3 +83,30 @@ def test_run_import_process_export(spark):
     runner.stitch_all(spark, store, key="ufid")
     assert spark.read.parquet(store + "/new_lake_poly").first()["ufid"] == 100_000_000
     assert line  # keep import used
+
+
+def test_wkt_numbers_and_heights(spark):
+    texts = ["POINT(.5 5.)", "LINESTRING Z (0 0 1, 1.5 2. 3)", "POLYGON ZM((0 0 1 2, 1 0 1 2, 1 1 1 2, 0 0 1 2))", "POINT(1 x)", "MULTIPOINT((1 2))", "POINT EMPTY", "LINESTRING(1 2, 3)"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.g for r in df.select("i", G.from_wkt("t").alias("g")).orderBy("i").collect()]
+    assert [(g.gtype, [(p.x, p.y) for part in g.parts for path in part for p in path]) for g in got[:3]] == [
+        ("POINT", [(0.5, 5.0)]), ("LINESTRING", [(0, 0), (1.5, 2)]), ("POLYGON", [(0, 0), (1, 0), (1, 1), (0, 0)]),
+    ]
+    assert got[3:] == [None] * 4
+
+
+def test_two_writes_in_one_revision(spark, tmp_path):
+    folder = str(tmp_path)
+    write = lambda rows, n: ST.revisioned_write(spark.createDataFrame(rows, "k long, v string"), folder, "x", n, "c")
+    write([(1, "a"), (2, "b")], 1)
+    write([(1, "c")], 1)
+    write([(2, "d")], 2)
+    assert sorted((r.k, r.v) for r in ST.read_as_of(spark, folder, "x", "k", 1).collect()) == [(1, "c"), (2, "b")]
+    assert sorted((r.k, r.v) for r in ST.read_as_of(spark, folder, "x", "k", 2).collect()) == [(1, "c"), (2, "d")]
+
+
+def test_excise_in_sub_folders(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([(1, 2)], "a int, b int").write.parquet(str(tmp_path / "sub" / "two"))
+    got = ST.excise_column(spark, str(tmp_path), "b", deep=True)
+    assert {n: df.columns for n, df in got.items()} == {"one": ["a"], "sub/two": ["a"]}
