@@ -7,6 +7,7 @@ extent.  Column names equal those of :mod:`sheetseam.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from sheetseam.plans import utilities as U
 from sheetseam.schemas import REGIONS
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
-from sheetseam.session import spread
+from sheetseam.session import ensure_checkpoint_dir, spread
 
 _CACHE: dict = {}
 
@@ -38,6 +39,11 @@ def _memo(kind: str, spark: SparkSession, sf_dir: str, build):
     return _CACHE[k]
 
 
+def _folder(spark) -> str:
+    """A new folder in the shared place of intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheetseam/layers-{uuid.uuid4().hex}"
+
+
 def poly(spark, sf_dir) -> DataFrame:
     return spread(D.load_poly(spark, sf_dir))
 
@@ -101,8 +107,61 @@ def q_layer_inventory(spark, sf_dir):
 
 def q_verify_copy(spark, sf_dir):
     src = poly(spark, sf_dir)
-    copy = src.withColumn("geom", G.from_wkt(G.to_wkt("geom")))
-    return ST.verify_copy(src, copy, "poly", "new_poly")
+    ST.write_layer(src.withColumn("geom", G.to_wkt("geom")), folder := _folder(spark), "new_poly")
+    copy = spark.read.parquet(f"{folder}/new_poly").withColumn("geom", G.from_wkt("geom"))
+    good = ST.verify_copy(src, copy, "poly", "new_poly")
+    return good.unionByName(ST.verify_copy(src, line(spark, sf_dir), "poly", "new_line"))
+
+
+def q_write_layer(spark, sf_dir):
+    """A layer written twice: the second write replaces the first."""
+    src, folder = poly(spark, sf_dir).select("ufid", "cls"), _folder(spark)
+    ST.write_layer(src.withColumn("cls", F.lit("first write")), folder, "new_poly")
+    ST.write_layer(src, folder, "new_poly")
+    return spark.read.parquet(f"{folder}/new_poly").groupBy("cls").agg(F.count(F.lit(1)).alias("features"))
+
+
+def _stored(spark, sf_dir) -> str:
+    folder = _folder(spark)
+    for n, df in (("new_poly", poly(spark, sf_dir)), ("new_polygon", line(spark, sf_dir)), ("new_line", line(spark, sf_dir)), ("poly", poly(spark, sf_dir))):
+        ST.write_layer(df.select("ufid"), folder, n)
+    return folder
+
+
+def q_scan_stored_layers(spark, sf_dir):
+    """Processed layers by exact name: neither the source layer nor one whose name only begins alike."""
+    found = ST.scan_stored_layers(spark, _stored(spark, sf_dir), ["poly", "line"])
+    return ST.tagged_union(found).groupBy("layer").agg(F.count(F.lit(1)).alias("features"))
+
+
+def q_export_layer(spark, sf_dir):
+    """A text export with WKT, read back."""
+    folder = _folder(spark)
+    path = ST.export_layer(poly(spark, sf_dir).select("ufid", "cls", "geom"), folder, "new_poly", "csv")
+    back = spark.read.option("header", True).csv(path).withColumn("geom", G.from_wkt("geom"))
+    return back.select(F.col("ufid").cast("long").alias("ufid"), "cls", _long(G.area()).alias("area"), _long(G.xmin()).alias("xmin"), _long(G.ymax()).alias("ymax"))
+
+
+def q_link_views(spark, sf_dir):
+    views = ST.link_views(spark, _stored(spark, sf_dir), prefix := "seam_view_")
+    union = " UNION ALL ".join(f"SELECT '{v[len(prefix):]}' AS layer, count(*) AS features FROM {v}" for v in views)
+    return spark.sql(union)
+
+
+def q_release_snapshot(spark, sf_dir):
+    folder, target = _stored(spark, sf_dir), _folder(spark)
+    ST.release_snapshot(spark, folder, target, link=True, prefix="seam_release_")
+    return ST.tagged_union(ST.scan_layer_dir(spark, target)).groupBy("layer").agg(F.count(F.lit(1)).alias("features"))
+
+
+def q_revisioned_write(spark, sf_dir):
+    """Three writes in two revisions; the state as of each."""
+    src, folder = poly(spark, sf_dir).select("ufid", "cls"), _folder(spark)
+    ST.revisioned_write(src, folder, "poly", 1, "import")
+    ST.revisioned_write(src.filter("ufid % 3 = 0").withColumn("cls", F.lit("edited")), folder, "poly", 2, "edit")
+    ST.revisioned_write(src.filter("ufid % 6 = 0").withColumn("cls", F.lit("edited twice")), folder, "poly", 2, "edit")
+    states = [ST.read_as_of(spark, folder, "poly", "ufid", r).withColumn("as_of", F.lit(r).cast("long")) for r in (1, 2)]
+    return states[0].unionByName(states[1]).groupBy("as_of", "cls").agg(F.count(F.lit(1)).alias("features"))
 
 
 def q_wkt_ingest(spark, sf_dir):
@@ -247,14 +306,13 @@ def q_unmerged_anti_join(spark, sf_dir):
 
 
 def q_member_join(spark, sf_dir):
-    m = _ns(spark, sf_dir, "poly").merge.membership
-    return m.select(F.col("id").alias("ufid"), "comp")
+    return _ns_members(spark, sf_dir, "poly").select("ufid", "comp", "slot", "cls", _long(G.xmin()).alias("xmin"), _long(G.ymin()).alias("ymin"))
 
 
 def q_fallback_join(spark, sf_dir):
     r = _ns(spark, sf_dir, "line").merge
     bad = r.groups.filter(~F.col("accepted")).select("comp")
-    return r.membership.join(bad, "comp").select(F.col("id").alias("ufid"), "comp")
+    return _ns_members(spark, sf_dir, "line").join(bad, "comp").select("ufid", "comp", "slot", "cls", _long(G.length()).alias("length"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -364,8 +422,31 @@ def _final_ids(spark, sf_dir, layer):
     return st.interim.filter(F.size("ufid_components") > 1).select("ufid", ids_text("ufid_components").alias("components"))
 
 
+def _second_run_log(spark, sf_dir) -> DataFrame:
+    """A log of earlier runs of the polygon layer: for every group an older id, for most a newer one, for some a second
+    one of the same time; every seventh group was logged with one member less."""
+    groups = _stitched(spark, sf_dir, "poly").interim.filter(F.size("ufid_components") > 1).select("ufid_components")
+    first = F.element_at("ufid_components", 1)
+    logged = F.when(first % 7 == 0, F.slice("ufid_components", 1, F.size("ufid_components") - 1)).otherwise(F.col("ufid_components"))
+    rows = groups.select(first.alias("f"), logged.alias("ufid_components"))
+    row = lambda ts, base: F.struct(F.lit(ts).cast("timestamp").alias("ts"), (F.lit(base) + F.col("f")).alias("ufid"))
+    each = F.array_compact(F.array(
+        row("2020-01-01", 200_000_000), F.when(F.col("f") % 3 != 0, row("2021-01-01", 300_000_000)), F.when(F.col("f") % 5 == 0, row("2021-01-01", 400_000_000)),
+    ))
+    return rows.select(F.explode(each).alias("r"), "ufid_components").select("r.ts", F.lit("new_poly").alias("layer"), "r.ufid", "ufid_components")
+
+
 def q_stable_ids(spark, sf_dir):
-    return _final_ids(spark, sf_dir, "poly")
+    """A second run: logged ids are used again (the latest, of equal times the larger), changed groups get new ones."""
+    layer = _stitched(spark, sf_dir, "poly").passes["ew"].merge.layer
+    out = I.assign_final_ids(layer, "ufid", "new_poly", _second_run_log(spark, sf_dir))
+    return out.filter(F.size("ufid_components") > 1).select("ufid", ids_text("ufid_components").alias("components"))
+
+
+def q_component_by_id(spark, sf_dir):
+    """What the first composite was built from."""
+    a = I.component_lookup(_stitched(spark, sf_dir, "poly").associations, 100_000_000)
+    return a.select("layer", "ufid", ids_text("ufid_components").alias("components"))
 
 
 def q_allocate_ids(spark, sf_dir):
@@ -425,8 +506,7 @@ def q_drop_components(spark, sf_dir):
 
 
 def q_assoc_lookup(spark, sf_dir):
-    a = _stitched(spark, sf_dir, "poly").associations
-    return I.latest_ids(a).select(ids_text("comps").alias("components"), F.col("found").alias("ufid"))
+    return I.latest_ids(_second_run_log(spark, sf_dir)).select(ids_text("comps").alias("components"), F.col("found").alias("ufid"))
 
 
 def q_contains_join(spark, sf_dir):
@@ -539,6 +619,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_ids": q_union_ids,
     "union_merged_fallback": q_union_merged_fallback,
     "union_regions": q_union_regions,
+    "write_layer": q_write_layer,
+    "scan_stored_layers": q_scan_stored_layers,
+    "export_layer": q_export_layer,
+    "link_views": q_link_views,
+    "release_snapshot": q_release_snapshot,
+    "revisioned_write": q_revisioned_write,
+    "component_by_id": q_component_by_id,
     "stable_ids": q_stable_ids,
     "allocate_ids": q_allocate_ids,
     "assign_final_ids": q_assign_final_ids,

@@ -215,6 +215,11 @@ TABLE_COLUMNS = {
 }
 
 
+# ids in the log of earlier runs: the latest of a group, and its largest
+LOG_LATEST = "CASE WHEN comps[1] % 5 = 0 THEN 400000000 + comps[1] WHEN comps[1] % 3 <> 0 THEN 300000000 + comps[1] ELSE 200000000 + comps[1] END"
+LOG_MAX = LOG_LATEST
+
+
 def _comps_txt(c: str = "comps") -> str:
     return f"array_to_string({c}, ',')"
 
@@ -224,7 +229,19 @@ SQL: dict[str, str] = {
     "layer_inventory": with_both(
         "SELECT layer, gtype, count(*) AS features, min(wv) AS xmin, min(sv) AS ymin, max(ev) AS xmax, max(nv) AS ymax FROM feat GROUP BY layer, gtype"
     ),
-    "verify_copy": "SELECT true AS name_ok, true AS type_ok, true AS count_ok, count(*) AS source_features, count(*) AS copy_features FROM orders",
+    "verify_copy": f"""WITH {POLY}, {LINE}, n AS (SELECT (SELECT count(*) FROM poly) AS p, (SELECT count(*) FROM line) AS l)
+        SELECT true AS name_ok, true AS type_ok, true AS count_ok, p AS source_features, p AS copy_features FROM n
+        UNION ALL SELECT false, false, p = l, p, l FROM n""",
+    "write_layer": "SELECT o_orderpriority AS cls, count(*) AS features FROM orders GROUP BY o_orderpriority",
+    "scan_stored_layers": f"WITH {LINE} SELECT 'new_line' AS layer, count(*) AS features FROM line UNION ALL SELECT 'new_poly', count(*) FROM orders",
+    "export_layer": f"WITH {POLY} SELECT ufid, cls, (ev - wv) * (nv - sv) AS area, wv AS xmin, nv AS ymax FROM poly",
+    "link_views": f"""WITH {LINE} SELECT 'line' AS layer, count(*) AS features FROM line UNION ALL SELECT 'poly', count(*) FROM orders
+        UNION ALL SELECT 'polygon', count(*) FROM line""",
+    "release_snapshot": f"""WITH {LINE} SELECT 'line' AS layer, count(*) AS features FROM line UNION ALL SELECT 'poly', count(*) FROM orders
+        UNION ALL SELECT 'polygon', count(*) FROM line""",
+    "revisioned_write": """SELECT 1 AS as_of, o_orderpriority AS cls, count(*) AS features FROM orders GROUP BY 2 UNION ALL
+        SELECT 2, cls, count(*) FROM (SELECT CASE WHEN o_orderkey % 6 = 0 THEN 'edited twice' WHEN o_orderkey % 3 = 0 THEN 'edited'
+          ELSE o_orderpriority END AS cls FROM orders) GROUP BY 2""",
     "wkt_ingest": with_both(
         "SELECT layer, ufid, gtype, n_points, wv AS xmin, sv AS ymin, ev AS xmax, nv AS ymax, CAST(area AS BIGINT) AS area, CAST(round(length) AS BIGINT) AS length FROM feat"
     ),
@@ -271,8 +288,11 @@ SQL.update(
         "relate_lines": with_line("SELECT merge_id, drop_id FROM lns"),
         "order_join_list": with_poly("SELECT merge_id, drop_id FROM pns ORDER BY merge_id, drop_id"),
         "unmerged_anti_join": with_poly("SELECT ufid FROM poly WHERE ufid NOT IN (SELECT merge_id FROM pns UNION SELECT drop_id FROM pns)"),
-        "member_join": with_poly("SELECT id AS ufid, comp FROM pm1"),
-        "fallback_join": with_line("SELECT m.id AS ufid, m.comp FROM lm1 m JOIN ldeg1 d ON d.comp = m.comp WHERE d.maxdeg > 2"),
+        "member_join": with_poly("SELECT p.ufid, m.comp, p.slot, p.cls, p.wv AS xmin, p.sv AS ymin FROM pm1 m JOIN poly p ON p.ufid = m.id"),
+        "fallback_join": with_line(
+            """SELECT l.ufid, m.comp, l.slot, l.cls, CAST(round(l.len) AS BIGINT) AS length
+               FROM lm1 m JOIN ldeg1 d ON d.comp = m.comp JOIN lr l ON l.ufid = m.id WHERE d.maxdeg > 2"""
+        ),
         "array_union_agg": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(flatten(list([l_partkey, l_suppkey])))), ',') AS ids FROM lineitem GROUP BY l_orderkey",
         "connected_components": with_poly("SELECT comp, array_to_string(list_sort(list(id)), ',') AS flist, count(*) AS n FROM pm1 GROUP BY comp"),
         "maximal_sets": with_poly("SELECT array_to_string(list_sort(list(id)), ',') AS flist FROM pm1 GROUP BY comp"),
@@ -299,7 +319,12 @@ SQL.update(
                THEN 'fallback' ELSE 'unmerged' END AS kind FROM l1"""
         ),
         "union_regions": with_poly("SELECT p.ufid, string_agg(r.region, ',' ORDER BY r.region) AS regions FROM p1 p JOIN p1reg r ON r.ufid = p.ufid GROUP BY p.ufid"),
-        "stable_ids": with_poly(f"SELECT fid AS ufid, {_comps_txt()} AS components FROM pfinal WHERE len(comps) > 1"),
+        "stable_ids": with_poly(
+            f"""SELECT coalesce(logged, (SELECT max({LOG_MAX}) FROM pfin WHERE len(comps) > 1) + row_number() OVER (PARTITION BY logged IS NULL ORDER BY first)) AS ufid,
+                {_comps_txt()} AS components
+                FROM (SELECT comps, comps[1] AS first, CASE WHEN comps[1] % 7 <> 0 THEN {LOG_LATEST} END AS logged FROM pfin WHERE len(comps) > 1)"""
+        ),
+        "component_by_id": with_poly(f"SELECT 'new_poly' AS layer, fid AS ufid, {_comps_txt()} AS components FROM pfinal WHERE len(comps) > 1 AND fid = 100000000"),
         "allocate_ids": with_line(f"SELECT fid AS ufid, {_comps_txt()} AS components FROM lfinal WHERE len(comps) > 1"),
         "assign_final_ids": with_poly("SELECT fid AS ufid, len(comps) > 1 AS is_composite FROM pfinal"),
         "finalise_layer": with_poly(
@@ -316,7 +341,10 @@ SQL.update(
         "duplicate_check": with_poly("SELECT fid AS ufid, count(*) AS n FROM pfinal GROUP BY fid HAVING count(*) > 1"),
         "single_part_filter": with_line("SELECT comp, maxdeg <= 2 AS accepted FROM ldeg1"),
         "drop_components": with_poly("SELECT fid AS ufid, ogc_fid, slot, cls FROM pfinal"),
-        "assoc_lookup": with_poly(f"SELECT {_comps_txt()} AS components, fid AS ufid FROM pfinal WHERE len(comps) > 1"),
+        "assoc_lookup": with_poly(
+            f"""SELECT array_to_string(CASE WHEN comps[1] % 7 = 0 THEN comps[1:len(comps) - 1] ELSE comps END, ',') AS components, {LOG_LATEST} AS ufid
+                FROM pfin WHERE len(comps) > 1"""
+        ),
         "contains_join": with_poly(
             "SELECT f.fid AS ufid, m.member, p.slot FROM (SELECT fid, unnest(comps) AS member FROM pfinal WHERE len(comps) > 1) m "
             "JOIN pfinal f ON f.fid = m.fid JOIN poly p ON p.ufid = m.member"
