@@ -576,6 +576,19 @@ def q_triple_point_bypass(spark, sf_dir):
     return g.select("ufid", G.num_points().alias("n_points"))
 
 
+def q_region_join_shapes(spark, sf_dir):
+    """Regions that are no rectangles, and more of them than are written into a plan."""
+    return region_join(poly(spark, sf_dir), D.shaped_regions(spark, sf_dir), "ufid")
+
+
+def q_dissolve_overlaps(spark, sf_dir):
+    """Union of members that overlap, repeat or lie apart."""
+    g = M.dissolve_polygons(D.overlapping_members(D.read_table(spark, sf_dir, "orders")))
+    return g.select(
+        "comp", _long(G.area()).alias("area"), _long(G.xmin()).alias("xmin"), _long(G.ymin()).alias("ymin"), _long(G.xmax()).alias("xmax"), _long(G.ymax()).alias("ymax")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_layer_dir": q_scan_layer_dir,
     "layer_inventory": q_layer_inventory,
@@ -619,6 +632,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_ids": q_union_ids,
     "union_merged_fallback": q_union_merged_fallback,
     "union_regions": q_union_regions,
+    "region_join_shapes": q_region_join_shapes,
+    "dissolve_overlaps": q_dissolve_overlaps,
     "write_layer": q_write_layer,
     "scan_stored_layers": q_scan_stored_layers,
     "export_layer": q_export_layer,

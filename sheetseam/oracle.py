@@ -232,6 +232,22 @@ SQL: dict[str, str] = {
     "verify_copy": f"""WITH {POLY}, {LINE}, n AS (SELECT (SELECT count(*) FROM poly) AS p, (SELECT count(*) FROM line) AS l)
         SELECT true AS name_ok, true AS type_ok, true AS count_ok, p AS source_features, p AS copy_features FROM n
         UNION ALL SELECT false, false, p = l, p, l FROM n""",
+    "region_join_shapes": f"""WITH {POLY},
+        shapes AS (
+          SELECT ufid, 'triangle' AS region FROM poly WHERE wv <= 1708000 AND sv <= 5358000 AND ev >= 1108000 AND nv >= 4758000
+            AND greatest(wv, 1108000) - 1108000 + greatest(sv, 4758000) - 4758000 <= 600000
+          UNION ALL SELECT ufid, 'holed' FROM poly WHERE wv <= 2008000 AND ev >= 1108000 AND sv <= 5658000 AND nv >= 4758000
+            AND NOT (wv > 1208000 AND ev < 1808000 AND sv > 4858000 AND nv < 5458000)
+          UNION ALL SELECT ufid, 'parts' FROM poly WHERE (wv <= 1198000 AND ev >= 1108000 AND sv <= 4848000 AND nv >= 4758000)
+            OR (wv <= 2018000 AND ev >= 1608000 AND sv <= 5368000 AND nv >= 5258000)
+          UNION ALL SELECT p.ufid, 'strip' || (3 * n.n_nationkey + j.j) FROM poly p, nation n, (VALUES (0), (1), (2)) j(j)
+            WHERE p.wv <= 1113000 + 13000 * (3 * n.n_nationkey + j.j) AND p.ev >= 1108000 + 13000 * (3 * n.n_nationkey + j.j) AND p.sv <= 6758000 AND p.nv >= 4757000)
+        SELECT ufid, region FROM shapes""",
+    "dissolve_overlaps": """WITH m AS (SELECT o_custkey AS comp, (o_orderkey % 7) * 1000 AS w, (o_orderkey // 7 % 5) * 1000 AS s,
+            (o_orderkey % 7) * 1000 + (o_orderkey % 3 + 1) * 2000 AS e, (o_orderkey // 7 % 5) * 1000 + (o_orderkey // 3 % 4 + 1) * 1500 AS n FROM orders),
+        cells AS (SELECT DISTINCT comp, x, y FROM (SELECT comp, s, n, unnest(range(w, e, 500)) AS x FROM m) t, LATERAL (SELECT unnest(range(t.s, t.n, 500)) AS y) u),
+        a AS (SELECT comp, count(*) * 250000 AS area FROM cells GROUP BY comp)
+        SELECT a.comp, a.area, min(m.w) AS xmin, min(m.s) AS ymin, max(m.e) AS xmax, max(m.n) AS ymax FROM a JOIN m ON m.comp = a.comp GROUP BY a.comp, a.area""",
     "write_layer": "SELECT o_orderpriority AS cls, count(*) AS features FROM orders GROUP BY o_orderpriority",
     "scan_stored_layers": f"WITH {LINE} SELECT 'new_line' AS layer, count(*) AS features FROM line UNION ALL SELECT 'new_poly', count(*) FROM orders",
     "export_layer": f"WITH {POLY} SELECT ufid, cls, (ev - wv) * (nv - sv) AS area, wv AS xmin, nv AS ymax FROM poly",

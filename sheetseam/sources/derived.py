@@ -86,6 +86,38 @@ def regions(spark: SparkSession, x_range=(1_100_000, 2_100_000), y_range=(4_700_
     return spark.createDataFrame([(name, rect(b)) for name, b in rows], REGION_SCHEMA)
 
 
+def shaped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle, a region with a hole, one of two parts, and three narrow strips for every nation."""
+    x, y = X0, Y0
+
+    def box(w, s, e, n):
+        return [(w, s), (e, s), (e, n), (w, n), (w, s)]
+
+    shapes = [
+        ("triangle", [[[(x, y), (x + 600_000, y), (x, y + 600_000), (x, y)]]]),
+        ("holed", [[box(x, y, x + 900_000, y + 900_000), box(x + 100_000, y + 100_000, x + 700_000, y + 700_000)]]),
+        ("parts", [[box(x, y, x + 90_000, y + 90_000)], [box(x + 500_000, y + 500_000, x + 910_000, y + 610_000)]]),
+    ]
+    rows = [
+        (name, ("POLYGON" if len(parts) == 1 else "MULTIPOLYGON", [[[{"x": float(a), "y": float(b)} for a, b in ring] for ring in part] for part in parts]))
+        for name, parts in shapes
+    ]
+    fixed = spark.createDataFrame(rows, REGION_SCHEMA)
+    strips = read_table(spark, sf_dir, "nation").select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"), "n_nationkey")
+    k = 3 * F.col("n_nationkey") + F.col("j")
+    w = F.lit(X0) + 13_000 * k
+    return fixed.unionByName(strips.select(F.concat(F.lit("strip"), k.cast("string")).alias("region"), G.rectangle(w, F.lit(Y0 - 1000), w + 5000, F.lit(Y0 + 2_000_000)).alias("geom")))
+
+
+def overlapping_members(orders: DataFrame) -> DataFrame:
+    """``(comp, geom)``: a small rectangle per order, many of them overlapping or equal within a customer."""
+    k = F.col("o_orderkey").cast("long")
+    w, s = (k % 7) * 1000, (F.floor(k / 7) % 5) * 1000
+    return orders.select(
+        F.col("o_custkey").cast("long").alias("comp"), G.rectangle(w, s, w + (k % 3 + 1) * 2000, s + (F.floor(k / 3) % 4 + 1) * 1500).alias("geom")
+    )
+
+
 def load_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poly_layer(read_table(spark, sf_dir, "orders"))
 
