@@ -27,7 +27,7 @@ from sheetseam.plans import utilities as U
 from sheetseam.schemas import REGIONS
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
-from sheetseam.session import ensure_checkpoint_dir, spread
+from sheetseam.session import ensure_checkpoint_dir, materialize, spread
 
 _CACHE: dict = {}
 
@@ -522,9 +522,12 @@ def q_report_assoc_join(spark, sf_dir):
 
 # ---------------------------------------------------------------- plans
 def q_identify_pass(spark, sf_dir):
-    p = _ns(spark, sf_dir, "poly").pairs.withColumn("layer", F.lit("poly"))
-    l = _ns(spark, sf_dir, "line").pairs.withColumn("layer", F.lit("line"))
-    return p.unionByName(l).select("layer", "merge_id", "drop_id")
+    out = None
+    for name, src, is_poly in (("poly", poly, True), ("line", line, False)):
+        df = materialize(S.prepare(src(spark, sf_dir), "ufid", regions(spark)), "prepared")
+        pairs = C.identify(df, "ufid", ["slot", "cls"], is_poly, C.NS).select(F.lit(name).alias("layer"), "merge_id", "drop_id")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def q_merge_pass(spark, sf_dir):
