@@ -22,6 +22,7 @@ from sheetseam.operators import ids as I
 from sheetseam.operators import inspect as X
 from sheetseam.operators import merge as M
 from sheetseam.operators.regions import region_join
+from sheetseam.plans import runner
 from sheetseam.plans import stitching as S
 from sheetseam.plans import utilities as U
 from sheetseam.schemas import REGIONS
@@ -579,6 +580,20 @@ def q_triple_point_bypass(spark, sf_dir):
     return g.select("ufid", G.num_points().alias("n_points"))
 
 
+def q_import_process_export(spark, sf_dir):
+    """A whole run over a folder with the polygon layer and its crop regions: import, stitch with key detection, dispatch and logs,
+    export; the exported layer and the log are read back."""
+    source, store = _folder(spark), _folder(spark)
+    ST.write_layer(poly(spark, sf_dir), source, "poly")
+    ST.write_layer(D.regions(spark), source, runner.REGIONS)
+    runner.run(spark, source, store)
+    out = spark.read.parquet(f"{source}_new/poly")
+    log = spark.read.parquet(f"{store}/{runner.ASSOCIATIONS}").groupBy("ufid").agg(F.count(F.lit(1)).alias("logged"))
+    return out.join(log, "ufid", "left").groupBy("cls").agg(
+        F.count(F.lit(1)).alias("features"), F.sum((F.col("ufid") >= 100_000_000).cast("long")).alias("composites"), F.count("logged").alias("logged"), _long(F.sum(G.area())).alias("area")
+    )
+
+
 def q_region_join_shapes(spark, sf_dir):
     """Regions that are no rectangles, and more of them than are written into a plan."""
     return region_join(poly(spark, sf_dir), D.shaped_regions(spark, sf_dir), "ufid")
@@ -636,6 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_merged_fallback": q_union_merged_fallback,
     "union_regions": q_union_regions,
     "region_join_shapes": q_region_join_shapes,
+    "import_process_export": q_import_process_export,
     "dissolve_overlaps": q_dissolve_overlaps,
     "write_layer": q_write_layer,
     "scan_stored_layers": q_scan_stored_layers,

@@ -340,6 +340,10 @@ SQL.update(
                 {_comps_txt()} AS components
                 FROM (SELECT comps, comps[1] AS first, CASE WHEN comps[1] % 7 <> 0 THEN {LOG_LATEST} END AS logged FROM pfin WHERE len(comps) > 1)"""
         ),
+        "import_process_export": with_poly(
+            """SELECT cls, count(*) AS features, sum(CASE WHEN len(comps) > 1 THEN 1 ELSE 0 END) AS composites,
+               sum(CASE WHEN len(comps) > 1 THEN 1 ELSE 0 END) AS logged, sum(len(comps)) * 864000000 AS area FROM pfinal GROUP BY cls"""
+        ),
         "component_by_id": with_poly(f"SELECT 'new_poly' AS layer, fid AS ufid, {_comps_txt()} AS components FROM pfinal WHERE len(comps) > 1 AND fid = 100000000"),
         "allocate_ids": with_line(f"SELECT fid AS ufid, {_comps_txt()} AS components FROM lfinal WHERE len(comps) > 1"),
         "assign_final_ids": with_poly("SELECT fid AS ufid, len(comps) > 1 AS is_composite FROM pfinal"),
