@@ -39,6 +39,8 @@ from .packed import by_shard, mixed, pack_sorted, returned, unpack_sorted, word_
 WORDS, NEAR, OF = 5, 75, 100
 #: Representatives that one prefix tree holds.
 BLOCK = 500
+#: Tasks that a group of copies is spread over.
+SALTS = 16
 _FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _MAIL = "shard int, batch long, meta binary, keys binary, of binary"
 _BACK = "batch long, meta binary, keys binary, of binary, df binary"
@@ -331,8 +333,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     whole = F.length("keys") == F.col("n") * 8
     kind = F.when(whole, F.sha2("keys", 256)).otherwise(F.col("row").cast("string"))
     kinds = some.select("doc_id", "row", kind.alias("kind"))
-    first = kinds.groupBy("kind").agg(F.min(F.struct("doc_id", "row")).alias("rep"))
-    copies = big_join(kinds, first, "kind").where("doc_id != rep.doc_id").select(F.col("doc_id").alias("merge_id"), F.col("rep.doc_id").alias("drop_id"))
+    first = kinds.groupBy("kind").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("n"))
+    # a large group of copies meets its first in SALTS tasks
+    several = first.where("n > 1").select("kind", "rep", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt"))
+    salted = kinds.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    copies = big_join(salted, several, ["kind", "salt"]).where("doc_id != rep.doc_id")
+    copies = copies.select(F.col("doc_id").alias("merge_id"), F.col("rep.doc_id").alias("drop_id"))
     reps = big_join(some.select("doc_id", "row", "n", "keys"), first.select(F.col("rep.row").alias("row")), "row")
     cores = written(_shared(_from_sets(reps, parts), parts, ordered=True).where("keys IS NOT NULL"), "ngram-cores")
     edges = written(_tree_edges(cores).unionByName(copies), "ngram-links")
