@@ -69,7 +69,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = piece_table.with_ids(docs, "text", piece_model_path())
+    coded = piece_table.with_ids(docs, "text", piece_model_path(), keep_cache=True)
     return coded.select("doc_id", *piece_table.digest(F.col("ids"), F.col("decoded")))
 
 
