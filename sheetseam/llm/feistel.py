@@ -33,7 +33,14 @@ KINDS = ("email", "phone", "iban", "card", "ssn", "date", "ip")
 ROUNDS = 4  # double rounds
 FIRST_DAY, DAYS = "1900-01-01", 73049  # = 17 * 4297
 _MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"
-_PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .\-]?(?:\(\d{1,4}\)|\d{2,4})){2,5}(?!\d)"
+#: A further digit of a phone number, with a separator before it and in brackets of up to four digits.
+_NEXT = r"[ .\-]?(?:\((?=\d{1,4}\)))?\d(?:(?<=\(\d{1,4})\))?"
+#: What begins after a space and is a value of its own, not the rest of a phone number: date, ip, ssn, card, mail address.
+_OTHER = (
+    r" (?:(?:\d{4}[\-/.]\d{2}[\-/.]\d{2}|\d{2}[\-/.]\d{2}[\-/.]\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4})(?!\d)"
+    r"|(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![ \-]?\d)|[\p{L}\p{N}._%+\-]++@)"
+)
+_PHONE = rf"(?<![\d+])\+\d(?:{_NEXT}){{7}}(?:(?!{_OTHER}){_NEXT}){{0,7}}(?!\d)"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![\p{L}\p{N}])"
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"
 _DATE = r"(?<![\d./\-])(?:\d{4}([\-/.])\d{2}\1\d{2}|\d{2}([\-/.])\d{2}\2\d{4})(?!\d|[./\-]\d)"
@@ -243,7 +250,7 @@ def pseudonymised(text: Column, key: str, *, back: bool = False) -> Column:
         ),
         rebuild,
     )
-    return F.when(text.rlike("[0-9]"), heavy).otherwise(F.struct(text.alias("text"), none.alias("kinds")))
+    return F.when(text.rlike("[0-9@]"), heavy).otherwise(F.struct(text.alias("text"), none.alias("kinds")))
 
 
 def pseudonymise(docs: DataFrame, text: str, key: str, *, counts: bool = True) -> DataFrame:
