@@ -5,8 +5,9 @@ of punctuation marks are summed and divided by the number of nodes: running text
 labels have short ones.  Both ratios are smoothed over neighbouring nodes, fused by their product and compared with a
 threshold from the page's own spread; paths above it are content.  The content element is the deepest one that holds
 nearly all content text; its blocks are the result, headings and short paragraphs included, but without subtrees that
-are marked as something else (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-and without paths that are mostly links.
+are marked as something else by class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
+and without paths that are mostly links.  Marks on html, body, main and the article itself do not count, nor words behind has-, no- or
+with-; a mark on an element that holds most of the page's content text is overruled.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one line feed.
 Null and empty html give an empty text.  Cut-off pages are read to their end.  Rows are independent; nothing is
@@ -46,6 +47,12 @@ _MARKS = frozenset(
     " comment comments commentlist reply replies respond disqus share sharing social related recommended widget login signup search pagination pager"
     " contentinfo complementary toolbar skip".split()
 )
+#: Marks of texts of their own, which can be longer than the article: only overruled if next to nothing is left without them.
+_OWN_TEXT = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices"
+    " popup modal newsletter comment comments commentlist reply replies respond disqus".split()
+)
+_WITHOUT = frozenset(("has", "no", "with", "without"))
 _HEADER_MARKS = frozenset(("header", "siteheader", "pageheader"))
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CLOSED_BY = {  # an opening tag ends these open elements
@@ -56,22 +63,39 @@ _SCOPE = frozenset("table ul ol dl article section div body html td th select".s
 PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？¿¡\"'()«»“”„‘’]")
 
 
-def _marked(tag: str, attrs: str, in_article: bool) -> bool:
+def _words(value: str) -> set[str]:
+    """Words of a class, id or role; those behind has-, no- or with- say nothing about the element itself."""
+    words: set[str] = set()
+    for name in value.split():
+        for w in _SPLIT.split(name):
+            if w.lower() in _WITHOUT:
+                break
+            words.add(w.lower())
+    return words
+
+
+def _marked(tag: str, attrs: str, in_article: bool, in_own: bool) -> str:
+    """"out" if the subtree is left out for certain; "own" or "frame" if its words say that it is not the article; or ""."""
     if tag in _LEFT_OUT or tag == "header" and not in_article:
-        return True
-    if not attrs or attrs == "/":
-        return False
+        return "out"
+    if not attrs or attrs == "/" or tag in ("html", "body"):
+        return ""
+    found = ""
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and (a or b or c) == "true":
-            return True
+            return "out"
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _SPLIT.split(a or b or c)}
-            if words & _MARKS or not in_article and words & _HEADER_MARKS:
-                return True
+            if tag == "main" or tag == "article" and not in_own:  # an article in an article can be a reader's comment
+                continue
+            words = _words(a or b or c)
+            if words & _OWN_TEXT:
+                found = "own"
+            elif words & _MARKS or not in_article and words & _HEADER_MARKS:
+                found = found or "frame"
         elif name == "style" and re.search(r"display\s*:\s*none", a or b or c, re.I):
-            return True
-    return False
+            return "out"
+    return found
 
 
 class _Page:
@@ -80,6 +104,7 @@ class _Page:
     def __init__(self, html: str) -> None:
         self.nodes: list[tuple[tuple[int, ...], str, int, str, bool]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, left out
+        self.marks: dict[int, str] = {}  # kind of mark by element number
         self.block = self.count = 0
         self.links = 0
         at = 0
@@ -96,7 +121,7 @@ class _Page:
         if raw and not (self.stack and self.stack[-1][2]):
             text = unescape(raw)
             path = "/".join(t for t, _, _ in self.stack)
-            self.nodes.append((tuple(n for t, n, _ in self.stack if t not in _INLINE), path, self.block, text, self.links > 0))
+            self.nodes.append((tuple(n for t, n, _ in self.stack if t not in _INLINE or n in self.marks), path, self.block, text, self.links > 0))
 
     def pop(self, to: int) -> None:
         for tag, _, _ in self.stack[to:]:
@@ -121,8 +146,12 @@ class _Page:
             self.block += 1
         if attrs.endswith("/") and tag not in _INLINE and tag in ("path", "use", "circle"):
             return
-        out = bool(self.stack and self.stack[-1][2]) or _marked(tag, attrs, any(t in ("article", "main") for t, _, _ in self.stack))
+        above = {t for t, _, _ in self.stack}
+        mark = _marked(tag, attrs, bool(above & {"article", "main"}), "article" in above)
+        out = bool(self.stack and self.stack[-1][2]) or mark == "out"
         self.count += 1
+        if mark and not out:
+            self.marks[self.count] = mark
         self.links += tag == "a"
         self.stack.append((tag, self.count, out))
 
@@ -167,10 +196,31 @@ def content_nodes(nodes: list) -> list[bool]:
     return [n[1] in chosen for n in nodes]
 
 
+def _unmarked(page: _Page) -> list:
+    """The page's nodes outside marked elements.  A mark is overruled if its element holds most of the text on content paths
+    (a text of its own, such as a notice or comments: only if the unmarked text is less than a tenth of it)."""
+    if not page.marks:
+        return page.nodes
+    texts = [n for n in page.nodes if n[3].strip()]
+    if not texts:
+        return []
+    size = [len(n[3]) if c and not n[4] else 0 for n, c in zip(texts, content_nodes(texts), strict=True)]
+    total, marks = sum(size), dict(page.marks)
+    for e, kind in page.marks.items():  # outer elements first
+        mine = sum(s for n, s in zip(texts, size, strict=True) if e in n[0])
+        if mine <= 0.5 * total:
+            continue
+        left = sum(len(n[3].strip()) for n in texts if not n[4] and not any(x in marks for x in n[0]))
+        if kind == "frame" or left < 0.1 * mine:
+            del marks[e]
+    return [n for n in page.nodes if not any(x in marks for x in n[0])]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
+    page.nodes = _unmarked(page)
     nodes = [n for n in page.nodes if n[3].strip()]
     if not nodes:
         return ""
