@@ -4,7 +4,7 @@ A page is cut into text nodes, each under the path of elements from the root.  P
 of punctuation marks are summed and divided by the number of nodes: running text has long, punctuated nodes; menus and
 labels have short ones.  Both ratios are smoothed over neighbouring nodes, fused by their product and compared with a
 threshold from the page's own spread; paths above it are content.  The content element is the deepest one that holds
-nearly all content text; its blocks are the result, headings and short paragraphs included, but without subtrees that
+nearly all content text, widened to an enclosing article or main and upwards over blocks that are not mostly links; its blocks are the result, headings and short paragraphs included, but without subtrees that
 are marked as something else by class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
 and without paths that are mostly links.  Marks on html, body, main and the article itself do not count, nor words behind has-, no- or
 with-; a mark on an element that holds most of the page's content text is overruled.
@@ -60,6 +60,7 @@ _CLOSED_BY = {  # an opening tag ends these open elements
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
 }
 _SCOPE = frozenset("table ul ol dl article section div body html td th select".split())
+_HEADING = re.compile(r"(?:^|/)h[1-6](?:/|$)")
 PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？¿¡\"'()«»“”„‘’]")
 
 
@@ -104,6 +105,7 @@ class _Page:
     def __init__(self, html: str) -> None:
         self.nodes: list[tuple[tuple[int, ...], str, int, str, bool]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, left out
+        self.articles: set[int] = set()  # numbers of article and main elements
         self.marks: dict[int, str] = {}  # kind of mark by element number
         self.block = self.count = 0
         self.links = 0
@@ -152,6 +154,8 @@ class _Page:
         self.count += 1
         if mark and not out:
             self.marks[self.count] = mark
+        if tag in ("article", "main"):
+            self.articles.add(self.count)
         self.links += tag == "a"
         self.stack.append((tag, self.count, out))
 
@@ -216,6 +220,36 @@ def _unmarked(page: _Page) -> list:
     return [n for n in page.nodes if not any(x in marks for x in n[0])]
 
 
+def _widened(nodes: list, content: list[bool], holder: int, whole: set[int]) -> tuple[int | None, set[int]]:
+    """The element that the text is taken from, upwards from the holder, and the link-heavy elements left out on the way.
+
+    An enclosing article or main (``whole``) is always taken; above it and without one, an element that adds link-heavy blocks is
+    taken only if it adds a heading besides them."""
+    chain = next(n[0] for n in nodes if holder in n[0])
+    k = chain.index(holder)
+    dropped: set[int] = set()
+    must = max((i for i in range(k + 1) if chain[i] in whole), default=None)
+    if must is not None:
+        k = must
+    while k >= 0:  # to the parent, and at last to text outside all elements
+        parent = chain[k - 1] if k else None
+        added = [(n, c) for n, c in zip(nodes, content, strict=True) if (parent is None or parent in n[0]) and chain[k] not in n[0]]
+        groups: dict[int, list] = {}
+        for n, c in added:
+            groups.setdefault(n[0][k] if len(n[0]) > k else -1, []).append((n, c))
+        heavy = set()
+        for e, got in groups.items():
+            linked = sum(len(n[3].strip()) for n, _ in got if n[4])
+            if e >= 0 and linked > 0.5 * sum(len(n[3].strip()) for n, _ in got) and not any(c and not n[4] for n, c in got):
+                heavy.add(e)
+        heading = any(_HEADING.search(n[1]) for n, _ in added if not any(e in heavy for e in n[0]))
+        if heavy and not heading:
+            break
+        dropped |= heavy
+        k -= 1
+    return (chain[k] if k >= 0 else None), dropped
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -234,12 +268,10 @@ def main_text(html: str | None) -> str:
                 weight[e] = weight.get(e, 0) + len(n[3])
     # deepest element with nearly all of the content; elements are numbered in page order, so deeper means larger on one path
     holder = max((e for e, w in weight.items() if w >= 0.9 * total), default=None) if total else None
-    holds_block = holder is not None and sum(len(n[3]) for n in nodes if holder in n[0]) and any(holder in n[0] and n[0][-1] != holder for n in nodes)
-    if holder is not None and not holds_block:  # a single paragraph: its headings stand beside it
-        chain = next(n[0] for n in nodes if holder in n[0])
-        k = chain.index(holder)
-        holder = chain[k - 1] if k else None
-    inside = [holder is None or holder in n[0] for n in nodes]
+    dropped: set[int] = set()
+    if holder is not None:  # the rest of the article stands beside it: headings, introductions, short sections
+        holder, dropped = _widened(nodes, content, holder, page.articles)
+    inside = [(holder is None or holder in n[0]) and not any(e in dropped for e in n[0]) for n in nodes]
     links: dict[str, list[int]] = {}
     for n in nodes:
         whole = links.setdefault(n[1].partition("/a")[0] if n[4] else n[1], [0, 0])
