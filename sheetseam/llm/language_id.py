@@ -6,8 +6,7 @@ to unit length.  Weights are learned with follow-the-regularised-leader (per-coo
 most stay exactly zero; a temperature fitted on separate labelled documents calibrates the scores.
 
 Bounds (parameters): weights are fitted on at most about ``per_label`` documents of each label and the
-temperature on a quarter as many, both picked by a hash of the id; labels beyond ``max_labels`` (the rarest) are not
-learned.  Document frequencies and predictions cover every row.
+temperature on a quarter as many, both picked by a hash of the id.  Every label is learned, so the model and its sample on the driver grow with the number of labels.  Document frequencies and predictions cover every row.
 
 A text that is null or holds no letter is ``und`` with score 0.  Without any training document
 every prediction is ``und``.  Repeated rows are predicted alike; the inputs of a prediction are the text alone.
@@ -134,13 +133,13 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(
-    docs: DataFrame, text: str, label: str, key: str, *, per_label: int = 400, max_labels: int = 64, bits: int = 15, epochs: int = 3,
+    docs: DataFrame, text: str, label: str, key: str, *, per_label: int = 400, bits: int = 15, epochs: int = 3,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5,
 ) -> LanguageModel | None:
     """Learn from the rows of ``docs`` whose text and label are not null."""
     rows = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
     rows = rows.where("t IS NOT NULL AND y IS NOT NULL AND t != ''")
-    found = rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(max_labels).collect()
+    found = rows.groupBy("y").agg(F.count("*").alias("n")).collect()
     if not found:
         return None
     labels = sorted(r.y for r in found)
