@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, prepare_session
+from ..session import big_join, materialize, prepare_session
 
 #: Rows per Arrow batch: texts can be long, so a batch stays small whatever their length.
 BATCH_ROWS = 1000
@@ -32,6 +32,15 @@ def fold(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
+#: Rows of a table that may be broadcast; beyond them the same join sorts both sides.
+SMALL_ROWS = 100_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a written table of short rows: broadcast if it was counted to be small (no hot key then), merged if not."""
+    return left.join(F.broadcast(right), on, how) if right.count() <= SMALL_ROWS else big_join(left, right, on, how)
+
+
 def shards(spark: SparkSession) -> int:
     """Number of shards for packed work: a few for each of the session's shuffle partitions (which grow with
     the input), so that one shard stays small and partitions even out."""
