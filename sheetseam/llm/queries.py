@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_cube, feistel, hard_negatives, language_id, latent_leaks, ngram_join, one_permutation, piece_table, suffix_merge, tag_path, trie_lm, url_model
+from . import chosen_path, divergence_cube, feistel, hard_negatives, language_id, latent_leaks, ngram_join, one_permutation, piece_table, suffix_merge, tag_path, trie_lm, url_model
 from .common import fold, ready, table
 
 URL_RULES = (
@@ -84,6 +84,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(ready(spark), sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(ready(spark), sf_dir, "embeddings")
     noisy = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
     "op10_language_id": op10_language_id,
+    "op11_near_dedup": op11_near_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_divergence_audit": op13_divergence_audit,
 }
