@@ -25,7 +25,8 @@ from sheetseam.operators.regions import region_join
 from sheetseam.plans import runner
 from sheetseam.plans import stitching as S
 from sheetseam.plans import utilities as U
-from sheetseam.schemas import REGIONS
+from sheetseam.schemas import ASSOCIATIONS_SCHEMA, REGIONS
+from sheetseam.sources import commits
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
 from sheetseam.session import ensure_checkpoint_dir, materialize, spread
@@ -95,15 +96,32 @@ def q_scan_layer_dir(spark, sf_dir):
     )
 
 
+def _coast(spark, sf_dir) -> DataFrame:
+    """The northern sheet rows of the polygon layer as a layer of its own: other key, attribute names and types."""
+    p = poly(spark, sf_dir).where(F.expr("ufid % 39 >= 20"))
+    return p.select(F.col("cls").alias("kind"), F.col("ufid").cast("int").alias("coast_id"), F.col("slot").cast("string").alias("zone"), "ogc_fid", "geom")
+
+
+def _layer_store(spark, sf_dir, *names) -> str:
+    """A store with layers, crop regions, a log of an earlier run, an output layer and a system table."""
+    folder = _folder(spark)
+    for n, make in (("coast", _coast), ("line", line), ("poly", poly)):
+        if n in names:
+            ST.write_layer(make(spark, sf_dir), folder, n)
+    ST.write_layer(poly(spark, sf_dir).select("ufid", "geom"), folder, "new_older")
+    ST.write_layer(D.read_table(spark, sf_dir, "region"), folder, "spatial_ref_sys")
+    runner.load_regions(spark, folder, D.regions(spark))
+    log = spark.range(1).select(F.lit("2020-01-01").cast("timestamp").alias("ts"), F.lit("new_older").alias("layer"), F.lit(100_000_500).cast("long").alias("ufid"), F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long")).alias("ufid_components"))
+    log.write.parquet(f"{folder}/{runner.ASSOCIATIONS}")
+    return folder
+
+
 def q_layer_inventory(spark, sf_dir):
-    df = _both(spark, sf_dir)
-    return df.groupBy("layer", F.col("geom.gtype").alias("gtype")).agg(
-        F.count(F.lit(1)).alias("features"),
-        _long(F.min(G.xmin())).alias("xmin"),
-        _long(F.min(G.ymin())).alias("ymin"),
-        _long(F.max(G.xmax())).alias("xmax"),
-        _long(F.max(G.ymax())).alias("ymax"),
-    )
+    """Layers of a store by name and type: no log, region, system or output table, and only those of the name list."""
+    folder = _layer_store(spark, sf_dir, "coast", "line", "poly")
+    ST.write_layer(_mixed(spark, sf_dir), folder, "mixed")
+    found = runner.inventory(spark, folder, ["line", "poly", "mixed", "new_older", runner.REGIONS, "spatial_ref_sys", runner.ASSOCIATIONS])
+    return found.select("layer", "gtype", "features", *(_long(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
 
 
 def q_verify_copy(spark, sf_dir):
@@ -540,13 +558,66 @@ def q_merge_pass(spark, sf_dir):
 
 
 def q_stitch_all(spark, sf_dir):
-    out = None
-    for n in ("line", "poly"):
-        f = _stitched(spark, sf_dir, n).interim
-        r = f.agg(F.count(F.lit(1)).alias("features"), F.sum((F.size("ufid_components") > 1).cast("long")).alias("composites")).select(
-            F.lit(n).alias("layer"), "features", "composites"
-        )
-        out = r if out is None else out.unionByName(r)
+    """All layers of a store in one plan, published together; ids go on from the log of an earlier run."""
+    folder = _layer_store(spark, sf_dir, "coast", "line", "poly")
+    done = runner.stitch_all(spark, folder, token="run")
+    keys = {"coast": "coast_id", "line": "ufid", "poly": "ufid"}
+    rows = [df.select(F.lit(n).alias("layer"), F.col(keys[n]).cast("long").alias("id"), F.size(F.array(*(F.col(c).cast("string") for c in df.columns if c != "geom"))).alias("n_columns")) for n, df in done.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    new = F.col("id") >= 100_000_000
+    return every.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("features"), F.count(F.when(new, 1)).alias("composites"), F.min(F.when(new, F.col("id"))).alias("first_id"),
+        F.max(F.when(new, F.col("id"))).alias("last_id"), F.sum(F.when(new, F.col("id"))).alias("id_sum"), F.max("n_columns").alias("n_columns"),
+    )
+
+
+class _Stop(Exception):
+    pass
+
+
+def q_publish_layers(spark, sf_dir):
+    """Runs that stop after each of their writes, one that is repeated, and one that another run overtakes: what the store shows after each."""
+    folder = _layer_store(spark, sf_dir, "coast", "line")
+    merged = runner.merge_store(spark, folder)
+    shown = []
+
+    def show(step: str) -> None:
+        now = commits.state(spark, folder)
+        log = commits.read_log(spark, now, runner.ASSOCIATIONS, ASSOCIATIONS_SCHEMA)
+        by_id = log.groupBy("ufid").agg(F.count_distinct("ufid_components").alias("n"))
+        twice = by_id.agg(F.count(F.lit(1)).alias("ids"), F.count(F.when(F.col("n") > 1, 1)).alias("clashes"), F.max("ufid").alias("last_id"))
+        logged = log.agg(F.count(F.lit(1)).alias("logged"))
+        both = logged.crossJoin(twice)  # two one-row aggregates
+        shown.append(both.select(F.lit(step).alias("step"), F.lit(now.version).cast("long").alias("version"), F.lit(len(now.layers)).cast("long").alias("layers"), "logged", "ids", "clashes", "last_id"))
+
+    def stop_at(place: str):
+        def check(step: str) -> None:
+            if step == place:
+                raise _Stop
+
+        return check
+
+    for place in ("layers", runner.ASSOCIATIONS, runner.REPORT):
+        try:
+            runner.publish(spark, folder, merged, "first", names=["coast"], before_commit=stop_at(place))
+        except _Stop:
+            show(f"stopped after {place}")
+    runner.publish(spark, folder, merged, "first", names=["coast"])
+    show("first")
+    runner.publish(spark, folder, merged, "first", names=["coast"])
+    show("repeated")
+
+    def overtake(step: str) -> None:
+        if step == runner.REPORT:
+            runner.publish(spark, folder, merged, "other", names=["coast"])
+
+    runner.publish(spark, folder, merged, "second", names=["line"], before_commit=overtake)
+    show("overtaken")
+    out = shown[0]
+    for s in shown[1:]:
+        out = out.unionByName(s)
     return out
 
 
@@ -588,7 +659,7 @@ def q_import_process_export(spark, sf_dir):
     ST.write_layer(D.regions(spark), source, runner.REGIONS)
     runner.run(spark, source, store)
     out = spark.read.parquet(f"{source}_new/poly")
-    log = spark.read.parquet(f"{store}/{runner.ASSOCIATIONS}").groupBy("ufid").agg(F.count(F.lit(1)).alias("logged"))
+    log = runner.read_log(spark, store, runner.ASSOCIATIONS, ASSOCIATIONS_SCHEMA).groupBy("ufid").agg(F.count(F.lit(1)).alias("logged"))
     return out.join(log, "ufid", "left").groupBy("cls").agg(
         F.count(F.lit(1)).alias("features"), F.sum((F.col("ufid") >= 100_000_000).cast("long")).alias("composites"), F.count("logged").alias("logged"), _long(F.sum(G.area())).alias("area")
     )
@@ -677,6 +748,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "identify_pass": q_identify_pass,
     "merge_pass": q_merge_pass,
     "stitch_all": q_stitch_all,
+    "publish_layers": q_publish_layers,
     "derive_irregular_edges": q_derive_irregular_edges,
     "extent_hits_irregular": q_extent_hits_irregular,
     "geometry_changed": q_geometry_changed,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.schemas import KEY_FALLBACK_NAME, LINE_TYPES, POLYGON_TYPES, SYSTEM_COLUMNS
@@ -58,15 +58,15 @@ def geometry_types(df: DataFrame, geom: str = "geom") -> DataFrame:
     return df.groupBy(F.col(f"{geom}.gtype").alias("gtype")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def handling_of(gtype: Column) -> Column:
+    """polygon / line / skip for a geometry type."""
+    return F.when(gtype.isin(*POLYGON_TYPES), F.lit("polygon")).when(gtype.isin(*LINE_TYPES), F.lit("line")).otherwise(F.lit("skip"))
+
+
 def dispatch(df: DataFrame, geom: str = "geom") -> DataFrame:
     """``(gtype, handling)``: majority geometry type (ties: name) -> polygon / line / skip."""
     t = geometry_types(df, geom).orderBy(F.desc("n"), "gtype").limit(1)
-    handling = (
-        F.when(F.col("gtype").isin(*POLYGON_TYPES), F.lit("polygon"))
-        .when(F.col("gtype").isin(*LINE_TYPES), F.lit("line"))
-        .otherwise(F.lit("skip"))
-    )
-    return t.select("gtype", handling.alias("handling"))
+    return t.select("gtype", handling_of(F.col("gtype")).alias("handling"))
 
 
 def dispatch_kind(df: DataFrame, geom: str = "geom") -> str:

@@ -206,17 +206,19 @@ def _by_cells(features: DataFrame, regions: DataFrame) -> DataFrame:
     return whole.unionByName(crossing).unionByName(inside).unionByName(holding).distinct()
 
 
-def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom", key: str | None = None) -> DataFrame:
+def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom", key: str | None = None, keep_outside: bool = False) -> DataFrame:
     """Attach the sorted names of the regions that each feature meets (``None``: one region for all) and drop
-    features outside all regions.  ``key`` is needed where the regions are too many to write into the plan."""
+    features outside all regions (or keep them with no name).  ``key`` is needed where the regions are too many to write into the plan."""
     if regions is None:
         return layer.withColumn(REGIONS, F.array(F.lit("all")))
     small = small_regions(regions)
     if small is not None:
-        return layer.withColumn(REGIONS, _inline(small, geom)).filter(F.size(REGIONS) > 0)
+        named = layer.withColumn(REGIONS, _inline(small, geom))
+        return named if keep_outside else named.filter(F.size(REGIONS) > 0)
     pairs = _by_cells(layer.select(F.col(key).alias("id"), F.col(geom).alias("geom")), regions)
     found = pairs.groupBy("id").agg(F.sort_array(F.collect_set("region")).alias(REGIONS)).withColumnRenamed("id", key)
-    return big_join(layer, found, key).select(*layer.columns, REGIONS)
+    both = big_join(layer, found, key, "left" if keep_outside else "inner")
+    return both.select(*layer.columns, F.coalesce(REGIONS, F.array().cast("array<string>")).alias(REGIONS) if keep_outside else REGIONS)
 
 
 def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:

@@ -8,6 +8,8 @@ names equal those of :mod:`sheetseam.catalog`.
 
 from __future__ import annotations
 
+import re
+
 from sheetseam.functions.grid import NONSTANDARD_SET
 from sheetseam.catalog import DETECT_TABLES
 
@@ -171,6 +173,16 @@ lreport AS (
   SELECT f.fid, 'Mapsheet boundary-join error for table eastwest_line' FROM lm2 m JOIN ldeg2 d ON d.comp = m.comp JOIN lfinal f ON f.ufid = m.id WHERE d.maxdeg > 2)"""
 
 
+def northern_poly() -> str:
+    """The polygon passes over the northern sheet rows only, under names that begin with q."""
+    text = POLY_PASSES.replace(REGIONS + ",\n", "").replace("FROM orders)", "FROM orders WHERE o_orderkey % 39 >= 20)")
+    names = "poly preg polyr pns pm1 pm1_e pm1_r p1 p1reg pew pm2 pm2_e pm2_r pfin pids pfinal".split()
+    return re.sub(rf"\b({'|'.join(names)})\b", r"q\1", text)
+
+
+LINES_ONLY = LINE_PASSES.replace(REGIONS + ",", "", 1)
+
+
 def with_poly(body: str) -> str:
     return f"WITH RECURSIVE {POLY_PASSES}\n{body}"
 
@@ -227,7 +239,8 @@ def _comps_txt(c: str = "comps") -> str:
 SQL: dict[str, str] = {
     "scan_layer_dir": "SELECT 'lineitem' AS layer, count(*) AS features FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders",
     "layer_inventory": with_both(
-        "SELECT layer, gtype, count(*) AS features, min(wv) AS xmin, min(sv) AS ymin, max(ev) AS xmax, max(nv) AS ymax FROM feat GROUP BY layer, gtype"
+        """SELECT layer, gtype, count(*) AS features, min(wv) AS xmin, min(sv) AS ymin, max(ev) AS xmax, max(nv) AS ymax
+           FROM (SELECT * FROM feat UNION ALL SELECT 'mixed', * EXCLUDE (layer) FROM feat) GROUP BY layer, gtype"""
     ),
     "verify_copy": f"""WITH {POLY}, {LINE}, n AS (SELECT (SELECT count(*) FROM poly) AS p, (SELECT count(*) FROM line) AS l)
         SELECT true AS name_ok, true AS type_ok, true AS count_ok, p AS source_features, p AS copy_features FROM n
@@ -378,9 +391,19 @@ SQL.update(
             """SELECT ufid, ogc_fid, CAST(len(comps) AS BIGINT) AS n_components, 'POLYGON' AS gtype,
                CAST(len(comps) AS BIGINT) * 864000000 AS area, sv AS ymin, nv AS ymax FROM p1"""
         ),
-        "stitch_all": f"""WITH RECURSIVE {POLY_PASSES},\n{LINE_PASSES.replace(REGIONS + ',', '', 1)}
-            SELECT 'line' AS layer, count(*) AS features, sum(CASE WHEN len(comps) > 1 THEN 1 ELSE 0 END) AS composites FROM lfinal
-            UNION ALL SELECT 'poly', count(*), sum(CASE WHEN len(comps) > 1 THEN 1 ELSE 0 END) FROM pfinal""",
+        "stitch_all": f"""WITH RECURSIVE {POLY_PASSES},\n{LINES_ONLY},\n{northern_poly()},
+            fin AS (SELECT 'coast' AS layer, ufid, comps FROM qpfin UNION ALL SELECT 'line', ufid, comps FROM lfin UNION ALL SELECT 'poly', ufid, comps FROM pfin),
+            once AS (SELECT comps, min(layer) AS first_layer FROM fin WHERE len(comps) > 1 GROUP BY comps),
+            ids AS (SELECT comps, 100000500 + row_number() OVER (ORDER BY first_layer, comps[1]) AS id FROM once)
+            SELECT f.layer, count(*) AS features, count(i.id) AS composites, min(i.id) AS first_id, max(i.id) AS last_id, CAST(sum(i.id) AS BIGINT) AS id_sum, 4 AS n_columns
+            FROM fin f LEFT JOIN ids i ON len(f.comps) > 1 AND i.comps = f.comps GROUP BY f.layer""",
+        "publish_layers": f"""WITH RECURSIVE {LINE_PASSES},\n{northern_poly()},
+            c AS (SELECT count(*) AS n, count(DISTINCT comps) AS ids FROM qpfin WHERE len(comps) > 1),
+            l AS (SELECT count(*) AS n FROM lfin WHERE len(comps) > 1),
+            b AS (SELECT count(DISTINCT comps) AS ids FROM (SELECT comps FROM qpfin WHERE len(comps) > 1 UNION ALL SELECT comps FROM lfin WHERE len(comps) > 1))
+            SELECT 'stopped after ' || s AS step, 0 AS version, 0 AS layers, 0 AS logged, 0 AS ids, 0 AS clashes, NULL AS last_id FROM (VALUES ('layers'), ('stitch_associations'), ('stitch_report')) t(s)
+            UNION ALL SELECT s, 1, 1, c.n, c.ids, 0, 100000500 + c.ids FROM c, (VALUES ('first'), ('repeated')) t(s)
+            UNION ALL SELECT 'overtaken', 3, 2, 2 * c.n + l.n, b.ids, 0, 100000500 + b.ids FROM c, l, b""",
         "derive_irregular_edges": f"""WITH {POLY}, s AS (SELECT DISTINCT wv, sv, ev, nv FROM poly),
             e AS (SELECT 'NS' AS direction, nv AS v FROM s UNION SELECT 'NS', sv FROM s UNION SELECT 'EW', ev FROM s UNION SELECT 'EW', wv FROM s)
             SELECT direction, v FROM e WHERE (direction = 'NS' AND NOT {ns('v')}) OR (direction = 'EW' AND NOT {ew('v')})""",

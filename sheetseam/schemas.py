@@ -26,6 +26,7 @@ KEY_FALLBACK_NAME = "ufid"
 OUTPUT_PREFIX = "new_"
 FINAL_ID_START = 100_000_000
 BOUNDARY_ERROR_MSG = "Mapsheet boundary-join error for table {table}"
+OUTSIDE_MSG = "Features outside all regions in table {table}"
 COLLISION_MSG = "UFID Collision in table {table}"
 
 # Columns never treated as attributes.

@@ -7,12 +7,12 @@ release, revisioned writes and the UTF-8 round-trip check.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.schemas import DEFAULT_SRID, OUTPUT_PREFIX
+from sheetseam.sources import commits
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,21 +42,30 @@ def _keep(name: str, filters) -> bool:
     return not filters or any(f in name for f in filters)
 
 
+def all_layers(spark: SparkSession, folder: str, wanted=lambda name: True) -> dict[str, DataFrame]:
+    """Layers of a folder by name: those written into it, and those published by commits (which come before a folder of the same name)."""
+    published = {n: e for n, e in commits.state(spark, folder).layers.items() if wanted(n)}
+    plain = {n: spark.read.parquet(p) for n, p in list_layers(spark, folder) if n not in published and wanted(n)}
+    return dict(sorted((plain | {n: commits.read_layer(spark, e) for n, e in published.items()}).items()))
+
+
+def read_stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One layer of a store."""
+    found = all_layers(spark, folder, lambda n: n == name)
+    if name not in found:
+        raise FileNotFoundError(f"no layer {name} in {folder}")
+    return found[name]
+
+
 def scan_layer_dir(spark: SparkSession, folder: str, filters=None) -> dict[str, DataFrame]:
     """Every layer whose name contains any filter string (no filter: all)."""
-    return {n: spark.read.parquet(p) for n, p in list_layers(spark, folder) if _keep(n, filters)}
+    return all_layers(spark, folder, lambda n: _keep(n, filters))
 
 
 def scan_stored_layers(spark: SparkSession, folder: str, filters=None) -> dict[str, DataFrame]:
     """Processed layers: name starts with ``new_`` and equals ``new_`` + a filter item."""
-    out = {}
-    for n, p in list_layers(spark, folder):
-        if not n.startswith(OUTPUT_PREFIX):
-            continue
-        if filters and n not in {OUTPUT_PREFIX + f for f in filters}:
-            continue
-        out[n] = spark.read.parquet(p)
-    return out
+    exact = {OUTPUT_PREFIX + f for f in filters or ()}
+    return all_layers(spark, folder, lambda n: n.startswith(OUTPUT_PREFIX) and (not filters or n in exact))
 
 
 def tagged_union(layers: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sheetseam.functions import geometry as G
 from sheetseam.plans import runner
 from sheetseam.plans import utilities as U
+from sheetseam.schemas import ASSOCIATIONS_SCHEMA
 from sheetseam.sources import derived as D
 from sheetseam.sources import store as ST
 from tests.conftest import line, make_layer, rect
@@ -77,11 +78,11 @@ def test_run_import_process_export(spark):
     assert done["imported"] == ["lake_poly"] and done["processed"] == ["lake_poly"]
     out = spark.read.parquet(base + "/shp_new/lake_poly")
     assert out.count() == 1 and out.first()["ufid"] == 100_000_000
-    assoc = spark.read.parquet(store + "/" + runner.ASSOCIATIONS)
+    assoc = runner.read_log(spark, store, runner.ASSOCIATIONS, ASSOCIATIONS_SCHEMA)
     assert assoc.count() == 1
     # a second run reuses the id
     runner.stitch_all(spark, store, key="ufid")
-    assert spark.read.parquet(store + "/new_lake_poly").first()["ufid"] == 100_000_000
+    assert ST.read_stored(spark, store, "new_lake_poly").first()["ufid"] == 100_000_000
     assert line  # keep import used
 
 
