@@ -15,7 +15,7 @@ id that its links reach, and whether it is that document.
 
 The first trees are closed before the others start: a node whose members are one component by then is left.
 A link in the results is always decided on full sets.  A link can be missed if no tree brings its texts together (probability ``1 - TARGET`` at most) or if
-fewer than ``CUT`` of its tokens agree (below 1e-6 at the threshold).
+fewer than ``CUT`` of its tokens agree (below 3e-6 at the threshold).
 
 Rows without words have no shingle and link nothing.  Null ids: the row is kept, with a null component, and links nothing.  Rows with the same id and
 different texts are one node.  Repeated rows are kept.  An empty table gives no rows; other columns are not read.
@@ -40,10 +40,11 @@ from .packed import mixed, returned, word_hashes
 
 WORDS, NEAR, OF = 3, 85, 100
 TOKENS, BRANCH, TARGET = 64, 2.0, 0.99999
-#: Least number of equal tokens of two texts that are compared on their full sets (54 are expected at the threshold).
-CUT = 38
+#: Least number of equal tokens of two texts that are compared on their full sets (54 are expected at the threshold), and most differences among
+#: one bit of each token (5 are expected), which is looked at first.
+CUT, DIFFER = 40, 18
 #: Largest node that is compared as a whole, members that all blocks of a larger one share, and levels of a tree.
-LIMIT, SHARED, DEPTH = 64, 4, 5
+LIMIT, SHARED, DEPTH = 1000, 4, 5
 #: Trees that are closed before the others start, and tasks that a group of copies is spread over.
 FIRST, SALTS = 2, 16
 
@@ -104,13 +105,14 @@ def _embedded(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(b["text"].tolist())
             some = np.array([len(s) > 0 for s in sets], dtype=bool) & b["known"].to_numpy(bool)
             digest = np.full(len(b), None, dtype=object)
-            tokens, sketch = digest.copy(), digest.copy()
+            tokens, sketch, bits = digest.copy(), digest.copy(), np.zeros(len(b), dtype=np.int64)
             for i, t in zip(np.flatnonzero(some), minwise([sets[i] for i in np.flatnonzero(some)]), strict=True):
                 digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 tokens[i], sketch[i] = (t >> np.uint64(32)).astype("<u4").tobytes(), t.astype(np.uint8).tobytes()
-            yield returned(pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n": [len(s) for s in sets], "digest": digest, "tokens": tokens, "sketch": sketch}))
+                bits[i] = ((t >> np.uint64(8) & np.uint64(1)) << np.arange(TOKENS, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)
+            yield returned(pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n": [len(s) for s in sets], "digest": digest, "tokens": tokens, "sketch": sketch, "bits": bits}))
 
-    return docs.mapInPandas(run, "doc_id long, known boolean, n long, digest binary, tokens binary, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, known boolean, n long, digest binary, tokens binary, sketch binary, bits long")
 
 
 def _tokens(column: pd.Series) -> np.ndarray:
@@ -185,30 +187,30 @@ def _whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
         rest = both.iloc[cut:]
 
 
-def _near(unit: np.ndarray, sketch: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near(g: pd.DataFrame, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of a unit, of different components, whose sizes and equal tokens allow a link: positions and equal tokens."""
+    sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, TOKENS)
+    n, comp, bits = (g[c].to_numpy(np.int64) for c in ("n", "comp", "bits"))
     for d in range(1, len(unit)):
-        a = np.flatnonzero(unit[d:] == unit[:-d])
-        if not len(a):
+        same = unit[d:] == unit[:-d]
+        if not same.any():
             return
+        a = np.flatnonzero(same & (np.bitwise_count(bits[d:] ^ bits[:-d]) <= DIFFER))
         b = a + d
         fits = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NEAR * np.maximum(n[a], n[b]))
         a, b = a[fits], b[fits]
-        equal = (sketch[a] == sketch[b]).sum(axis=1)
-        yield a[equal >= CUT], b[equal >= CUT], equal[equal >= CUT]
+        if len(a):
+            equal = (sketch[a] == sketch[b]).sum(axis=1)
+            yield a[equal >= CUT], b[equal >= CUT], equal[equal >= CUT]
 
 
-def _arrays(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, TOKENS), g["n"].to_numpy(np.int64), g["comp"].to_numpy(np.int64)
-
-
-_CLASS = "node long, block int, cls long, rep long, n long, comp long, sketch binary"
+_CLASS = "node long, block int, cls long, rep long, n long, comp long, sketch binary, bits long"
 
 
 def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g, unit in _whole_units(batches):
         hit = np.zeros(len(g), dtype=bool)
-        for a, b, _ in _near(unit, *_arrays(g)):
+        for a, b, _ in _near(g, unit):
             hit[a] = hit[b] = True
         yield g[hit]
 
@@ -222,11 +224,10 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for g, unit in _whole_units(batches):
-        sketch, n, comp = _arrays(g)
-        pairs = list(_near(unit, sketch, n, comp))
-        out, rep = [], g["rep"].to_numpy(np.int64)
+        out, pairs = [], list(_near(g, unit))
         if pairs:
             a, b, equal = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            n, comp, rep = (g[c].to_numpy(np.int64) for c in ("n", "comp", "rep"))
             keys = [np.frombuffer(k, "<u8") for k in g["keys"]]
             for k in np.argsort(-equal, kind="stable"):
                 i, j = int(a[k]), int(b[k])
@@ -241,32 +242,32 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Join:
-    """The state of a join: classes, the full sets asked for so far, and the links found."""
+    """The state of a join: classes with their component so far, the full sets asked for so far, and the links found."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, links: DataFrame) -> None:
         self.docs, self.classes, self.parts = docs, classes, max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        self.sets, self.links, self.labels = [], [links], None
-        if not links.isEmpty():
-            self.labels = connected_components(links)
-
-    def labelled(self) -> DataFrame:
-        """Classes with the component that they belong to so far."""
-        info = self.classes.select("cls", "rep", "n", "sketch")
-        if self.labels is None:
-            return info.withColumn("comp", F.col("rep"))
-        found = self.labels.select(F.col("id").alias("rep"), F.col("comp").alias("found"))
-        return big_join(info, found, "rep", "left").withColumn("comp", F.coalesce("found", "rep")).drop("found")
+        self.sets, self.links, self.labelled = [], [], classes.withColumn("comp", F.col("rep"))
+        self.add(links)
+
+    def add(self, links: DataFrame) -> None:
+        """More links: components anew."""
+        if links.isEmpty():
+            return
+        self.links.append(links)
+        labels = connected_components(_all(self.links)).select(F.col("id").alias("rep"), F.col("comp").alias("found"))
+        both = big_join(self.classes.select("cls", "rep", "n", "sketch", "bits"), labels, "rep", "left")
+        self.labelled = written(both.withColumn("comp", F.coalesce("found", "rep")).drop("found"), "path-labels")
 
     def mixed_nodes(self, members: DataFrame) -> DataFrame:
         """Members of nodes that are not one component already; ``most`` marks the largest component, ``others`` counts the rest."""
-        comps = big_join(members.select("node", "cls", "size"), self.labelled().select("cls", "comp"), "cls")
+        comps = big_join(members.select("node", "cls", "size"), self.labelled.select("cls", "comp"), "cls")
         counts = comps.groupBy("node", "comp").agg(F.count("*").alias("c"))
         top = counts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where(F.col("all") > F.col("top.c"))
         both = big_join(comps, top, "node")
         return both.select("node", "cls", "size", (F.col("comp") == F.col("top.comp")).alias("most"), (F.col("all") - F.col("top.c")).alias("others"))
 
     def full_sets(self, wanted: DataFrame) -> DataFrame:
-        """``cls, keys`` of the classes asked for, from the texts of their first documents."""
+        """``cls, keys`` of the classes asked for (cls, rep), from the texts of their first documents."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -274,54 +275,50 @@ class _Join:
                 digest = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield returned(pd.DataFrame({"doc_id": b["doc_id"], "digest": digest, "keys": sets}))
 
-        for known in self.sets:
-            wanted = wanted.join(known.select("cls").hint("merge"), "cls", "left_anti")
-        wanted = written(wanted, "path-wanted")
-        ids = written(wanted.select(F.col("rep").alias("doc_id")).distinct(), "path-ids")
-        texts = sized_join(self.docs.where("known").select("doc_id", "text"), ids, "doc_id", "left_semi")
-        sets = texts.mapInPandas(run, "doc_id long, digest binary, keys binary").withColumn("cls", F.xxhash64("digest"))
-        sets = big_join(sets, wanted.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"])
-        self.sets.append(written(sets.groupBy("cls", "doc_id").agg(F.min("keys").alias("keys")).drop("doc_id"), "path-sets"))  # repeated rows
-        release(wanted, ids)
-        out = self.sets[0]
-        for more in self.sets[1:]:
-            out = out.unionByName(more)
-        return out
+        if self.sets:
+            wanted = wanted.join(_all([s.select("cls") for s in self.sets]).hint("merge"), "cls", "left_anti")
+        wanted = written(wanted.distinct(), "path-wanted")
+        if not wanted.isEmpty():
+            texts = sized_join(self.docs.where("known").select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+            sets = texts.mapInPandas(run, "doc_id long, digest binary, keys binary").withColumn("cls", F.xxhash64("digest"))
+            sets = big_join(sets, wanted.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"])
+            self.sets.append(written(sets.groupBy("cls", "doc_id").agg(F.min("keys").alias("keys")).drop("doc_id"), "path-sets"))  # repeated rows
+        release(wanted)
+        return _all(self.sets)
 
     def compare(self, units: DataFrame) -> None:
         """Find the links inside units and close the components."""
         together = lambda df: df.repartition(self.parts, "node", "block").sortWithinPartitions("node", "block")
-        info = big_join(units, self.labelled(), "cls").select(*(c.split()[0] for c in _CLASS.split(", ")))
+        info = big_join(units, self.labelled, "cls").select(*(c.split()[0] for c in _CLASS.split(", ")))
         flagged = written(together(info).mapInPandas(_possible, _CLASS), "path-possible")
-        if flagged.isEmpty():
-            return
-        sets = self.full_sets(flagged.select("cls", "rep").distinct())
-        links = written(together(big_join(flagged, sets, "cls")).mapInPandas(_linked, "merge_id long, drop_id long"), "path-links")
+        if not flagged.isEmpty():
+            sets = self.full_sets(flagged.select("cls", "rep"))
+            self.add(written(together(big_join(flagged, sets, "cls")).mapInPandas(_linked, "merge_id long, drop_id long"), "path-links"))
         release(flagged)
-        if not links.isEmpty():
-            self.links.append(links)
-            every = self.links[0]
-            for more in self.links[1:]:
-                every = every.unionByName(more)
-            self.labels = written(connected_components(every), "path-labels")
 
     def grow(self, members: DataFrame) -> None:
         """All levels of some trees, from the members of their first nodes."""
-        for _ in range(DEPTH):
+        if self.links:
             members = written(self.mixed_nodes(members), "path-nodes")
-            self.compare(_units(members))
+        units = _units(members)
+        for _ in range(DEPTH):
+            self.compare(units)
             large = members.where(F.col("size") > LIMIT)
             if large.isEmpty():
                 return
             large = written(self.mixed_nodes(large), "path-large")
-            few = large.where(F.col("others") <= LIMIT)
-            if not few.isEmpty():
-                self.compare(_against_most(few))
-            large = large.where(F.col("others") > LIMIT)
             if large.isEmpty():
                 return
-            members = _several(written(_next_level(large, self.classes), "path-members"))
-        self.compare(_cells(self.mixed_nodes(members)))
+            members = written(_several(written(_next_level(large.where(F.col("others") > LIMIT), self.classes), "path-members")), "path-nodes")
+            units = _units(members).unionByName(_against_most(large.where(F.col("others") <= LIMIT)))
+        self.compare(_cells(members).unionByName(_against_most(large.where(F.col("others") <= LIMIT))))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,7 +327,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("known"), F.col(f"`{text}`").alias("text"))
     rows = written(_embedded(docs), "path-rows")
     some = rows.where("digest IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"), F.min("bits").alias("bits"))
     classes = written(classes.withColumn("cls", F.xxhash64("digest")), "path-classes")
     # an id with several texts joins their classes
     ids = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
@@ -342,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     join.grow(trees.where(F.col("tree") >= FIRST).drop("tree"))
     release(trees)
 
-    comps = big_join(classes.select("digest", "copies", "rep", "cls"), join.labelled().select("cls", "comp"), "cls")
+    comps = big_join(classes.select("digest", "copies", "rep", "cls"), join.labelled.select("cls", "comp"), "cls")
     more = comps.where("copies > 1 OR comp != rep").select("digest", "comp", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt"))
     salted = rows.select("doc_id", "known", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = big_join(salted, more, ["digest", "salt"], "left").withColumn("comp", F.coalesce("comp", "doc_id"))
