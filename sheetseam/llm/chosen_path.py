@@ -190,7 +190,8 @@ def _whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
 def _near(g: pd.DataFrame, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of a unit, of different components, whose sizes and equal tokens allow a link: positions and equal tokens."""
     sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, TOKENS)
-    n, comp, bits = (g[c].to_numpy(np.int64) for c in ("n", "comp", "bits"))
+    n, comp = (g[c].to_numpy(np.int64) for c in ("n", "comp"))
+    bits = g["bits"].to_numpy(np.int64).view(np.uint64)  # the count of a negative number would be that of its absolute value
     for d in range(1, len(unit)):
         same = unit[d:] == unit[:-d]
         if not same.any():
