@@ -375,13 +375,14 @@ def q_dissolve_polygons(spark, sf_dir):
     )
 
 
+def _line_facts():
+    return [F.col("geom.gtype").alias("gtype"), G.num_parts().alias("n_parts"), G.num_points().alias("n_vertices"), _long(G.length()).alias("length")]
+
+
 def q_merge_lines(spark, sf_dir):
+    """Accepted groups and the pieces of those with a junction."""
     g = M.merge_lines(_ns_members(spark, sf_dir, "line"))
-    acc = ~F.col("geom.gtype").isin("MULTILINESTRING")
-    return g.select(
-        "comp", acc.alias("accepted"), F.col("geom.gtype").alias("gtype"),
-        F.when(acc, G.num_points()).alias("n_vertices"), F.when(acc, _long(G.length())).alias("length"),
-    )
+    return g.select("comp", (F.col("geom.gtype") != "MULTILINESTRING").alias("accepted"), *_line_facts())
 
 
 def q_layer_extent(spark, sf_dir):
@@ -640,15 +641,14 @@ def q_geometry_changed(spark, sf_dir):
 
 
 def q_loop_removal(spark, sf_dir):
-    st = _stitched(spark, sf_dir, "line")
-    g = U.remove_loops(st.layer)
-    return g.select("ufid", F.col("geom.gtype").alias("gtype"), G.num_parts().alias("n_parts"))
+    """Multi-lines with loops of one path, of several, on each other and alone."""
+    layer = D.looped_lines(D.read_table(spark, sf_dir, "orders"))
+    return U.remove_loops(layer, "ufid").select("ufid", *_line_facts())
 
 
 def q_triple_point_bypass(spark, sf_dir):
-    st = _stitched(spark, sf_dir, "line")
-    g = U.triple_point_bypass(st.layer)
-    return g.select("ufid", G.num_points().alias("n_points"))
+    layer = D.triple_point_lines(D.read_table(spark, sf_dir, "orders"))
+    return U.triple_point_bypass(layer, "ufid").select("ufid", *_line_facts())
 
 
 def q_import_process_export(spark, sf_dir):

@@ -15,47 +15,6 @@ from sheetseam.operators import overlay
 RING_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
 #: Type of a union whose boundary does not close; its members go back unmerged.
 NOT_CLOSED = "NOT CLOSED"
-PATH_SCHEMA = "comp long, gtype string, coords array<array<array<array<double>>>>"
-
-
-def chain_paths(paths: list[list[tuple]]) -> list[list[tuple]]:
-    """Sew paths at end points shared by exactly two path ends (line merge)."""
-    ends: dict = {}
-    for i, p in enumerate(paths):
-        ends.setdefault(p[0], []).append(i)
-        ends.setdefault(p[-1], []).append(i)
-    used = [False] * len(paths)
-    out = []
-
-    def extend(seq, at):
-        while True:
-            here = ends.get(at, [])
-            nxt = next((i for i in here if not used[i]), None) if len(here) == 2 else None
-            if nxt is None:
-                return seq
-            used[nxt] = True
-            p = paths[nxt] if paths[nxt][0] == at else paths[nxt][::-1]
-            seq.extend(p[1:])
-            at = seq[-1]
-
-    # open chains first, starting at their smaller free end
-    starts = sorted(
-        [(pt, i) for pt, ids in ends.items() if len(ids) != 2 for i in ids],
-    )
-    for pt, i in starts:
-        if used[i]:
-            continue
-        used[i] = True
-        p = paths[i] if paths[i][0] == pt else paths[i][::-1]
-        out.append(extend(list(p), p[-1]))
-    # what is left are closed loops
-    for i in range(len(paths)):
-        if used[i]:
-            continue
-        used[i] = True
-        p = list(paths[i])
-        out.append(extend(p, p[-1]))
-    return out
 
 
 def _grouped_batches(batches, key: str = "comp"):
@@ -104,14 +63,3 @@ def unions_from_batches(batches):
                 yield comp, "POLYGON" if len(polys) == 1 else "MULTIPOLYGON", [[[[x, y] for x, y in ring] for ring in poly] for poly in polys]
 
     return _rows(one())
-
-
-def lines_from_path_batches(batches):
-    """``mapInPandas`` body: rows ``(comp, path)`` sorted by comp -> merged line(s) per comp."""
-
-    def one():
-        for comp, g in _grouped_batches(batches):
-            merged = chain_paths([[(float(c[0]), float(c[1])) for c in path] for path in g["path"]])
-            yield comp, "LINESTRING" if len(merged) == 1 else "MULTILINESTRING", [[[[x, y] for x, y in m]] for m in merged]
-
-    return _rows(one())

@@ -3,8 +3,7 @@
 ``dissolve`` (polygon union) sends the rings of each group's members to one task, where
 :mod:`sheetseam.operators.overlay` builds the union; a union that does not close is rejected like a multi-part one.
 
-``linemerge`` counts path ends per point in Spark; a group with a point of
-degree > 2 cannot become one LINESTRING and is rejected without assembling.
+``linemerge`` sews paths by joins (:mod:`sheetseam.operators.lines`); a group with a junction stays in several pieces and is rejected.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from sheetseam.functions import geometry as G
 from sheetseam.operators import assemble
 from sheetseam.operators.components import connected_components
-from sheetseam.schemas import BOUNDARY_ERROR_MSG, GEOM_DDL, GROUP, MULTI_TYPES, REGIONS
+from sheetseam.operators.lines import merge_lines
+from sheetseam.schemas import BOUNDARY_ERROR_MSG, GROUP, MULTI_TYPES, REGIONS
 from sheetseam.session import big_join, materialize, ship_package
 
 OPS = ("collect", "union", "linemerge")
@@ -61,30 +61,6 @@ def dissolve_polygons(members: DataFrame) -> DataFrame:
     return out.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
 
 
-def line_degrees(members: DataFrame) -> DataFrame:
-    """``(comp, max_degree, n_paths)`` over path ends of the (snapped) member lines."""
-    paths = members.select("comp", F.explode(F.flatten(G.snap("geom")["parts"])).alias("p"))
-    ends = paths.select("comp", F.explode(F.array(F.element_at("p", 1), F.element_at("p", -1))).alias("pt"))
-    deg = ends.groupBy("comp", "pt").count()
-    return deg.groupBy("comp").agg(F.max("count").alias("max_degree"))
-
-
-def merge_lines(members: DataFrame) -> DataFrame:
-    """``(comp, geom)``: line merge of each group.  Groups with a junction (degree > 2) come
-    back as MULTILINESTRING without assembly -- they are rejected downstream anyway."""
-    deg = line_degrees(members)
-    ok = deg.filter(F.col("max_degree") <= 2).select("comp")
-    bad = deg.filter(F.col("max_degree") > 2).select("comp")
-    paths = big_join(members, ok, "comp").select(
-        "comp", F.explode(F.flatten(G.snap("geom")["parts"])).alias("p")
-    ).select("comp", F.transform("p", lambda c: F.array(c["x"], c["y"])).alias("path"))
-    merged = _by_group(paths).mapInPandas(assemble.lines_from_path_batches, assemble.PATH_SCHEMA)
-    merged = merged.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
-    # rejected: no assembly needed, the members go back unmerged
-    rejected = bad.select("comp", F.struct(F.lit("MULTILINESTRING").alias("gtype"), F.lit(None).cast(GEOM_DDL)["parts"].alias("parts")).alias("geom"))
-    return merged.unionByName(rejected)
-
-
 def collect_geometry(members: DataFrame) -> DataFrame:
     """``(comp, geom)``: ``st_collect`` -- members side by side in one multi-geometry, no dissolve."""
     g = members.select("comp", G.snap("geom").alias("g"))

@@ -236,6 +236,16 @@ def _comps_txt(c: str = "comps") -> str:
     return f"array_to_string({c}, ',')"
 
 
+# loops go, what they hung at is sewn: the piece of two units; the loop that is all there is; the piece of one unit; the fork
+LOOP_SQL = """SELECT o_orderkey AS ufid, CASE WHEN o_orderkey % 6 = 5 THEN 'MULTILINESTRING' ELSE 'LINESTRING' END AS gtype,
+  CASE WHEN o_orderkey % 6 = 5 THEN 3 ELSE 1 END AS n_parts, CASE o_orderkey % 6 WHEN 3 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 6 ELSE 3 END AS n_vertices,
+  CAST(round(10 * (o_orderkey % 7 + 1) * CASE o_orderkey % 6 WHEN 3 THEN 3 + 3 + sqrt(18) WHEN 4 THEN 1 WHEN 5 THEN 5 ELSE 2 END) AS BIGINT) AS length FROM orders"""
+# without the first vertex: a path past the point and one through it; the path vanishes; nothing to do; four are not three
+TRIPLE_SQL = """SELECT o_orderkey AS ufid, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 'MULTILINESTRING' ELSE 'LINESTRING' END AS gtype,
+  CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 3 THEN 4 ELSE 1 END AS n_parts, CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 3 THEN 8 ELSE 3 END AS n_vertices,
+  CAST(round(10 * (o_orderkey % 7 + 1) * CASE o_orderkey % 4 WHEN 0 THEN 2 * sqrt(32) WHEN 3 THEN 4 * sqrt(8) ELSE 2 * sqrt(8) END) AS BIGINT) AS length FROM orders"""
+
+
 SQL: dict[str, str] = {
     "scan_layer_dir": "SELECT 'lineitem' AS layer, count(*) AS features FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders",
     "layer_inventory": with_both(
@@ -332,10 +342,11 @@ SQL.update(
                min(p.wv) AS xmin, min(p.sv) AS ymin, max(p.ev) AS xmax, max(p.nv) AS ymax FROM pm1 m JOIN poly p ON p.ufid = m.id GROUP BY m.comp"""
         ),
         "merge_lines": with_line(
-            """SELECT m.comp, d.maxdeg <= 2 AS accepted, CASE WHEN d.maxdeg <= 2 THEN 'LINESTRING' ELSE 'MULTILINESTRING' END AS gtype,
-               CASE WHEN d.maxdeg <= 2 THEN sum(l.npts) - count(*) + 1 END AS n_vertices,
-               CASE WHEN d.maxdeg <= 2 THEN CAST(round(sum(l.len)) AS BIGINT) END AS length
-               FROM lm1 m JOIN lr l ON l.ufid = m.id JOIN ldeg1 d ON d.comp = m.comp GROUP BY m.comp, d.maxdeg"""
+            f"""SELECT m.comp, d.maxdeg <= 2 AS accepted, CASE WHEN d.maxdeg <= 2 THEN 'LINESTRING' ELSE 'MULTILINESTRING' END AS gtype,
+               count(*) - coalesce(max(s.sewn), 0) AS n_parts, sum(l.npts) - coalesce(max(s.sewn), 0) AS n_vertices, CAST(round(sum(l.len)) AS BIGINT) AS length
+               FROM lm1 m JOIN lr l ON l.ufid = m.id JOIN ldeg1 d ON d.comp = m.comp
+               LEFT JOIN (SELECT comp, count(*) AS sewn FROM (SELECT comp, x, y FROM ({_ends('lr', 'lm1')}) GROUP BY comp, x, y HAVING count(*) = 2) GROUP BY comp) s ON s.comp = m.comp
+               GROUP BY m.comp, d.maxdeg"""
         ),
         "layer_extent": with_both("SELECT layer, min(wv) AS xmin, min(sv) AS ymin, max(ev) AS xmax, max(nv) AS ymax FROM feat GROUP BY layer"),
         "assemble_components": with_poly(f"SELECT comps[1] AS comp, {_comps_txt()} AS components FROM pfin WHERE len(comps) > 1"),
@@ -415,7 +426,7 @@ SQL.update(
                  SELECT CASE WHEN ufid IN (SELECT comp FROM pm1) THEN 'changed' WHEN ufid IN (SELECT id FROM pm1) THEN 'removed' ELSE 'unchanged' END AS status
                  FROM poly) GROUP BY status"""
         ),
-        "loop_removal": with_line("SELECT fid AS ufid, 'LINESTRING' AS gtype, 1 AS n_parts FROM lfinal"),
-        "triple_point_bypass": with_line("SELECT fid AS ufid, CAST(npts AS INTEGER) AS n_points FROM lfinal"),
+        "loop_removal": LOOP_SQL,
+        "triple_point_bypass": TRIPLE_SQL,
     }
 )

@@ -9,7 +9,7 @@ the keys 2k (line) and 2k + 1 (fork).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
@@ -118,6 +118,44 @@ def overlapping_members(orders: DataFrame) -> DataFrame:
     )
 
 
+def _multi(*paths) -> Column:
+    return F.struct(F.lit("MULTILINESTRING").alias("gtype"), F.array(*(F.array(F.array(*p)) for p in paths)).alias("parts"))
+
+
+def _corner(x: int, y: int) -> Column:
+    """A point of the key's own square, whose unit depends on the key."""
+    k = F.col("o_orderkey").cast("long")
+    unit = 10 * (k % 7 + 1)
+    return G.point(F.lit(X0) + x * unit, F.lit(Y0) + 100 * (k % 1000) + y * unit)
+
+
+def looped_lines(orders: DataFrame) -> DataFrame:
+    """``ufid, geom``: multi-lines with and without loops, by the key's remainder: two pieces; with a closed path; with a loop of three paths; only a loop
+    of two paths; a loop of two paths with a closed path on it, at the end of a piece; a fork."""
+    a, b, c, p, q, r = _corner(0, 0), _corner(1, 0), _corner(2, 0), _corner(1, 3), _corner(4, 3), _corner(6, 5)
+    kinds = [
+        _multi((a, b), (c, b)),
+        _multi((a, b), (b, p, q, b), (b, c)),
+        _multi((a, b), (b, p), (q, p), (q, b), (b, c)),
+        _multi((p, q), (p, b, q)),
+        _multi((a, b), (b, p), (p, q, r, p), (p, c, b)),
+        _multi((a, b), (b, c), (p, b)),
+    ]
+    return _by_remainder(orders, kinds)
+
+
+def triple_point_lines(orders: DataFrame) -> DataFrame:
+    """``ufid, geom``: multi-lines that meet at a point three times (inside a path and at two ends; at three ends), twice, and four times."""
+    t, a, b, c, d = _corner(2, 2), _corner(0, 0), _corner(4, 4), _corner(0, 4), _corner(4, 0)
+    kinds = [_multi((a, t, b), (c, t), (t, d)), _multi((a, t), (t, b), (t, c)), _multi((a, t), (t, b)), _multi((a, t), (b, t), (c, t), (d, t))]
+    return _by_remainder(orders, kinds)
+
+
+def _by_remainder(orders: DataFrame, kinds: list[Column]) -> DataFrame:
+    k = F.col("o_orderkey").cast("long")
+    return orders.select(k.alias("ufid"), F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int")).alias("geom"))
+
+
 def load_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poly_layer(read_table(spark, sf_dir, "orders"))
 

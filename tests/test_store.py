@@ -65,7 +65,7 @@ def test_utilities(spark):
         [(1, ("MULTILINESTRING", [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 0.0}]], [[{"x": 5.0, "y": 5.0}, {"x": 6.0, "y": 6.0}]]]))],
         "ufid long, geom struct<gtype:string,parts:array<array<array<struct<x:double,y:double>>>>>",
     )
-    assert U.remove_loops(ml).first()["geom"]["gtype"] == "LINESTRING"
+    assert U.remove_loops(ml, "ufid").first()["geom"]["gtype"] == "LINESTRING"
 
 
 def test_run_import_process_export(spark):
