@@ -8,14 +8,16 @@ id that its links reach, and whether it is that document.
 2. *Chosen paths.*  At each node of a tree a class picks every token with probability ``BRANCH / (0.85 * TOKENS)``, by a hash of node and token, and goes to
    the child node of each picked token.  Linked texts share two picked tokens in expectation, so a path survives to any depth with
    probability 0.797, and ``TREES`` independent trees reach ``TARGET`` recall even for a link at the threshold that sits in deep nodes.
-3. *Small nodes* are compared exhaustively: every pair of different components whose equal tokens allow a link is decided on the full sets.
+3. *Small nodes* are compared exhaustively: every pair of different components that sizes, one bit of each token and a parity sketch of the sets
+   (which never rules out a link) allow is decided on the full sets.
 4. *Large nodes* are first cut into blocks that share a few members, which joins groups of near copies.  If few members are then outside the largest
    component, they are compared with all of it, block by block; else the node branches on.  What is still large at ``DEPTH`` is compared
    block against block, so no group is met in one task or left out.
 
-The first trees are closed before the others start: a node whose members are one component by then is left.
+The first trees are compared before the others start: a node whose members are known to be one component by then is left.  Until the end components
+are known in part only (every task names the smallest member that it linked); that costs comparisons, not links.
 A link in the results is always decided on full sets.  A link can be missed if no tree brings its texts together (probability ``1 - TARGET`` at most) or if
-fewer than ``CUT`` of its tokens agree (below 3e-6 at the threshold).
+more than ``DIFFER`` bits of its tokens differ (below 2e-7 at the threshold).
 
 Rows without words have no shingle and link nothing.  Null ids: the row is kept, with a null component, and links nothing.  Rows with the same id and
 different texts are one node.  Repeated rows are kept.  An empty table gives no rows; other columns are not read.
@@ -40,9 +42,10 @@ from .packed import mixed, returned, word_hashes
 
 WORDS, NEAR, OF = 3, 85, 100
 TOKENS, BRANCH, TARGET = 64, 2.0, 0.99999
-#: Least number of equal tokens of two texts that are compared on their full sets (54 are expected at the threshold), and most differences among
-#: one bit of each token (5 are expected), which is looked at first.
-CUT, DIFFER = 40, 18
+#: Most differences among one bit of each token of two texts that are looked at further (5 are expected at the threshold).
+DIFFER = 18
+#: Bits of the parity sketch: bit b is the parity of the shingles that hash to b, so that two sketches differ in no more bits than their sets do.
+PARITY = 1024
 #: Largest node that is compared as a whole, members that all blocks of a larger one share, and levels of a tree.
 LIMIT, SHARED, DEPTH = 1000, 4, 5
 #: Trees that are closed before the others start, and tasks that a group of copies is spread over.
@@ -105,14 +108,15 @@ def _embedded(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(b["text"].tolist())
             some = np.array([len(s) > 0 for s in sets], dtype=bool) & b["known"].to_numpy(bool)
             digest = np.full(len(b), None, dtype=object)
-            tokens, sketch, bits = digest.copy(), digest.copy(), np.zeros(len(b), dtype=np.int64)
+            tokens, parity, bits = digest.copy(), digest.copy(), np.zeros(len(b), dtype=np.int64)
             for i, t in zip(np.flatnonzero(some), minwise([sets[i] for i in np.flatnonzero(some)]), strict=True):
                 digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                tokens[i], sketch[i] = (t >> np.uint64(32)).astype("<u4").tobytes(), t.astype(np.uint8).tobytes()
-                bits[i] = ((t >> np.uint64(8) & np.uint64(1)) << np.arange(TOKENS, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)
-            yield returned(pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n": [len(s) for s in sets], "digest": digest, "tokens": tokens, "sketch": sketch, "bits": bits}))
+                tokens[i] = (t >> np.uint64(32)).astype("<u4").tobytes()
+                parity[i] = np.packbits(np.bincount((sets[i] % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+                bits[i] = ((t & np.uint64(1)) << np.arange(TOKENS, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)
+            yield returned(pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n": [len(s) for s in sets], "digest": digest, "tokens": tokens, "parity": parity, "bits": bits}))
 
-    return docs.mapInPandas(run, "doc_id long, known boolean, n long, digest binary, tokens binary, sketch binary, bits long")
+    return docs.mapInPandas(run, "doc_id long, known boolean, n long, digest binary, tokens binary, parity binary, bits long")
 
 
 def _tokens(column: pd.Series) -> np.ndarray:
@@ -188,8 +192,8 @@ def _whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame
 
 
 def _near(g: pd.DataFrame, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a unit, of different components, whose sizes and equal tokens allow a link: positions and equal tokens."""
-    sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, TOKENS)
+    """Pairs of a unit, of different components, that may be links: positions, and a measure that is small for like sets."""
+    parity = np.frombuffer(b"".join(g["parity"]), np.uint64).reshape(len(g), -1)
     n, comp = (g[c].to_numpy(np.int64) for c in ("n", "comp"))
     bits = g["bits"].to_numpy(np.int64).view(np.uint64)  # the count of a negative number would be that of its absolute value
     for d in range(1, len(unit)):
@@ -201,11 +205,12 @@ def _near(g: pd.DataFrame, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         fits = (comp[a] != comp[b]) & (OF * np.minimum(n[a], n[b]) >= NEAR * np.maximum(n[a], n[b]))
         a, b = a[fits], b[fits]
         if len(a):
-            equal = (sketch[a] == sketch[b]).sum(axis=1)
-            yield a[equal >= CUT], b[equal >= CUT], equal[equal >= CUT]
+            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            fits = (OF + NEAR) * differ <= (OF - NEAR) * (n[a] + n[b])
+            yield a[fits], b[fits], differ[fits] / (n[a] + n[b])[fits]
 
 
-_CLASS = "node long, block int, cls long, rep long, n long, comp long, sketch binary, bits long"
+_CLASS = "node long, block int, cls long, rep long, n long, comp long, parity binary, bits long"
 
 
 def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,21 +230,21 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for g, unit in _whole_units(batches):
-        out, pairs = [], list(_near(g, unit))
+        pairs = list(_near(g, unit))
         if pairs:
-            a, b, equal = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            n, comp, rep = (g[c].to_numpy(np.int64) for c in ("n", "comp", "rep"))
+            a, b, apart = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            n, comp = (g[c].to_numpy(np.int64) for c in ("n", "comp"))
             keys = [np.frombuffer(k, "<u8") for k in g["keys"]]
-            for k in np.argsort(-equal, kind="stable"):
+            for k in np.argsort(apart, kind="stable"):
                 i, j = int(a[k]), int(b[k])
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x == y:
                     continue
                 both = len(np.intersect1d(keys[i], keys[j], assume_unique=True))
                 if OF * both >= NEAR * (n[i] + n[j] - both):
-                    parent[x] = y
-                    out.append((rep[i], rep[j]))
-        yield returned(pd.DataFrame(out, columns=["merge_id", "drop_id"], dtype=np.int64))
+                    parent[max(x, y)] = min(x, y)
+    out = [(find(x), x) for x in list(parent) if find(x) != x]
+    yield returned(pd.DataFrame(out, columns=["merge_id", "drop_id"], dtype=np.int64))
 
 
 class _Join:
@@ -247,17 +252,21 @@ class _Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, links: DataFrame) -> None:
         self.docs, self.classes, self.parts = docs, classes, max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        self.sets, self.links, self.labelled = [], [], classes.withColumn("comp", F.col("rep"))
-        self.add(links)
+        self.sets, self.links, self.labelled = [], [links], classes.withColumn("comp", F.col("rep"))
 
     def add(self, links: DataFrame) -> None:
-        """More links: components anew."""
-        if links.isEmpty():
-            return
+        """More links between components: each goes to the smallest one that a task linked it to, and on to where that one went."""
         self.links.append(links)
+        to = links.groupBy(F.col("drop_id").alias("comp")).agg(F.min("merge_id").alias("to"))
+        ahead = to.select(F.col("comp").alias("to"), F.col("to").alias("further"))
+        to = big_join(to, ahead, "to", "left").select("comp", F.coalesce("further", "to").alias("to"))
+        info = self.labelled.select("cls", "rep", "n", "parity", "bits", "comp")
+        self.labelled = written(big_join(info, to, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to"), "path-labels")
+
+    def components(self) -> DataFrame:
+        """``cls, comp``: the classes with the smallest id of their whole component."""
         labels = connected_components(_all(self.links)).select(F.col("id").alias("rep"), F.col("comp").alias("found"))
-        both = big_join(self.classes.select("cls", "rep", "n", "sketch", "bits"), labels, "rep", "left")
-        self.labelled = written(both.withColumn("comp", F.coalesce("found", "rep")).drop("found"), "path-labels")
+        return big_join(self.classes.select("cls", "rep"), labels, "rep", "left").select("cls", F.coalesce("found", "rep").alias("comp"))
 
     def mixed_nodes(self, members: DataFrame) -> DataFrame:
         """Members of nodes that are not one component already; ``most`` marks the largest component, ``others`` counts the rest."""
@@ -294,12 +303,14 @@ class _Join:
         flagged = written(together(info).mapInPandas(_possible, _CLASS), "path-possible")
         if not flagged.isEmpty():
             sets = self.full_sets(flagged.select("cls", "rep"))
-            self.add(written(together(big_join(flagged, sets, "cls")).mapInPandas(_linked, "merge_id long, drop_id long"), "path-links"))
+            links = written(together(big_join(flagged, sets, "cls")).mapInPandas(_linked, "merge_id long, drop_id long"), "path-links")
+            if not links.isEmpty():
+                self.add(links)
         release(flagged)
 
     def grow(self, members: DataFrame) -> None:
         """All levels of some trees, from the members of their first nodes."""
-        if self.links:
+        if len(self.links) > 1:
             members = written(self.mixed_nodes(members), "path-nodes")
         units = _units(members)
         for _ in range(DEPTH):
@@ -328,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.coalesce(named, F.lit(0)).alias("doc_id"), named.isNotNull().alias("known"), F.col(f"`{text}`").alias("text"))
     rows = written(_embedded(docs), "path-rows")
     some = rows.where("digest IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"), F.min("bits").alias("bits"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"), F.min("parity").alias("parity"), F.min("bits").alias("bits"))
     classes = written(classes.withColumn("cls", F.xxhash64("digest")), "path-classes")
     # an id with several texts joins their classes
     ids = some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
@@ -340,7 +351,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     join.grow(trees.where(F.col("tree") >= FIRST).drop("tree"))
     release(trees)
 
-    comps = big_join(classes.select("digest", "copies", "rep", "cls"), join.labelled.select("cls", "comp"), "cls")
+    comps = big_join(classes.select("digest", "copies", "rep", "cls"), join.components(), "cls")
     more = comps.where("copies > 1 OR comp != rep").select("digest", "comp", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt"))
     salted = rows.select("doc_id", "known", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = big_join(salted, more, ["digest", "salt"], "left").withColumn("comp", F.coalesce("comp", "doc_id"))
