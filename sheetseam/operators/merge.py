@@ -1,7 +1,6 @@
 """One merge pass: groups -> merged features, unmerged features, fallback originals.
 
-``dissolve`` (polygon union) sends the rings of each group's members to one task, where
-:mod:`sheetseam.operators.overlay` builds the union; a union that does not close is rejected like a multi-part one.
+``union`` dissolves polygons by joins (:mod:`sheetseam.operators.dissolve`); a union that does not close is rejected like a multi-part one.
 
 ``linemerge`` sews paths by joins (:mod:`sheetseam.operators.lines`); a group with a junction stays in several pieces and is rejected.
 """
@@ -10,15 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
-from sheetseam.operators import assemble
 from sheetseam.operators.components import connected_components
+from sheetseam.operators.dissolve import NOT_CLOSED, dissolve_polygons
 from sheetseam.operators.lines import merge_lines
 from sheetseam.schemas import BOUNDARY_ERROR_MSG, GROUP, MULTI_TYPES, REGIONS
-from sheetseam.session import big_join, materialize, ship_package
+from sheetseam.session import big_join, materialize
 
 OPS = ("collect", "union", "linemerge")
 
@@ -32,35 +31,6 @@ class MergeResult:
     written: tuple = ()  # tables that layer, report and groups read; release them when those are done
 
 
-def _coords_to_geom(gtype: Column, coords: Column) -> Column:
-    parts = F.transform(
-        coords,
-        lambda part: F.transform(
-            part, lambda path: F.transform(path, lambda c: F.struct(F.element_at(c, 1).alias("x"), F.element_at(c, 2).alias("y")))
-        ),
-    )
-    return F.struct(gtype.alias("gtype"), parts.alias("parts"))
-
-
-def _by_group(df: DataFrame) -> DataFrame:
-    """Co-locate each group's rows and sort them, so one Python call handles many groups
-    per Arrow batch (instead of one call per group)."""
-    ship_package(df.sparkSession)  # the grouped pandas step imports this package on executors
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "comp").sortWithinPartitions("comp")
-
-
-def dissolve_polygons(members: DataFrame) -> DataFrame:
-    """``(comp, geom)``: union of each group's polygons (POLYGON, MULTIPOLYGON if it falls apart, or
-    ``NOT CLOSED`` without parts if its boundary cannot be closed)."""
-    rings = F.transform(
-        F.col("g.parts"), lambda part: F.transform(part, lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
-    )
-    rows = members.select("comp", G.snap("geom").alias("g")).select("comp", rings.alias("rings"))
-    out = _by_group(rows).mapInPandas(assemble.unions_from_batches, assemble.RING_SCHEMA)
-    return out.select("comp", _coords_to_geom(F.col("gtype"), F.col("coords")).alias("geom"))
-
-
 def collect_geometry(members: DataFrame) -> DataFrame:
     """``(comp, geom)``: ``st_collect`` -- members side by side in one multi-geometry, no dissolve."""
     g = members.select("comp", G.snap("geom").alias("g"))
@@ -99,7 +69,7 @@ def merge_pass(
         geoms = merge_lines(shapes)
     else:
         geoms = collect_geometry(shapes)
-    rejected_types = (*MULTI_TYPES, assemble.NOT_CLOSED)
+    rejected_types = (*MULTI_TYPES, NOT_CLOSED)
     merged = materialize(geoms.withColumn("accepted", ~F.col("geom.gtype").isin(*rejected_types)), "merged")
     groups = merged.select("comp", "accepted", F.col("geom.gtype").alias("gtype"))
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sheetseam.functions import geometry as G
 from sheetseam.operators import components as K
 from sheetseam.operators import ids as I
 from sheetseam.operators import inspect as X
@@ -126,34 +127,73 @@ def test_features_that_hold_or_cross_regions(spark):
     assert {(r["id"], r["region"]) for r in cells.collect()} == want
 
 
-def test_union_of_repeated_overlapping_and_sloped_members(spark):
-    from sheetseam.operators import overlay as O
+def _unions(spark, groups):
+    """Unions of groups of polygons (lists of rings as points): ``comp -> geom``."""
+    from sheetseam.operators.dissolve import dissolve_polygons
+
+    shape = lambda rings: ("POLYGON", [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]])
+    rows = [(comp, shape(rings)) for comp, members in groups.items() for rings in members]
+    df = spark.createDataFrame(rows, "comp long, geom struct<gtype:string,parts:array<array<array<struct<x:double,y:double>>>>>")
+    return {r.comp: r for r in dissolve_polygons(df).select("comp", "geom", G.area().alias("area")).collect()}
 
-    import numpy as np
 
-    def area(polys):
-        return sum(abs(O.signed_area(p[0])) - sum(abs(O.signed_area(h)) for h in p[1:]) for p in polys)
+def test_union_of_repeated_overlapping_and_sloped_members(spark):
+    import numpy as np
 
-    box = lambda *b: [[np.array(_box(*b), float)]]
+    box = lambda *b: [_box(*b)]
     a, b = box(0, 0, 24000, 36000), box(0, 36000, 24000, 72000)
-    assert area(O.union([a, a, b])) == 1_728_000_000
-    assert area(O.union([a, box(6000, 0, 30000, 36000), b])) == 1_944_000_000
-    sloped = [[np.array([(0, 0), (24000, 100), (24000, 36000), (0, 36000), (0, 0)], float)]]
-    left = [[np.array([(0, -1000), (12000, -1000), (12000, 50), (0, 0), (0, -1000)], float)]]
-    right = [[np.array([(12000, -1000), (24000, -1000), (24000, 100), (12000, 50), (12000, -1000)], float)]]
-    got = O.union([sloped, left, right])
-    assert len(got) == 1 and len(got[0]) == 1 and len(got[0][0]) == 8 and area(got) == 888_000_000
+    sloped = [[(0, 0), (24000, 100), (24000, 36000), (0, 36000), (0, 0)]]
+    left = [[(0, -1000), (12000, -1000), (12000, 50), (0, 0), (0, -1000)]]
+    right = [[(12000, -1000), (24000, -1000), (24000, 100), (12000, 50), (12000, -1000)]]
+    groups = {-1: [a, a, b], -2: [a, box(6000, 0, 30000, 36000), b], -3: [sloped, left, right]}
+    want = {-1: 1_728_000_000, -2: 1_944_000_000, -3: 888_000_000}
     rnd = random.Random(1)
-    for _ in range(150):
+    for k in range(150):
         boxes = []
         for _ in range(rnd.randint(1, 7)):
             w, s = rnd.randint(0, 12), rnd.randint(0, 12)
             boxes.append((w, s, w + rnd.randint(1, 6), s + rnd.randint(1, 6)))
-        cells = {(x, y) for w, s, e, n in boxes for x in range(w, e) for y in range(s, n)}
+        want[k] = len({(x, y) for w, s, e, n in boxes for x in range(w, e) for y in range(s, n)})
         t = rnd.choice([0, 0.3, 1.1])
         turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-        got = O.union([[[ring @ turn.T + 1e6 for ring in part] for part in box(*b)] for b in boxes])
-        assert got is not None and abs(area(got) - len(cells)) < 1e-3
+        groups[k] = [[(np.array(ring, float) @ turn.T + 1e6).tolist() for ring in box(*b)] for b in boxes]
+    got = _unions(spark, groups)
+    assert {k: r.geom.gtype for k, r in got.items() if r.geom.gtype not in ("POLYGON", "MULTIPOLYGON")} == {}
+    assert all(abs(got[k].area - a) < 1e-3 for k, a in want.items())
+    three = got[-3].geom
+    assert three.gtype == "POLYGON" and len(three.parts[0]) == 1 and len(three.parts[0][0]) == 8
+    for r in got.values():  # rings pass no point twice
+        assert all(len(set(ring[:-1])) == len(ring) - 1 and ring[0] == ring[-1] for part in r.geom.parts for ring in part)
+
+
+def test_unions_with_holes_and_touching_rings(spark):
+    frame = [[_box(0, 0, 9, 3)], [_box(0, 6, 9, 9)], [_box(0, 3, 3, 6)], [_box(6, 3, 9, 6)]]
+    island = [[_box(4, 4, 5, 5)]]
+    pinched = [[[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(0, 3), (3, 6), (3, 3), (0, 3)]]]  # a hole that touches the shell
+    apart = [[_box(0, 0, 1, 1)], [_box(1, 1, 2, 2)]]  # two boxes that meet in a corner
+    holed = [[_box(0, 0, 9, 9), _box(3, 3, 6, 6)], [_box(4, 4, 7, 7)]]
+    got = _unions(spark, {1: frame, 2: frame + island, 3: pinched, 4: apart, 5: holed, 6: [[[(0, 0), (1, 1), (0, 0)]]]})
+    shells = lambda k: [len(part) for part in got[k].geom.parts]
+    assert (got[1].geom.gtype, shells(1), round(got[1].area, 6)) == ("POLYGON", [2], 72)
+    assert (got[2].geom.gtype, sorted(shells(2)), round(got[2].area, 6)) == ("MULTIPOLYGON", [1, 2], 73)
+    assert (got[3].geom.gtype, shells(3), round(got[3].area, 6)) == ("POLYGON", [2], 81 - 4.5)
+    assert (got[4].geom.gtype, shells(4), round(got[4].area, 6)) == ("MULTIPOLYGON", [1, 1], 2)
+    assert (got[5].geom.gtype, shells(5), round(got[5].area, 6)) == ("POLYGON", [2], 81 - 5)
+    assert got[6].geom.gtype == "NOT CLOSED" and got[6].geom.parts is None
+
+
+def test_union_of_one_large_group(spark):
+    """A strip of cells with a saw-tooth edge between any two: no cell of the grid and no task has to hold the group."""
+    n, teeth = 40, 100
+    saw = lambda k: [(10 * k + (j % 2), j) for j in range(teeth + 1)]
+    members = []
+    for k in range(n):
+        left, right = saw(k), saw(k + 1)
+        ring = [*left[::-1], *right]
+        members.append([[*ring, ring[0]]])
+    got = _unions(spark, {1: members})[1]
+    assert got.geom.gtype == "POLYGON" and abs(got.area - 10 * n * teeth) < 1e-6
+    assert len(got.geom.parts[0][0]) == 2 * (teeth + 1) + 2 * (n - 1) + 1
 
 
 def test_maximal_sets(spark):
