@@ -47,7 +47,7 @@ DIFFER = 18
 #: Bits of the parity sketch: bit b is the parity of the shingles that hash to b, so that two sketches differ in no more bits than their sets do.
 PARITY = 1024
 #: Largest node that is compared as a whole, members that all blocks of a larger one share, and levels of a tree.
-LIMIT, SHARED, DEPTH = 1000, 4, 5
+LIMIT, SHARED, DEPTH = 4000, 4, 5
 #: Trees that are closed before the others start, and tasks that a group of copies is spread over.
 FIRST, SALTS = 2, 16
 
@@ -309,9 +309,10 @@ class _Join:
         release(flagged)
 
     def grow(self, members: DataFrame) -> None:
-        """All levels of some trees, from the members of their first nodes."""
-        if len(self.links) > 1:
-            members = written(self.mixed_nodes(members), "path-nodes")
+        """All levels of all trees, from the members of their first nodes."""
+        first = members.where(F.col("tree") < FIRST)
+        self.compare(_units(first))
+        members = written(self.mixed_nodes(members.where((F.col("tree") >= FIRST) | (F.col("size") > LIMIT))), "path-nodes")
         units = _units(members)
         for _ in range(DEPTH):
             self.compare(units)
@@ -347,8 +348,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = written(big_join(torn, classes.select("digest", "rep"), "digest").select(F.col("rep").alias("merge_id"), F.col("doc_id").alias("drop_id")), "path-ids")
     join = _Join(docs, classes, own)
     trees = written(_several(written(_first_level(classes), "path-members")), "path-members")
-    join.grow(trees.where(F.col("tree") < FIRST).drop("tree"))
-    join.grow(trees.where(F.col("tree") >= FIRST).drop("tree"))
+    join.grow(trees)
     release(trees)
 
     comps = big_join(classes.select("digest", "copies", "rep", "cls"), join.components(), "cls")
