@@ -45,21 +45,21 @@ def _cross(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
     return ux * vy - uy * vx
 
 
-def _edges(members: DataFrame) -> DataFrame:
-    """``comp, ax, ay, bx, by`` of every edge, shells counter-clockwise and holes clockwise."""
-    rings = members.select("comp", F.explode(G.snap("geom")["parts"]).alias("part")).select("comp", F.posexplode("part").alias("k", "ring"))
+def ring_edges(members: DataFrame, *keep: str) -> DataFrame:
+    """``comp, keep..., ax, ay, bx, by`` of every edge, shells counter-clockwise and holes clockwise."""
+    rings = members.select("comp", *keep, F.explode(G.snap("geom")["parts"]).alias("part")).select("comp", *keep, F.posexplode("part").alias("k", "ring"))
     sides = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rings = rings.where(F.size("ring") > 3).select("comp", "k", sides.alias("sides"), F.element_at("ring", 1).alias("o"))
+    rings = rings.where(F.size("ring") > 3).select("comp", *keep, "k", sides.alias("sides"), F.element_at("ring", 1).alias("o"))
     twice = F.aggregate(  # twice the signed area, from the first point: sheet coordinates are seven digits long
         "sides", F.lit(0.0), lambda s, e: s + _cross(e["a"]["x"] - F.col("o.x"), e["a"]["y"] - F.col("o.y"), e["b"]["x"] - F.col("o.x"), e["b"]["y"] - F.col("o.y"))
     )
     flip = (twice > 0) != (F.col("k") == 0)
-    each = rings.select("comp", flip.alias("flip"), F.explode("sides").alias("e"))
+    each = rings.select("comp", *keep, flip.alias("flip"), F.explode("sides").alias("e"))
     a, b = F.when(F.col("flip"), F.col("e.b")).otherwise(F.col("e.a")), F.when(F.col("flip"), F.col("e.a")).otherwise(F.col("e.b"))
-    return each.select("comp", a.alias("a"), b.alias("b")).select("comp", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    return each.select("comp", *keep, a.alias("a"), b.alias("b")).select("comp", *keep, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
 
 
-def _added(edges: DataFrame, net: Column) -> DataFrame:
+def added(edges: DataFrame, net: Column) -> DataFrame:
     """``comp, ka, kb, ax..by, net``: edges on the same two points as one, from the smaller point to the larger, without those that cancel."""
     ends = edges.select("comp", F.struct(_key("ax").alias("x"), _key("ay").alias("y")).alias("p"), F.struct(_key("bx").alias("x"), _key("by").alias("y")).alias("q"), *_ENDS, net.alias("net"))
     forth = F.col("p") < F.col("q")
@@ -147,7 +147,7 @@ def _cuts(edges: DataFrame) -> DataFrame:
     return cuts.select("eid", "c.along", "c.x", "c.y")
 
 
-def _noded(edges: DataFrame) -> DataFrame:
+def noded(edges: DataFrame) -> DataFrame:
     """Edges cut at every point where they meet, added up again."""
     numbered = materialize(_with_grid(edges).withColumn("eid", F.monotonically_increasing_id()), "edges")
     seen = Observation()
@@ -160,11 +160,11 @@ def _noded(edges: DataFrame) -> DataFrame:
     runs = big_join(numbered, lists, "eid", "left").select("comp", "net", run.alias("run"))
     pieces = runs.select("comp", "net", F.explode(F.arrays_zip(F.slice("run", 1, F.size("run") - 1).alias("a"), F.slice("run", 2, F.size("run") - 1).alias("b"))).alias("p"))
     flat = pieces.select("comp", "net", F.col("p.a.x").alias("ax"), F.col("p.a.y").alias("ay"), F.col("p.b.x").alias("bx"), F.col("p.b.y").alias("by"))
-    return _with_grid(_added(flat, F.col("net")))
+    return _with_grid(added(flat, F.col("net")))
 
 
-def _boundary(pieces: DataFrame) -> DataFrame:
-    """``id, comp, p, q, px, py, qx, qy``: pieces with exactly one covered side, interior on the left; ``p`` and ``q`` name their points."""
+def covered(pieces: DataFrame) -> DataFrame:
+    """Pieces with a number ``id`` and how many polygons lie on their ``left`` (a sum of ``net`` over the edges on the way there)."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     numbered = materialize(pieces.withColumn("id", F.monotonically_increasing_id()), "pieces")
     length = F.hypot(dx, dy)
@@ -198,8 +198,12 @@ def _boundary(pieces: DataFrame) -> DataFrame:
     counted = pairs.groupBy("id").agg(F.sum(count).alias("near"))
     at_corner = big_join(beside.select("id", "comp", "cx", "cy"), corners, ["comp", "cx", "cy"]).select("id", "corner")
     sides = big_join(big_join(numbered, at_corner, "id"), counted, "id", "left")
-    left = F.col("corner") + F.coalesce("near", F.lit(0))
-    sides = sides.withColumn("left", left > 0).withColumn("right", left - F.col("net") > 0).where("left != right")
+    return sides.withColumn("left", F.col("corner") + F.coalesce("near", F.lit(0)))
+
+
+def _boundary(pieces: DataFrame) -> DataFrame:
+    """``id, comp, p, q, px, py, qx, qy``: pieces with exactly one covered side, interior on the left; ``p`` and ``q`` name their points."""
+    sides = covered(pieces).withColumn("right", F.col("left") - F.col("net") > 0).withColumn("left", F.col("left") > 0).where("left != right")
     ends = lambda c, d: F.when(F.col("left"), F.col(c)).otherwise(F.col(d))
     return sides.select("id", "comp", ends("ka", "kb").alias("p"), ends("kb", "ka").alias("q"), ends("ax", "bx").alias("px"), ends("ay", "by").alias("py"), ends("bx", "ax").alias("qx"), ends("by", "ay").alias("qy"))
 
@@ -285,7 +289,7 @@ def _polygons(rings: DataFrame) -> DataFrame:
 def dissolve_polygons(members: DataFrame) -> DataFrame:
     """``comp, geom``: union of each group's polygons (POLYGON, MULTIPOLYGON if it falls apart, or ``NOT CLOSED`` without parts)."""
     shapes = members.select("comp", "geom")
-    boundary = materialize(_boundary(_noded(_added(_edges(shapes), F.lit(1).cast("long")))), "boundary")
+    boundary = materialize(_boundary(noded(added(ring_edges(shapes), F.lit(1).cast("long")))), "boundary")
     links, broken = _successors(boundary)
     links = big_join(links, broken, "comp", "left_anti")
     rings = _rings(boundary, _ranked_rings(links))

@@ -1,176 +1,120 @@
-"""Slow-path DE-9IM checks for the few candidate pairs the relational fast path cannot decide.
+"""DE-9IM of the candidate pairs that the fast path cannot decide, as aggregations over joined edges.
 
-These are pairs whose faces are equal only after rounding (a small gap, a
-small overlap, or a sloped shared edge), and line pairs with a segment lying
-on the sheet line.  They are joined to their geometries and decided per pair
-in ``mapInPandas`` with small numpy helpers; the fast path handles the bulk.
+These are pairs whose faces are equal only after rounding (a small gap, a small overlap, a sloped shared edge), and line pairs with a segment on
+the sheet line.
+
+* Polygons (``FF2F11212``): the edges of both are cut where they meet and counted on both sides (:mod:`sheetseam.operators.dissolve`).  The pair
+  holds if a piece is boundary of both with the interiors on different sides, no side of any piece lies in both, and either keeps boundary of its own.
+* Lines (``FF1F00102``): every edge of one meets the edges of the other in its cells.  The pair holds if all contacts are end points of both, there is
+  one, and either keeps an end point of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetseam.session import big_join, ship_package
-
-EPS = 1e-9
-
-
-def _paths(geom) -> list[np.ndarray]:
-    out = []
-    if geom is None:
-        return out
-    for part in geom["parts"]:
-        for path in part:
-            out.append(np.array([[p["x"], p["y"]] for p in path], dtype=float))
-    return out
-
-
-def _segments(paths: list[np.ndarray]) -> np.ndarray:
-    segs = [np.hstack([p[:-1], p[1:]]) for p in paths if len(p) > 1]
-    return np.vstack(segs) if segs else np.zeros((0, 4))
-
-
-def _cross(ax, ay, bx, by):
-    return ax * by - ay * bx
-
-
-def _seg_contacts(s: np.ndarray, t: np.ndarray):
-    """Point contacts and positive-length collinear overlaps between two segment sets."""
-    points, overlap = [], False
-    for a in s:
-        p, r = a[:2], a[2:] - a[:2]
-        for b in t:
-            q, u = b[:2], b[2:] - b[:2]
-            rxs = _cross(r[0], r[1], u[0], u[1])
-            qp = q - p
-            if abs(rxs) < EPS:
-                if abs(_cross(qp[0], qp[1], r[0], r[1])) > EPS:
-                    continue  # parallel, apart
-                rr = r @ r
-                if rr == 0:
-                    continue
-                t0, t1 = sorted(((q - p) @ r / rr, (q + u - p) @ r / rr))
-                lo, hi = max(t0, 0.0), min(t1, 1.0)
-                if hi - lo > EPS:
-                    overlap = True
-                elif abs(hi - lo) <= EPS:
-                    points.append(tuple(p + lo * r))
-                continue
-            t_ = _cross(qp[0], qp[1], u[0], u[1]) / rxs
-            u_ = _cross(qp[0], qp[1], r[0], r[1]) / rxs
-            if -EPS <= t_ <= 1 + EPS and -EPS <= u_ <= 1 + EPS:
-                points.append(tuple(p + t_ * r))
-    return points, overlap
-
-
-def _boundary_points(paths: list[np.ndarray]) -> set:
-    counts: dict = {}
-    for p in paths:
-        for e in (tuple(p[0]), tuple(p[-1])):
-            counts[e] = counts.get(e, 0) + 1
-    return {e for e, c in counts.items() if c % 2 == 1}
-
-
-def _near(pt, pts) -> bool:
-    return any(abs(pt[0] - q[0]) <= EPS and abs(pt[1] - q[1]) <= EPS for q in pts)
-
-
-def lines_touch_at_ends(ga, gb) -> bool:
-    """DE-9IM ``FF1F00102``: meet only in end points of both; each keeps a free end."""
-    pa, pb = _paths(ga), _paths(gb)
-    pts, overlap = _seg_contacts(_segments(pa), _segments(pb))
-    if overlap or not pts:
-        return False
-    ba, bb = _boundary_points(pa), _boundary_points(pb)
-    if not all(_near(p, ba) and _near(p, bb) for p in pts):
-        return False
-    return any(not _near(e, pts) for e in ba) and any(not _near(e, pts) for e in bb)
-
-
-def _inside_strict(pt, rings: list[np.ndarray]) -> bool:
-    x, y = pt
-    inside = False
-    for ring in rings:
-        for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
-            # on the boundary -> not strictly inside
-            if abs(_cross(x2 - x1, y2 - y1, x - x1, y - y1)) <= EPS and min(x1, x2) - EPS <= x <= max(x1, x2) + EPS and min(y1, y2) - EPS <= y <= max(y1, y2) + EPS:
-                return False
-            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-                inside = not inside
-    return inside
-
-
-def _probe_points(rings: list[np.ndarray]) -> list:
-    """Vertices, edge midpoints and points just inside each edge."""
-    pts = []
-    for ring in rings:
-        for a, b in zip(ring[:-1], ring[1:]):
-            m = (a + b) / 2
-            d = b - a
-            n = np.array([-d[1], d[0]])
-            nn = np.hypot(*n)
-            pts.append(tuple(a))
-            pts.append(tuple(m))
-            if nn > 0:
-                off = n / nn * max(1e-6, 1e-7 * nn)
-                pts.append(tuple(m + off))
-                pts.append(tuple(m - off))
-    return pts
-
-
-def polygons_share_edge(ga, gb) -> bool:
-    """DE-9IM ``FF2F11212``: interiors disjoint, boundaries share a stretch of positive length."""
-    ra, rb = _paths(ga), _paths(gb)
-    pts, overlap = _seg_contacts(_segments(ra), _segments(rb))
-    if not overlap:
-        return False
-    sa, sb = _segments(ra), _segments(rb)
-    # proper crossings mean overlapping interiors
-    for a in sa:
-        for b in sb:
-            r, u, qp = a[2:] - a[:2], b[2:] - b[:2], b[:2] - a[:2]
-            rxs = _cross(r[0], r[1], u[0], u[1])
-            if abs(rxs) < EPS:
-                continue
-            t_ = _cross(qp[0], qp[1], u[0], u[1]) / rxs
-            u_ = _cross(qp[0], qp[1], r[0], r[1]) / rxs
-            if EPS < t_ < 1 - EPS and EPS < u_ < 1 - EPS:
-                return False
-    # a probe of one polygon strictly inside both means shared interior
-    for p in _probe_points(ra):
-        if _inside_strict(p, ra) and _inside_strict(p, rb):
-            return False
-    for p in _probe_points(rb):
-        if _inside_strict(p, rb) and _inside_strict(p, ra):
-            return False
-    # no vertex of one strictly inside the other
-    if any(_inside_strict(tuple(p), rb) for r in ra for p in r):
-        return False
-    if any(_inside_strict(tuple(p), ra) for r in rb for p in r):
-        return False
-    return True
-
-
-def _decide(is_poly: bool):
-    test = polygons_share_edge if is_poly else lines_touch_at_ends
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [bool(test(a, b)) for a, b in zip(pdf["ga"], pdf["gb"])]
-            yield pdf.loc[ok, ["merge_id", "drop_id"]]
-
-    return run
+from sheetseam.functions import geometry as G
+from sheetseam.operators import dissolve
+from sheetseam.session import big_join, materialize
+
+#: Metres: contacts closer than this to a point are at that point.
+EPS = 1e-6
+#: Metres: size of the cells in which the edges of two lines meet.
+CELL = 6000.0
+#: Edges of the first polygon count one, those of the second this much: sums keep both counts apart.
+SECOND = 1 << 20
+
+
+def _both(pairs: DataFrame, feats: DataFrame, key: str) -> DataFrame:
+    """``comp, merge_id, drop_id, second, geom``: both features of every numbered pair."""
+    numbered = materialize(pairs.withColumn("comp", F.monotonically_increasing_id()), "slow-pairs")
+    sides = numbered.select("comp", "merge_id", "drop_id", F.explode(F.array(F.struct(F.col("merge_id").alias("k"), F.lit(False).alias("second")), F.struct(F.col("drop_id").alias("k"), F.lit(True).alias("second")))).alias("s"))
+    shapes = feats.select(F.col(key).alias("k"), F.col("stg").alias("geom"))
+    return materialize(big_join(sides.select("comp", "merge_id", "drop_id", "s.k", "s.second"), shapes, "k").drop("k"), "slow-shapes")
+
+
+def polygons_share_edge(sides: DataFrame) -> DataFrame:
+    """``comp`` of the pairs whose polygons touch along a line (``FF2F11212``)."""
+    edges = dissolve.ring_edges(sides.select("comp", "second", "geom"), "second")
+    net = F.when(F.col("second"), F.lit(SECOND)).otherwise(F.lit(1)).cast("long")
+    pieces = dissolve.covered(dissolve.noded(dissolve.added(edges, net)))
+
+    def parts(c: Column) -> tuple[Column, Column]:
+        b = F.floor((c + SECOND // 2) / SECOND)
+        return c - b * SECOND, b
+
+    a, b = parts(F.col("net"))
+    la, lb = parts(F.col("left"))
+    ra, rb = la - a, lb - b
+    facts = pieces.groupBy("comp").agg(
+        F.max((a * b < 0)).alias("shared"), F.max((a * b > 0) | ((la > 0) & (lb > 0)) | ((ra > 0) & (rb > 0))).alias("inside"),
+        F.max((a != 0) & (b == 0)).alias("own_a"), F.max((b != 0) & (a == 0)).alias("own_b"),
+    )
+    return facts.where("shared AND NOT inside AND own_a AND own_b").select("comp")
+
+
+def _segments(sides: DataFrame) -> DataFrame:
+    """``comp, second, ax, ay, bx, by`` of every segment."""
+    each = sides.select("comp", "second", F.explode(G.edges("geom")).alias("e")).where("e.b IS NOT NULL AND e.a != e.b")
+    return each.select("comp", "second", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
+
+def _celled(segments: DataFrame, second: bool) -> DataFrame:
+    cell = lambda f, a, b, d: F.floor((f(a, b) + d) / CELL).cast("long")
+    own = segments.where(F.col("second") == F.lit(second)).drop("second")
+    own = own.withColumn("cx", F.explode(F.sequence(cell(F.least, "ax", "bx", -EPS), cell(F.greatest, "ax", "bx", EPS))))
+    return own.withColumn("cy", F.explode(F.sequence(cell(F.least, "ay", "by", -EPS), cell(F.greatest, "ay", "by", EPS))))
+
+
+def _contacts(sides: DataFrame) -> DataFrame:
+    """``comp, x, y``: where segments of the two lines meet (``x`` null: along a stretch, or crossing between ends)."""
+    segments = _segments(sides)
+    a, b = (_celled(segments, s).alias(n) for s, n in ((False, "i"), (True, "j")))
+    both = big_join(a, b, [F.col(f"i.{c}") == F.col(f"j.{c}") for c in ("comp", "cx", "cy")])
+    both = both.select(F.col("i.comp").alias("comp"), *(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ij" for c in ("ax", "ay", "bx", "by")))
+    for s in "ij":
+        both = both.withColumn(f"{s}dx", F.col(f"{s}bx") - F.col(f"{s}ax")).withColumn(f"{s}dy", F.col(f"{s}by") - F.col(f"{s}ay"))
+        both = both.withColumn(f"{s}len", F.hypot(f"{s}dx", f"{s}dy"))
+    cross = lambda ux, uy, vx, vy: ux * vy - uy * vx
+    at, touching = [], F.lit(False)
+    for s, o in (("i", "j"), ("j", "i")):
+        for e in "ab":
+            wx, wy = F.col(f"{o}{e}x") - F.col(f"{s}ax"), F.col(f"{o}{e}y") - F.col(f"{s}ay")
+            along = (wx * F.col(f"{s}dx") + wy * F.col(f"{s}dy")) / F.col(f"{s}len")
+            off = F.abs(cross(wx, wy, F.col(f"{s}dx"), F.col(f"{s}dy"))) / F.col(f"{s}len")
+            on = (off <= EPS) & (along >= -EPS) & (F.col(f"{s}len") - along >= -EPS)
+            touching = touching | on
+            at.append(F.when(on, F.struct(F.col(f"{o}{e}x").alias("x"), F.col(f"{o}{e}y").alias("y"))))
+    turn = cross(F.col("idx"), F.col("idy"), F.col("jdx"), F.col("jdy"))
+    wx, wy = F.col("jax") - F.col("iax"), F.col("jay") - F.col("iay")
+    t, u = (F.try_divide(cross(wx, wy, F.col(f"{o}dx"), F.col(f"{o}dy")), turn) for o in "ji")
+    crossing = ~touching & (F.abs(turn) > 1e-12 * F.col("ilen") * F.col("jlen")) & t.between(0, 1) & u.between(0, 1)
+    ends = F.array_compact(F.array(*at))
+    # two contacts of one pair of segments that lie apart: a stretch
+    apart = F.exists(ends, lambda p: (F.abs(p["x"] - F.element_at(ends, 1)["x"]) > EPS) | (F.abs(p["y"] - F.element_at(ends, 1)["y"]) > EPS))
+    nowhere = F.lit(None).cast("struct<x:double,y:double>")
+    both = both.withColumn("ends", ends).withColumn("bad", crossing | ((F.size("ends") > 1) & apart))
+    rows = both.where("bad OR size(ends) > 0").select("comp", F.explode(F.when(F.col("bad"), F.array(nowhere)).otherwise(F.slice("ends", 1, 1))).alias("p"))
+    return rows.select("comp", "p.x", "p.y")
+
+
+def lines_touch_at_ends(sides: DataFrame) -> DataFrame:
+    """``comp`` of the pairs whose lines meet only in end points of both and keep an end point each (``FF1F00102``)."""
+    ends = sides.groupBy("comp").agg(*(F.max(F.when(F.col("second") == F.lit(s), G.path_endpoints("geom"))).alias(n) for s, n in ((False, "ends_a"), (True, "ends_b"))))
+    met = big_join(_contacts(sides), ends, "comp")
+    for n in "ab":  # the place of the contact among the end points (0: it is none)
+        near = F.transform(f"ends_{n}", lambda p: (F.abs(p["x"] - F.col("x")) <= EPS) & (F.abs(p["y"] - F.col("y")) <= EPS))
+        met = met.withColumn(f"at_{n}", F.coalesce(F.array_position(near, F.lit(True)), F.lit(0)))
+    facts = met.groupBy("comp").agg(
+        F.min((F.col("at_a") > 0) & (F.col("at_b") > 0)).alias("at_ends"),
+        *(F.count_distinct(f"at_{n}").alias(f"used_{n}") for n in "ab"), *(F.max(F.size(f"ends_{n}")).alias(f"n_{n}") for n in "ab"),
+    )
+    return facts.where("at_ends AND used_a < n_a AND used_b < n_b").select("comp")
 
 
 def check_slow_pairs(pairs: DataFrame, feats: DataFrame, key: str, is_poly: bool) -> DataFrame:
-    """Decide ``pairs`` (merge_id, drop_id) exactly using the matching geometry ``stg`` of ``feats``."""
-    ship_package(pairs.sparkSession)
-    g = feats.select(F.col(key).alias("gk"), F.col("stg").alias("g"))
-    ja = big_join(pairs, g.withColumnRenamed("gk", "merge_id").withColumnRenamed("g", "ga"), "merge_id")
-    jb = big_join(ja, g.withColumnRenamed("gk", "drop_id").withColumnRenamed("g", "gb"), "drop_id")
-    return jb.select("merge_id", "drop_id", "ga", "gb").mapInPandas(_decide(is_poly), "merge_id long, drop_id long")
+    """Those of ``pairs`` (merge_id, drop_id) that hold, by the matching geometry ``stg`` of ``feats``."""
+    sides = _both(pairs, feats, key)
+    held = polygons_share_edge(sides) if is_poly else lines_touch_at_ends(sides)
+    return big_join(sides.where("NOT second").select("comp", "merge_id", "drop_id"), held, "comp").select("merge_id", "drop_id")
