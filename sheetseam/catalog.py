@@ -35,7 +35,7 @@ _CACHE: dict = {}
 
 
 def _memo(kind: str, spark: SparkSession, sf_dir: str, build):
-    k = (kind, id(spark), sf_dir)
+    k = (kind, spark.sparkContext.applicationId, sf_dir)
     if k not in _CACHE:
         _CACHE[k] = build()
     return _CACHE[k]
@@ -66,7 +66,7 @@ def _stitched(spark, sf_dir, layer: str) -> S.StitchResult:
 
 def _ns(spark, sf_dir, layer: str) -> S.PassResult:
     """The north/south pass alone (reused from a full stitch when one was already built)."""
-    full = _CACHE.get((f"stitch_{layer}", id(spark), sf_dir))
+    full = _CACHE.get((f"stitch_{layer}", spark.sparkContext.applicationId, sf_dir))
     if full is not None:
         return full.passes["ns"]
     src = poly if layer == "poly" else line
@@ -174,13 +174,39 @@ def q_release_snapshot(spark, sf_dir):
 
 
 def q_revisioned_write(spark, sf_dir):
-    """Three writes in two revisions; the state as of each."""
+    """States after an import, an edit in two writes, a deletion, a revision that is never completed, and a re-insert."""
     src, folder = poly(spark, sf_dir).select("ufid", "cls"), _folder(spark)
-    ST.revisioned_write(src, folder, "poly", 1, "import")
-    ST.revisioned_write(src.filter("ufid % 3 = 0").withColumn("cls", F.lit("edited")), folder, "poly", 2, "edit")
-    ST.revisioned_write(src.filter("ufid % 6 = 0").withColumn("cls", F.lit("edited twice")), folder, "poly", 2, "edit")
-    states = [ST.read_as_of(spark, folder, "poly", "ufid", r).withColumn("as_of", F.lit(r).cast("long")) for r in (1, 2)]
-    return states[0].unionByName(states[1]).groupBy("as_of", "cls").agg(F.count(F.lit(1)).alias("features"))
+    edit = lambda every, cls: src.filter(f"ufid % {every} = 0").withColumn("cls", F.lit(cls))
+    first = ST.create_revision(spark, folder, "poly", "import")
+    ST.write_in_revision(src, folder, "poly", first)
+    ST.complete_revision(spark, folder, "poly", first)
+    second = ST.create_revision(spark, folder, "poly", "edit")
+    ST.write_in_revision(edit(3, "edited"), folder, "poly", second)
+    ST.write_in_revision(edit(6, "edited twice"), folder, "poly", second)
+    ST.complete_revision(spark, folder, "poly", second)
+    third = ST.create_revision(spark, folder, "poly", "clear out")
+    ST.write_in_revision(src.filter("ufid % 4 = 0").select("ufid"), folder, "poly", third, delete=True)
+    ST.complete_revision(spark, folder, "poly", third)
+    fourth = ST.create_revision(spark, folder, "poly", "stopped")
+    ST.write_in_revision(edit(2, "never seen"), folder, "poly", fourth)
+    fifth = ST.create_revision(spark, folder, "poly", "put back")
+    ST.write_in_revision(edit(8, "put back"), folder, "poly", fifth)
+    ST.complete_revision(spark, folder, "poly", fifth)
+    states = [ST.read_as_of(spark, folder, "poly", "ufid", r).withColumn("as_of", F.lit(r).cast("long")) for r in (first, second, third, fourth, fifth)]
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("as_of", "cls").agg(F.count(F.lit(1)).alias("features"))
+
+
+def q_wkt_rejects(spark, sf_dir):
+    """Rows read and rows rejected with their reason, as counted by the scan and as listed."""
+    good, rejects, counts = ST.ingest_wkt(D.raw_wkt(D.read_table(spark, sf_dir, "orders")), "wkt")
+    listed = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("listed"), F.min("ufid").alias("first"))
+    read = good.agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("listed"), F.min("ufid").alias("first"))
+    kind = F.when(F.col("reason").startswith("type "), F.lit("type")).otherwise(F.col("reason"))
+    counted = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
+    return listed.unionByName(read).select("reason", "listed", "first", counted[kind].cast("long").alias("counted"))
 
 
 def q_wkt_ingest(spark, sf_dir):
@@ -194,15 +220,24 @@ def q_wkt_ingest(spark, sf_dir):
 
 
 def q_assign_srid(spark, sf_dir):
-    df = ST.assign_srid(poly(spark, sf_dir))
-    return df.groupBy().agg(F.count(F.lit(1)).alias("features")).select(
-        F.lit("poly").alias("layer"), F.lit(ST.srid_of(df)).alias("srid"), "features"
-    )
+    """Codes assigned, written and read back: the default one, one that was identified."""
+    folder, out = _folder(spark), None
+    for name, df, code in (("poly", poly(spark, sf_dir), None), ("line", line(spark, sf_dir), 27200)):
+        ST.write_layer(ST.assign_srid(df, code), folder, name)
+        back = ST.read_stored(spark, folder, name)
+        row = back.groupBy().agg(F.count(F.lit(1)).alias("features")).select(F.lit(name).alias("layer"), F.lit(ST.srid_of(back)).alias("srid"), "features")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def q_text_fidelity_check(spark, sf_dir):
+    """A copy through a text file, and one in which some rows were read in the wrong encoding."""
     docs = D.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ST.text_fidelity(docs, ST.utf8_roundtrip(docs, "text"), "doc_id", "text")
+    copy = ST.text_copy(docs, _folder(spark), "documents", "doc_id", "text")
+    wrong = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    damaged = copy.withColumn("text", F.when(F.col("doc_id") % 97 == 0, wrong).otherwise(F.col("text")))
+    found = [ST.text_fidelity(docs, c, "doc_id", "text").select(F.lit(n).alias("copy"), "n_flagged", "n_mismatch") for n, c in (("whole", copy), ("damaged", damaged))]
+    return found[0].unionByName(found[1])
 
 
 # ---------------------------------------------------------------- projections / predicates
@@ -301,9 +336,11 @@ def q_face_join(spark, sf_dir):
 
 
 def q_attr_null_safe(spark, sf_dir):
-    j = C.face_join(_poly_cand(spark, sf_dir), "ufid", ["slot", "cls"], True, C.NS, match_attrs=False)
-    eq = F.col("h.slot").eqNullSafe(F.col("l.slot")) & F.col("h.cls").eqNullSafe(F.col("l.cls"))
-    return j.select(F.greatest("h.k", "l.k").alias("merge_id"), F.least("h.k", "l.k").alias("drop_id"), eq.alias("attrs_equal")).distinct()
+    """Attributes as keys of the face join, null equal to null; every fifth feature has no class."""
+    src = poly(spark, sf_dir).withColumn("cls", F.when(F.col("ufid") % 5 != 0, F.col("cls")))
+    cand = C.boundary_candidates(S.prepare(src, "ufid", regions(spark)), True, C.NS)
+    j = C.face_join(cand, "ufid", ["slot", "cls"], True, C.NS)
+    return j.select(F.greatest("h.k", "l.k").alias("merge_id"), F.least("h.k", "l.k").alias("drop_id"), F.col("h.cls").alias("cls")).distinct()
 
 
 def q_relate_polygons(spark, sf_dir):
@@ -535,9 +572,23 @@ def q_contains_join(spark, sf_dir):
     return I.reverse_lookup(a).withColumnRenamed("component", "member").join(src, "member").select("ufid", "member", "slot")
 
 
+def _joints(spark, sf_dir) -> S.StitchResult:
+    """Lines that the first pass merges and the second one rejects."""
+    return _memo("joints", spark, sf_dir, lambda: S.stitch_layer(D.joint_lines(D.read_table(spark, sf_dir, "supplier")), "ufid", "joints", kind="line", regions=regions(spark)))
+
+
 def q_report_assoc_join(spark, sf_dir):
-    st = _stitched(spark, sf_dir, "line")
-    return I.report_with_associations(st.report, st.associations).select("ref", "msg", "ufid")
+    """Composites of the first pass that the second one rejected, with what they were built from."""
+    st = _joints(spark, sf_dir)
+    return I.report_with_associations(st.report, st.associations).select("ref", "msg", "ufid", ids_text("ufid_components").alias("components"))
+
+
+def q_fallback_join_ew(spark, sf_dir):
+    """Members of groups that the second pass rejected: they go back as the first pass left them."""
+    st = _joints(spark, sf_dir)
+    own = st.interim.select("ufid", ids_text("ufid_components").alias("components"), G.num_points().alias("n_points"))
+    refused = st.report.where(F.col("msg").contains("eastwest")).select(F.col("ref").alias("ufid"))
+    return own.join(refused, "ufid", "left_semi")
 
 
 # ---------------------------------------------------------------- plans
@@ -683,6 +734,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layer_inventory": q_layer_inventory,
     "verify_copy": q_verify_copy,
     "wkt_ingest": q_wkt_ingest,
+    "wkt_rejects": q_wkt_rejects,
     "assign_srid": q_assign_srid,
     "text_fidelity_check": q_text_fidelity_check,
     "select_except": q_select_except,
@@ -745,6 +797,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assoc_lookup": q_assoc_lookup,
     "contains_join": q_contains_join,
     "report_assoc_join": q_report_assoc_join,
+    "fallback_join_ew": q_fallback_join_ew,
     "identify_pass": q_identify_pass,
     "merge_pass": q_merge_pass,
     "stitch_all": q_stitch_all,

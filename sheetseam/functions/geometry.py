@@ -232,6 +232,20 @@ def from_wkt(wkt) -> Column:
     return F.when(body.contains("EMPTY") | parts.isNull(), F.lit(None).cast(GEOM_DDL)).otherwise(whole)
 
 
+def wkt_reject(wkt, geom) -> Column:
+    """Why a text gave no geometry (null if it did): ``no text``, ``empty``, ``type <name>`` for types that are not read, or ``broken``."""
+    w = F.upper(F.trim(F.regexp_replace(_c(wkt), r"^\s*SRID=\d+;", "")))
+    gtype = F.regexp_extract(w, r"^([A-Z]+?)\s*(?:ZM|Z|M)?\s*(?=\(|EMPTY)", 1)
+    known = gtype.isin("POINT", "LINESTRING", "POLYGON", "MULTILINESTRING", "MULTIPOLYGON")
+    return (
+        F.when(_c(geom).isNotNull(), F.lit(None).cast("string"))
+        .when(F.coalesce(F.trim(_c(wkt)), F.lit("")) == "", "no text")
+        .when(w.rlike(r"\bEMPTY\s*$"), "empty")
+        .when((gtype != "") & ~known, F.concat(F.lit("type "), gtype))
+        .otherwise("broken")
+    )
+
+
 def path_endpoints(geom="geom") -> Column:
     """Boundary points by the mod-2 rule: path ends occurring an odd number of times."""
     paths = F.flatten(_c(geom)["parts"])

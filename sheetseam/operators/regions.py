@@ -212,6 +212,10 @@ def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom"
     if regions is None:
         return layer.withColumn(REGIONS, F.array(F.lit("all")))
     small = small_regions(regions)
+    return _with_names(layer, regions, small, geom, key, keep_outside)
+
+
+def _with_names(layer: DataFrame, regions: DataFrame, small: list[dict] | None, geom: str, key: str | None, keep_outside: bool = False) -> DataFrame:
     if small is not None:
         named = layer.withColumn(REGIONS, _inline(small, geom))
         return named if keep_outside else named.filter(F.size(REGIONS) > 0)
@@ -223,7 +227,8 @@ def with_regions(layer: DataFrame, regions: DataFrame | None, geom: str = "geom"
 
 def region_join(layer: DataFrame, regions: DataFrame, key: str, geom: str = "geom", extra=()) -> DataFrame:
     """Long form ``(extra..., key, region)``; features outside every region produce no row.  ``extra`` and key together name a feature."""
-    if small_regions(regions) is not None:
-        return with_regions(layer, regions, geom).select(*extra, key, F.explode(REGIONS).alias("region"))
+    small = small_regions(regions)  # looked at once
+    if small is not None:
+        return _with_names(layer, regions, small, geom, None).select(*extra, key, F.explode(REGIONS).alias("region"))
     named = layer.withColumn("__seam_id", F.struct(*extra, key))
-    return with_regions(named, regions, geom, "__seam_id").select(*extra, key, F.explode(REGIONS).alias("region"))
+    return _with_names(named, regions, None, geom, "__seam_id").select(*extra, key, F.explode(REGIONS).alias("region"))

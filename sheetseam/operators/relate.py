@@ -77,40 +77,38 @@ def _contacts(sides: DataFrame) -> DataFrame:
         both = both.withColumn(f"{s}dx", F.col(f"{s}bx") - F.col(f"{s}ax")).withColumn(f"{s}dy", F.col(f"{s}by") - F.col(f"{s}ay"))
         both = both.withColumn(f"{s}len", F.hypot(f"{s}dx", f"{s}dy"))
     cross = lambda ux, uy, vx, vy: ux * vy - uy * vx
-    at, touching = [], F.lit(False)
+    xs, ys = [], []
     for s, o in (("i", "j"), ("j", "i")):
         for e in "ab":
-            wx, wy = F.col(f"{o}{e}x") - F.col(f"{s}ax"), F.col(f"{o}{e}y") - F.col(f"{s}ay")
+            x, y = F.col(f"{o}{e}x"), F.col(f"{o}{e}y")
+            wx, wy = x - F.col(f"{s}ax"), y - F.col(f"{s}ay")
             along = (wx * F.col(f"{s}dx") + wy * F.col(f"{s}dy")) / F.col(f"{s}len")
             off = F.abs(cross(wx, wy, F.col(f"{s}dx"), F.col(f"{s}dy"))) / F.col(f"{s}len")
             on = (off <= EPS) & (along >= -EPS) & (F.col(f"{s}len") - along >= -EPS)
-            touching = touching | on
-            at.append(F.when(on, F.struct(F.col(f"{o}{e}x").alias("x"), F.col(f"{o}{e}y").alias("y"))))
+            both = both.withColumn(f"{s}{e}on", on)
+            xs.append(F.when(F.col(f"{s}{e}on"), x))
+            ys.append(F.when(F.col(f"{s}{e}on"), y))
     turn = cross(F.col("idx"), F.col("idy"), F.col("jdx"), F.col("jdy"))
     wx, wy = F.col("jax") - F.col("iax"), F.col("jay") - F.col("iay")
     t, u = (F.try_divide(cross(wx, wy, F.col(f"{o}dx"), F.col(f"{o}dy")), turn) for o in "ji")
-    crossing = ~touching & (F.abs(turn) > 1e-12 * F.col("ilen") * F.col("jlen")) & t.between(0, 1) & u.between(0, 1)
-    ends = F.array_compact(F.array(*at))
+    both = both.withColumn("crossing", (F.abs(turn) > 1e-12 * F.col("ilen") * F.col("jlen")) & t.between(0, 1) & u.between(0, 1))
     # two contacts of one pair of segments that lie apart: a stretch
-    apart = F.exists(ends, lambda p: (F.abs(p["x"] - F.element_at(ends, 1)["x"]) > EPS) | (F.abs(p["y"] - F.element_at(ends, 1)["y"]) > EPS))
-    nowhere = F.lit(None).cast("struct<x:double,y:double>")
-    both = both.withColumn("ends", ends).withColumn("bad", crossing | ((F.size("ends") > 1) & apart))
-    rows = both.where("bad OR size(ends) > 0").select("comp", F.explode(F.when(F.col("bad"), F.array(nowhere)).otherwise(F.slice("ends", 1, 1))).alias("p"))
-    return rows.select("comp", "p.x", "p.y")
+    both = both.select("comp", "crossing", F.coalesce(*xs).alias("x"), F.coalesce(*ys).alias("y"), (F.greatest(*xs) - F.least(*xs)).alias("wide"), (F.greatest(*ys) - F.least(*ys)).alias("high"))
+    bad = F.when(F.col("x").isNull(), F.col("crossing")).otherwise((F.col("wide") > EPS) | (F.col("high") > EPS))
+    rows = both.withColumn("bad", bad).where("bad OR x IS NOT NULL")
+    return rows.select("comp", *(F.when(~F.col("bad"), F.col(c)).alias(c) for c in "xy"))
 
 
 def lines_touch_at_ends(sides: DataFrame) -> DataFrame:
     """``comp`` of the pairs whose lines meet only in end points of both and keep an end point each (``FF1F00102``)."""
     ends = sides.groupBy("comp").agg(*(F.max(F.when(F.col("second") == F.lit(s), G.path_endpoints("geom"))).alias(n) for s, n in ((False, "ends_a"), (True, "ends_b"))))
-    met = big_join(_contacts(sides), ends, "comp")
+    met = big_join(materialize(_contacts(sides), "contacts"), ends, "comp")
     for n in "ab":  # the place of the contact among the end points (0: it is none)
         near = F.transform(f"ends_{n}", lambda p: (F.abs(p["x"] - F.col("x")) <= EPS) & (F.abs(p["y"] - F.col("y")) <= EPS))
         met = met.withColumn(f"at_{n}", F.coalesce(F.array_position(near, F.lit(True)), F.lit(0)))
-    facts = met.groupBy("comp").agg(
-        F.min((F.col("at_a") > 0) & (F.col("at_b") > 0)).alias("at_ends"),
-        *(F.count_distinct(f"at_{n}").alias(f"used_{n}") for n in "ab"), *(F.max(F.size(f"ends_{n}")).alias(f"n_{n}") for n in "ab"),
-    )
-    return facts.where("at_ends AND used_a < n_a AND used_b < n_b").select("comp")
+    used = [F.size(F.collect_set(f"at_{n}")).alias(f"used_{n}") for n in "ab"]  # of few end points
+    facts = met.groupBy("comp").agg(F.min((F.col("at_a") > 0) & (F.col("at_b") > 0)).alias("at_ends"), *used, *(F.max(F.size(f"ends_{n}")).alias(f"n_{n}") for n in "ab"))
+    return materialize(facts.where("at_ends AND used_a < n_a AND used_b < n_b").select("comp"), "touching")
 
 
 def check_slow_pairs(pairs: DataFrame, feats: DataFrame, key: str, is_poly: bool) -> DataFrame:

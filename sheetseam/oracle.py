@@ -278,14 +278,19 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'polygon', count(*) FROM line""",
     "release_snapshot": f"""WITH {LINE} SELECT 'line' AS layer, count(*) AS features FROM line UNION ALL SELECT 'poly', count(*) FROM orders
         UNION ALL SELECT 'polygon', count(*) FROM line""",
-    "revisioned_write": """SELECT 1 AS as_of, o_orderpriority AS cls, count(*) AS features FROM orders GROUP BY 2 UNION ALL
-        SELECT 2, cls, count(*) FROM (SELECT CASE WHEN o_orderkey % 6 = 0 THEN 'edited twice' WHEN o_orderkey % 3 = 0 THEN 'edited'
-          ELSE o_orderpriority END AS cls FROM orders) GROUP BY 2""",
+    "revisioned_write": """WITH r AS (SELECT unnest([1, 2, 3, 4, 5]) AS as_of), s AS (
+          SELECT as_of, CASE WHEN as_of >= 5 AND o_orderkey % 8 = 0 THEN 'put back' WHEN as_of >= 3 AND o_orderkey % 4 = 0 THEN NULL
+            WHEN as_of >= 2 AND o_orderkey % 6 = 0 THEN 'edited twice' WHEN as_of >= 2 AND o_orderkey % 3 = 0 THEN 'edited' ELSE o_orderpriority END AS cls FROM orders, r)
+        SELECT as_of, cls, count(*) AS features FROM s WHERE cls IS NOT NULL GROUP BY as_of, cls""",
+    "wkt_rejects": """SELECT reason, count(*) AS listed, min(o_orderkey) AS first, max(c) AS counted FROM (
+          SELECT *, count(*) OVER (PARTITION BY CASE WHEN reason LIKE 'type %' THEN 'type' ELSE reason END) AS c FROM (
+            SELECT o_orderkey, ['read', 'broken', 'empty', 'type MULTIPOINT', 'type GEOMETRYCOLLECTION', 'no text', 'broken'][o_orderkey % 7 + 1] AS reason FROM orders)) GROUP BY reason""",
     "wkt_ingest": with_both(
         "SELECT layer, ufid, gtype, n_points, wv AS xmin, sv AS ymin, ev AS xmax, nv AS ymax, CAST(area AS BIGINT) AS area, CAST(round(length) AS BIGINT) AS length FROM feat"
     ),
-    "assign_srid": "SELECT 'poly' AS layer, 2193 AS srid, count(*) AS features FROM orders",
-    "text_fidelity_check": "SELECT sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END) AS n_flagged, 0 AS n_mismatch FROM documents",
+    "assign_srid": f"WITH {LINE} SELECT 'poly' AS layer, 2193 AS srid, count(*) AS features FROM orders UNION ALL SELECT 'line', 27200, count(*) FROM line",
+    "text_fidelity_check": """SELECT copy, count(*) AS n_flagged, CAST(sum(CASE WHEN copy = 'damaged' AND doc_id % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch
+        FROM documents, (VALUES ('whole'), ('damaged')) c(copy) WHERE regexp_matches(text, '[^\\x00-\\x7F]') GROUP BY copy""",
     "select_except": f"WITH {POLY} SELECT ufid, slot, cls FROM poly",
     "excise_column": "SELECT 'lineitem' AS layer, 11 AS n_columns, count(*) AS features FROM lineitem UNION ALL SELECT 'orders', 5, count(*) FROM orders",
     "on_northsouth": with_both(f"SELECT v, {ns('v')} AS on_ns FROM (SELECT nv AS v FROM feat UNION SELECT sv FROM feat)"),
@@ -312,17 +317,19 @@ SQL: dict[str, str] = {
 }
 
 
-def _poly_face(attr: bool) -> str:
-    cond = f" AND {ATTRS}" if attr else ""
-    return f"""SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id{'' if attr else f', ({ATTRS}) AS attrs_equal'}
-  FROM polyr a JOIN polyr b ON a.nv = b.sv{cond} AND least(a.ev, b.ev) >= greatest(a.wv, b.wv) AND a.ufid <> b.ufid
+def _poly_face(src: str, more: str = "") -> str:
+    return f"""SELECT DISTINCT greatest(a.ufid, b.ufid) AS merge_id, least(a.ufid, b.ufid) AS drop_id{more}
+  FROM {src} a JOIN {src} b ON a.nv = b.sv AND {ATTRS} AND least(a.ev, b.ev) >= greatest(a.wv, b.wv) AND a.ufid <> b.ufid
   WHERE a.nv % 1000 = 0 AND b.sv % 1000 = 0 AND {ns_filter('a')} AND {ns_filter('b')} AND {common_region('preg', 'a', 'b')}"""
 
 
+JOINTS = """joints AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) + 99999999 AS fid FROM supplier)"""
+
+
 SQL.update(
     {
-        "face_join": with_poly(_poly_face(True)),
-        "attr_null_safe": with_poly(_poly_face(False)),
+        "face_join": with_poly(_poly_face("polyr")),
+        "attr_null_safe": with_poly(_poly_face("(SELECT * REPLACE (CASE WHEN ufid % 5 <> 0 THEN cls END AS cls) FROM polyr)", ", a.cls AS cls")),
         "relate_polygons": with_poly("SELECT merge_id, drop_id FROM pns"),
         "relate_lines": with_line("SELECT merge_id, drop_id FROM lns"),
         "order_join_list": with_poly("SELECT merge_id, drop_id FROM pns ORDER BY merge_id, drop_id"),
@@ -393,9 +400,9 @@ SQL.update(
             "SELECT f.fid AS ufid, m.member, p.slot FROM (SELECT fid, unnest(comps) AS member FROM pfinal WHERE len(comps) > 1) m "
             "JOIN pfinal f ON f.fid = m.fid JOIN poly p ON p.ufid = m.member"
         ),
-        "report_assoc_join": with_line(
-            "SELECT r.ref, r.msg, f.fid AS ufid FROM lreport r JOIN lfinal f ON f.fid = r.ref WHERE len(f.comps) > 1"
-        ),
+        "report_assoc_join": f"""WITH {JOINTS} SELECT fid AS ref, 'Mapsheet boundary-join error for table eastwest_joints' AS msg, fid AS ufid, (4 * k) || ',' || (4 * k + 1) AS components FROM joints""",
+        "fallback_join_ew": f"""WITH {JOINTS} SELECT fid AS ufid, (4 * k) || ',' || (4 * k + 1) AS components, 3 AS n_points FROM joints
+            UNION ALL SELECT 4 * k + j, CAST(4 * k + j AS VARCHAR), 2 FROM joints, (VALUES (2), (3)) t(j)""",
         "identify_pass": f"""WITH RECURSIVE {POLY_PASSES},\n{LINE_PASSES.replace(REGIONS + ',', '', 1)}
             SELECT 'poly' AS layer, merge_id, drop_id FROM pns UNION ALL SELECT 'line', merge_id, drop_id FROM lns""",
         "merge_pass": with_poly(

@@ -156,6 +156,36 @@ def _by_remainder(orders: DataFrame, kinds: list[Column]) -> DataFrame:
     return orders.select(k.alias("ufid"), F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int")).alias("geom"))
 
 
+def raw_wkt(orders: DataFrame) -> DataFrame:
+    """``ufid, wkt``: texts as they come, by the key's remainder: a polygon, a letter among the numbers, an empty one, a multi-point, a collection, none,
+    a missing bracket."""
+    k = F.col("o_orderkey").cast("long")
+    w, s = (k % 1000) * 10, (k % 77) * 10
+    at = lambda x, y: F.concat_ws(" ", x.cast("string"), y.cast("string"))
+    ring = F.concat_ws(", ", at(w, s), at(w + 10, s), at(w + 10, s + 5), at(w, s + 5), at(w, s))
+    kinds = [
+        F.concat(F.lit("SRID=2193;POLYGON (("), ring, F.lit("))")), F.concat(F.lit("LINESTRING("), at(w, s), F.lit(", 1 x)")), F.lit("POLYGON EMPTY"),
+        F.concat(F.lit("MULTIPOINT(("), at(w, s), F.lit("))")), F.concat(F.lit("GEOMETRYCOLLECTION(POINT("), at(w, s), F.lit("))")), F.lit(None).cast("string"),
+        F.concat(F.lit("POLYGON(("), ring, F.lit(")")),
+    ]
+    return orders.select(k.alias("ufid"), F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int")).alias("wkt"))
+
+
+def joint_lines(suppliers: DataFrame) -> DataFrame:
+    """Four lines per supplier: two that meet on a north/south sheet edge, and two more that meet their end on an east/west edge, so that the first pass
+    merges two and the second rejects all."""
+    k = F.col("s_suppkey").cast("long")
+    col, row, slot = k % 39 + 1, F.floor(k / 39) % 38, F.floor(k / (39 * 38))
+    x = F.lit(X0) + SHEET_W * col  # an east/west edge
+    y = F.lit(Y0) + SHEET_H * row  # a north/south edge
+    mid, end = G.point(x - 9100, y), G.point(x, y + 9100)
+    shapes = [(G.point(x - 9100, y - 9100), mid), (mid, end), (end, G.point(x + 9100, y + 9100)), (end, G.point(x + 9100, y + 12300))]
+    each = F.array(*(F.struct(F.lit(i).alias("i"), G.linestring(*p).alias("geom")) for i, p in enumerate(shapes)))
+    rows = suppliers.select(k.alias("k"), slot.cast("long").alias("slot"), F.lit("joint").alias("cls"), F.explode(each).alias("s"))
+    ufid = 4 * F.col("k") + F.col("s.i")
+    return rows.select(ufid.alias("ogc_fid"), ufid.alias("ufid"), "slot", "cls", F.col("s.geom").alias("geom"))
+
+
 def load_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poly_layer(read_table(spark, sf_dir, "orders"))
 

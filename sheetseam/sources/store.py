@@ -7,11 +7,12 @@ release, revisioned writes and the UTF-8 round-trip check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheetseam.functions import geometry as G
 from sheetseam.schemas import DEFAULT_SRID, OUTPUT_PREFIX
+from sheetseam.session import materialize
 from sheetseam.sources import commits
 
 
@@ -120,6 +121,17 @@ def verify_copy(src: DataFrame, dst: DataFrame, src_name: str, dst_name: str, la
     )
 
 
+def ingest_wkt(df: DataFrame, wkt: str, geom: str = "geom") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Read geometry from text: the rows that have one, the rejected rows with their ``reason``, and the number of rows per outcome (``read`` or the kind of
+    reason), counted by the one scan that writes both."""
+    parsed = df.withColumn(geom, G.from_wkt(wkt)).withColumn("reason", G.wkt_reject(wkt, geom))
+    kinds = {"read": F.col("reason").isNull(), **{k: F.col("reason") == k for k in ("no text", "empty", "broken")}, "type": F.col("reason").startswith("type ")}
+    seen = Observation()
+    kept = materialize(parsed.observe(seen, *(F.count(F.when(c, 1)).alias(k) for k, c in kinds.items())), "wkt")
+    rejects = kept.where("reason IS NOT NULL").drop(geom)
+    return kept.where("reason IS NULL").drop("reason", *({wkt} - {geom})), rejects, dict(seen.get)
+
+
 def assign_srid(df: DataFrame, srid: int | None = None, geom: str = "geom") -> DataFrame:
     """Attach the EPSG code as column metadata (identified code, else the default)."""
     code = int(srid) if srid is not None else DEFAULT_SRID
@@ -166,21 +178,55 @@ def release_snapshot(spark: SparkSession, folder: str, target: str, link: bool =
     return sorted(out)
 
 
+CREATED, COMPLETE = "created", "complete"
+
+
+def _marks(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``revision_id, mark, comment, at``: when a revision was created and when it was completed."""
+    place = f"{folder.rstrip('/')}/{name}__marks"
+    fs, p = _fs(spark, place)
+    schema = "revision_id long, mark string, comment string, at timestamp"
+    return spark.read.schema(schema).parquet(place) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def _mark(spark: SparkSession, folder: str, name: str, revision: int, mark: str, comment: str) -> None:
+    row = spark.range(1).select(F.lit(revision).cast("long").alias("revision_id"), F.lit(mark).alias("mark"), F.lit(comment).alias("comment"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{folder.rstrip('/')}/{name}__marks")
+
+
+def create_revision(spark: SparkSession, folder: str, name: str, comment: str) -> int:
+    """Open the next revision of a layer; what is written in it stays unseen until it is completed."""
+    last = _marks(spark, folder, name).agg(F.max("revision_id").alias("m")).first()["m"]
+    revision = 1 if last is None else last + 1
+    _mark(spark, folder, name, revision, CREATED, comment)
+    return revision
+
+
+def write_in_revision(df: DataFrame, folder: str, name: str, revision: int, delete: bool = False) -> None:
+    """Add rows to an open revision: new states of features, or (``delete``) the keys of features to remove."""
+    extra = {"revision_id": F.lit(revision).cast("long"), "created": F.current_timestamp(), "deleted": F.lit(delete)}
+    df.withColumns(extra).write.mode("append").parquet(f"{folder.rstrip('/')}/{name}__revisions")
+
+
+def complete_revision(spark: SparkSession, folder: str, name: str, revision: int, comment: str = "") -> None:
+    """Make a revision visible."""
+    _mark(spark, folder, name, revision, COMPLETE, comment)
+
+
 def revisioned_write(df: DataFrame, folder: str, name: str, revision: int, comment: str) -> str:
-    """Append an edit as a revision (versioning on): ``revision_id, comment, created`` columns."""
-    path = f"{folder.rstrip('/')}/{name}__revisions"
-    df.withColumns(
-        {"revision_id": F.lit(revision).cast("long"), "comment": F.lit(comment), "created": F.current_timestamp()}
-    ).write.mode("append").parquet(path)
-    return path
+    """Write an edit as (part of) a revision and complete it."""
+    write_in_revision(df, folder, name, revision)
+    complete_revision(df.sparkSession, folder, name, revision, comment)
+    return f"{folder.rstrip('/')}/{name}__revisions"
 
 
 def read_as_of(spark: SparkSession, folder: str, name: str, key: str, revision: int) -> DataFrame:
-    """State of a revisioned layer at ``revision``: one row per key, the latest written up to it."""
-    hist = spark.read.parquet(f"{folder.rstrip('/')}/{name}__revisions").filter(F.col("revision_id") <= revision)
-    rest = [c for c in hist.columns if c not in (key, "comment", "created")]
+    """State of a revisioned layer at ``revision``: one row per key, the latest of the completed revisions up to it; keys deleted last are gone."""
+    complete = _marks(spark, folder, name).where((F.col("mark") == COMPLETE) & (F.col("revision_id") <= revision)).select("revision_id").distinct()
+    hist = spark.read.option("mergeSchema", True).parquet(f"{folder.rstrip('/')}/{name}__revisions").join(complete, "revision_id", "left_semi")
+    rest = [c for c in hist.columns if c not in (key, "created")]
     latest = hist.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("revision_id", "created")).alias("__row"))
-    return latest.select(key, "__row.*").select(*[c for c in hist.columns if c not in ("comment", "created")])
+    return latest.select(key, "__row.*").where("NOT deleted").select(*[c for c in hist.columns if c not in ("created", "deleted")])
 
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -202,3 +248,7 @@ def utf8_roundtrip(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, F.decode(F.encode(F.col(text), "UTF-8"), "UTF-8"))
 
 
+def text_copy(df: DataFrame, folder: str, name: str, key: str, text: str) -> DataFrame:
+    """Key and text written as a JSON text file and read back."""
+    path = export_layer(df.select(key, text), folder, name, "json")
+    return df.sparkSession.read.schema(df.select(key, text).schema).json(path)
