@@ -351,6 +351,21 @@ def q_relate_lines(spark, sf_dir):
     return _ns(spark, sf_dir, "line").pairs
 
 
+def _near_pairs(spark, sf_dir, layer, is_poly: bool) -> DataFrame:
+    df = materialize(S.prepare(layer(D.read_table(spark, sf_dir, "customer")), "ufid", regions(spark)), "prepared")
+    return C.identify(df, "ufid", ["slot", "cls"], is_poly, C.NS)
+
+
+def q_relate_near_polygons(spark, sf_dir):
+    """Polygons with sloped edges, gaps, overlaps and corners at a sheet edge."""
+    return _near_pairs(spark, sf_dir, D.near_polygons, True)
+
+
+def q_relate_near_lines(spark, sf_dir):
+    """Lines along a sheet edge, with T-junctions, common stretches and gaps."""
+    return _near_pairs(spark, sf_dir, D.near_lines, False)
+
+
 def q_order_join_list(spark, sf_dir):
     return _ns(spark, sf_dir, "poly").pairs.orderBy("merge_id", "drop_id")
 
@@ -754,6 +769,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attr_null_safe": q_attr_null_safe,
     "relate_polygons": q_relate_polygons,
     "relate_lines": q_relate_lines,
+    "relate_near_polygons": q_relate_near_polygons,
+    "relate_near_lines": q_relate_near_lines,
     "order_join_list": q_order_join_list,
     "unmerged_anti_join": q_unmerged_anti_join,
     "member_join": q_member_join,

@@ -332,6 +332,8 @@ SQL.update(
         "attr_null_safe": with_poly(_poly_face("(SELECT * REPLACE (CASE WHEN ufid % 5 <> 0 THEN cls END AS cls) FROM polyr)", ", a.cls AS cls")),
         "relate_polygons": with_poly("SELECT merge_id, drop_id FROM pns"),
         "relate_lines": with_line("SELECT merge_id, drop_id FROM lns"),
+        "relate_near_polygons": "SELECT 2 * c_custkey + 1 AS merge_id, 2 * c_custkey AS drop_id FROM customer WHERE c_custkey % 6 IN (0, 3)",
+        "relate_near_lines": "SELECT 2 * c_custkey + 1 AS merge_id, 2 * c_custkey AS drop_id FROM customer WHERE c_custkey % 6 IN (0, 5)",
         "order_join_list": with_poly("SELECT merge_id, drop_id FROM pns ORDER BY merge_id, drop_id"),
         "unmerged_anti_join": with_poly("SELECT ufid FROM poly WHERE ufid NOT IN (SELECT merge_id FROM pns UNION SELECT drop_id FROM pns)"),
         "member_join": with_poly("SELECT p.ufid, m.comp, p.slot, p.cls, p.wv AS xmin, p.sv AS ymin FROM pm1 m JOIN poly p ON p.ufid = m.id"),

@@ -186,6 +186,54 @@ def joint_lines(suppliers: DataFrame) -> DataFrame:
     return rows.select(ufid.alias("ogc_fid"), ufid.alias("ufid"), "slot", "cls", F.col("s.geom").alias("geom"))
 
 
+def _pairs_of(rows: DataFrame, kinds: list[tuple[Column, Column]]) -> DataFrame:
+    """Two features, ``2 k`` and ``2 k + 1``, per row ``k, slot``, by the key's remainder."""
+    two = F.element_at(F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), g.alias("geom")) for i, g in enumerate(p))) for p in kinds)), (F.col("k") % len(kinds) + 1).cast("int"))
+    ufid = 2 * F.col("k") + F.col("s.i")
+    return rows.select("k", "slot", F.explode(two).alias("s")).select(ufid.alias("ogc_fid"), ufid.alias("ufid"), "slot", F.lit("near").alias("cls"), F.col("s.geom").alias("geom"))
+
+
+def _sheet_corner(customers: DataFrame) -> tuple[DataFrame, Column, Column]:
+    k = F.col("c_custkey").cast("long")
+    rows = customers.select(k.alias("k"), F.floor(k / (39 * 37)).cast("long").alias("slot"), (F.lit(X0) + SHEET_W * (k % 39)).cast("double").alias("x"), (F.lit(Y0) + SHEET_H * (1 + F.floor(k / 39) % 37)).cast("double").alias("y"))
+    return rows, F.col("x"), F.col("y")
+
+
+def near_polygons(customers: DataFrame) -> DataFrame:
+    """Pairs of polygons whose faces on a sheet edge are equal only after rounding: the same sloped edge, a gap, an overlap, half of a sloped edge, a corner on a
+    sloped edge, crossing edges.  The first and the fourth kind share an edge."""
+    rows, x, y = _sheet_corner(customers)
+    w, h = 12000.0, 9000.0
+
+    def shape(*pts):
+        ring = [G.point(x + dx, y + dy) for dx, dy in (*pts, pts[0])]
+        return F.struct(F.lit("POLYGON").alias("gtype"), F.array(F.array(F.array(*ring))).alias("parts"))
+
+    below = lambda l, r: shape((0, -h), (w, -h), (w, r), (0, l))
+    above = lambda l, r, e=w: shape((0, l), (e, r), (e, h), (0, h))
+    kinds = [
+        (below(-0.2, 0.2), above(-0.2, 0.2)), (below(0.0, 0.0), above(0.3, 0.3)), (below(0.0, 0.0), above(-0.3, -0.3)),
+        (below(-0.2, 0.2), above(-0.2, 0.0, w / 2)), (below(-0.2, 0.2), shape((w / 2, 0.0), (w, h), (0, h))), (below(-0.2, 0.2), above(0.2, -0.2)),
+    ]
+    return _pairs_of(rows, kinds)
+
+
+def near_lines(customers: DataFrame) -> DataFrame:
+    """Pairs of lines that need a full look: one along the sheet edge to the other's end, a T on it, a common stretch, a gap of millimetres, both ends in common,
+    both along the edge end to end.  The first and the last kind meet in ends only."""
+    rows, x, y = _sheet_corner(customers)
+
+    def path(*pts):
+        return G.linestring(*(G.point(x + dx, y + dy) for dx, dy in pts))
+
+    up = path((0, 0), (0, 913))
+    kinds = [
+        (path((-517, 0), (0, 0)), up), (path((-517, 0), (517, 0)), up), (path((-517, 0), (517, 0)), path((0, 0), (813, 0), (813, 913))),
+        (path((0, -913), (0, -0.004)), up), (path((0, 0), (313, 0)), path((0, 0), (157, 513), (313, 0))), (path((-517, 0), (0, 0)), path((0, 0), (517, 0))),
+    ]
+    return _pairs_of(rows, kinds)
+
+
 def load_poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poly_layer(read_table(spark, sf_dir, "orders"))
 
