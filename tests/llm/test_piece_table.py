@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from array import array
 
 import pytest
 
@@ -30,6 +32,20 @@ def test_random_texts(both):
         assert table.decode(ids) == library.decode(ids), repr(text)
 
 
+def test_runs_of_spaces_and_long_words(both):
+    table, library = both
+    rnd = random.Random(8)
+    texts = [" " * 100_000, "a" + " " * 5000 + "b" + "▁" * 37, "the" * 2000, "\n" * 300 + "  \n   x"]
+    texts += ["".join(rnd.choice(["  ", "   a", "th", "e", "▁", "日", "\n", " " * 40]) for _ in range(60)) for _ in range(300)]
+    for text in texts:
+        began = time.time()
+        ids, decoded = table.packed(text)
+        assert time.time() - began < 2
+        want = library.encode(text, add_eos=True)
+        assert array("i", ids).tolist() == want, repr(text[:50])
+        assert (table.decode(want) if decoded is None else decoded) == library.decode(want)
+
+
 def test_random_ids(both):
     table, library = both
     rnd = random.Random(6)
