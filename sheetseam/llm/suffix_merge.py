@@ -42,12 +42,14 @@ SURE = LENGTH - REACH + 1
 _CHUNK_BITS = 20
 #: Bits of the map of repeated prefixes (16 MB).
 FILTER_BITS = 27
-#: Text of a sorted run, in bytes.
+#: Bytes that a task holds (texts, and 64 for each cell) before it sends a sorted run.
 RUN_BYTES = 24 << 20
+#: Shards for each one that other packed shuffles have: a shard is decoded and merged as a whole.
+FINER = 3
 
 
 class Cells:
-    """Cells of a chunk of documents: first and last window start, anchor (places in ``data``), hash of the sure bytes."""
+    """Cells of a chunk of documents: first and last window start, anchor (places in ``data``), hashes of the sure bytes and of all bytes."""
 
     def __init__(self, data: bytes, begins: np.ndarray) -> None:
         b = np.frombuffer(data, dtype=np.uint8)
@@ -79,8 +81,9 @@ class Cells:
         starts = np.flatnonzero(new)
         self.first, self.anchor = where[starts], a[starts]
         self.last = where[np.append(starts[1:], len(where)) - 1] if len(where) else where
-        sure = self.anchor + SURE
+        sure, end = self.anchor + SURE, self.last + LENGTH
         self.mark = mixed((sums[sure] - sums[self.anchor]) * down[self.anchor])
+        self.whole = mixed((sums[end] - sums[self.first]) * down[self.first])
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
@@ -183,60 +186,88 @@ def _decoded(lcp: bytes, sizes: bytes, rest: bytes) -> tuple[list[bytes], list[i
 _RUN = "shard int, lcp binary, sizes binary, rest binary, left_lcp binary, left_sizes binary, left_rest binary, count binary, doc binary, place binary, docs binary"
 
 
+class _Held:
+    """Cells of some texts until they are sent: the bytes once, and per cell its shard, chunk, places and hash."""
+
+    def __init__(self) -> None:
+        self.data: list[bytes] = []
+        self.cells: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.docs = self.size = 0
+
+    def add(self, data: bytes, begins: np.ndarray, keys: np.ndarray, offset: int, c: Cells, keep: np.ndarray, parts: int) -> None:
+        """Cells ``keep`` of a chunk; ``keys`` are those of its documents."""
+        first, anchor = c.first[keep], c.anchor[keep]
+        of = np.searchsorted(begins, first, side="right") - 1
+        shard = by_shard(mixed(c.mark[keep]), parts)
+        self.cells.append(np.stack([shard, c.whole[keep].view(np.int64), np.full(len(keep), len(self.data)), first, anchor, c.last[keep] + LENGTH, self.docs + of, anchor - begins[of] + offset]))
+        self.data.append(data)
+        self.keys.append(keys)
+        self.docs += len(keys)
+        self.size += len(data) + self.cells[-1].nbytes
+
+    def runs(self) -> Iterator[tuple]:
+        """A front-coded run per shard; the strings of one shard exist at a time, equal cells once."""
+        cells = np.concatenate(self.cells, axis=1) if self.cells else np.zeros((8, 0), np.int64)
+        cells = cells[:, np.lexsort((cells[1], cells[0]))]
+        names = np.concatenate(self.keys) if self.keys else np.zeros((0, 2), np.int64)
+        cut = np.flatnonzero(np.diff(cells[0], prepend=-1, append=-1)) if cells.shape[1] else np.zeros(1, np.int64)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            found: list[tuple[bytes, bytes, int, int]] = []
+            last = None
+            for k, (h, n, p, a, z) in enumerate(cells[1:6, i:j].T.tolist(), i):
+                cell = self.data[n][p:z]
+                if last is not None and last == (h, a - p, cell):  # equal cells follow each other
+                    found[-1] = (*found[-1][:3], k + 1)
+                    continue
+                last = (h, a - p, cell)
+                found.append((cell[a - p :], cell[: a - p][::-1], k, k + 1))
+            found.sort()
+            right, left, count, order = [], [], [], []
+            for r, l, x, y in found:
+                if right and r == right[-1] and l == left[-1]:
+                    count[-1] += y - x
+                else:
+                    right.append(r)
+                    left.append(l)
+                    count.append(y - x)
+                order.append(np.arange(x, y))
+            at = np.concatenate(order)
+            used, own = np.unique(cells[6, at], return_inverse=True)
+            yield (
+                int(cells[0, i]), *_front_coded(right), *_front_coded(left), np.array(count, dtype="<u4").tobytes(), own.astype("<u4").tobytes(),
+                cells[7, at].astype("<i8").tobytes(), names[used].astype("<i8").tobytes(),
+            )
+
+
 def _runs(texts: DataFrame, repeated, parts: int) -> DataFrame:
+    columns = [c.split()[0] for c in _RUN.split(", ")]
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(repeated.value, dtype=np.uint8)
-        held: list[tuple[int, bytes, bytes, int, int]] = []
-        keys: list[np.ndarray] = []
-        have = docs = 0
-
-        def out() -> pd.DataFrame:
-            held.sort()
-            names = np.concatenate(keys) if keys else np.zeros((0, 2), np.int64)
-            rows, i = [], 0
-            while i < len(held):
-                shard, j = held[i][0], i
-                while j < len(held) and held[j][0] == shard:
-                    j += 1
-                right, left, count = [], [], []
-                last = None
-                for e in held[i:j]:
-                    if last is not None and e[1] == last[1] and e[2] == last[2]:
-                        count[-1] += 1
-                    else:
-                        right.append(e[1])
-                        left.append(e[2])
-                        count.append(1)
-                        last = e
-                doc = np.array([e[3] for e in held[i:j]], dtype=np.int64)
-                used, own = np.unique(doc, return_inverse=True)
-                rows.append((
-                    shard, *_front_coded(right), *_front_coded(left), np.array(count, dtype="<u4").tobytes(), own.astype("<u4").tobytes(),
-                    np.array([e[4] for e in held[i:j]], dtype="<i8").tobytes(), names[used].astype("<i8").tobytes(),
-                ))
-                i = j
-            held.clear()
-            keys.clear()
-            return returned(pd.DataFrame(rows, columns=[c.split()[0] for c in _RUN.split(", ")]))
+        held = _Held()
+
+        def out() -> Iterator[pd.DataFrame]:
+            rows, size = [], 0
+            for run in held.runs():
+                rows.append(run)
+                size += sum(len(x) for x in run[1:])
+                if size > RUN_BYTES // 4:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            yield returned(pd.DataFrame(rows, columns=columns))
 
         for b in batches:
-            raw = _raw(b["text"])
-            keys.append(b[["k1", "k2"]].to_numpy(np.int64))
-            for data, begins, numbers, offset in chunks(raw):
+            keys = b[["k1", "k2"]].to_numpy(np.int64)
+            for data, begins, numbers, offset in chunks(_raw(b["text"])):  # flushed by bytes held: a batch may hold texts of any length
                 c = Cells(data, begins)
                 bit = c.mark >> np.uint64(64 - FILTER_BITS)
                 keep = np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1)
-                of = np.searchsorted(begins, c.first[keep], side="right") - 1
-                for s, p, a, z, k in zip(
-                    by_shard(mixed(c.mark[keep]), parts).tolist(), c.first[keep].tolist(), c.anchor[keep].tolist(), c.last[keep].tolist(), of.tolist(), strict=True
-                ):
-                    held.append((s, data[a : z + LENGTH], data[p:a][::-1], docs + int(numbers[k]), a - int(begins[k]) + offset))
-            docs += len(raw)
-            have += sum(map(len, raw))
-            if have >= RUN_BYTES:
-                yield out()
-                have = docs = 0
-        yield out()
+                held.add(data, begins, keys[numbers], offset, c, keep, parts)
+                if held.size >= RUN_BYTES:
+                    yield from out()
+                    held = _Held()
+        yield from out()
 
     return texts.mapInPandas(send, _RUN)
 
@@ -397,17 +428,21 @@ def _merged(g: pd.DataFrame) -> pd.DataFrame:
                 end.append(refs[run][2][i:j] - lo)
     if not names:
         return pd.DataFrame({"k1": [], "k2": [], "first": [], "last": []}).astype("int64")
-    both = np.concatenate(names)
-    return returned(pd.DataFrame({"k1": both[:, 0], "k2": both[:, 1], "first": np.concatenate(first), "last": np.concatenate(end)}))
+    both, first, end = np.concatenate(names), np.concatenate(first), np.concatenate(end)
+    order = np.lexsort((first, both[:, 1], both[:, 0]))  # ranges of one text that follow each other become one
+    both, first, end = both[order], first[order], end[order]
+    new = np.append(True, (both[1:] != both[:-1]).any(axis=1) | (first[1:] > end[:-1] + 1))
+    at = np.flatnonzero(new)
+    return returned(pd.DataFrame({"k1": both[at, 0], "k2": both[at, 1], "first": first[at], "last": np.maximum.reduceat(end, at)}))
 
 
 def _keys(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]  # the second from another seed
 
 
 def repeated_starts(docs: DataFrame, text: str) -> DataFrame:
     """Per different text (by two hashes): the sorted ranges of window starts that occur elsewhere too."""
-    parts = shards(docs.sparkSession)
+    parts = FINER * shards(docs.sparkSession)
     t = F.col(f"`{text}`")
     texts = docs.select(t.alias("text"), *_keys(t)).where(F.length("text") * 4 >= LENGTH)
     repeated = docs.sparkSession.sparkContext.broadcast(_repeated_marks(texts, parts))
@@ -430,9 +465,9 @@ def spans(starts: list | None) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` plus ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (the remaining bytes)."""
     t = F.col(f"`{text}`")
-    found = repeated_starts(docs, text)
-    keyed = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(_keys(t), ("k1", "k2"), strict=True)))
-    both = keyed.hint("merge").join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left")
+    found = repeated_starts(docs, text).select(*(F.col(c).alias(f"__suffix_{c}") for c in ("k1", "k2", "starts")))
+    keyed = docs.select("*", *(c.alias(f"__text_{n}") for c, n in zip(_keys(t), ("k1", "k2"), strict=True)))
+    both = keyed.hint("merge").join(found, (F.col("__text_k1") == F.col("__suffix_k1")) & (F.col("__text_k2") == F.col("__suffix_k2")), "left")
 
     @F.pandas_udf("n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -449,5 +484,5 @@ def without_repeats(docs: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
 
     names = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
-    done = both.select(*(F.col(f"`{c}`") for c in names), cut(t, F.col("starts")).alias("__cut"))
+    done = both.select(*(F.col(f"`{c}`") for c in names), cut(t, F.col("__suffix_starts")).alias("__cut"))
     return done.select(*(F.col(f"`{c}`") for c in names), "__cut.n_bytes", "__cut.spans", "__cut.kept")

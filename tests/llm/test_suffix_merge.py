@@ -73,6 +73,27 @@ def test_long_texts_are_cut_in_chunks(llm, monkeypatch):
     assert starts == {(i, p) for i, b in enumerate(raw) for p in range(len(b) - 199)}
 
 
+def test_small_runs_and_batches(llm, monkeypatch):
+    """Runs flushed after nearly every chunk, batches of three rows, and columns called like working ones."""
+    from sheetseam.llm.common import batches_of
+
+    monkeypatch.setattr(S, "RUN_BYTES", 2000)
+    rows = texts(4)
+    with batches_of(llm, 3):
+        check(llm, rows)
+    df = llm.createDataFrame([(t, 1, 2, 3) for t in rows], "text string, k1 int, k2 int, starts int")
+    assert S.without_repeats(df, "text").columns == ["text", "k1", "k2", "starts", "n_bytes", "spans", "kept"]
+
+
+def test_very_long_texts(llm):
+    """One character five million times is repeated in itself; a long text without repeats stays whole."""
+    rnd = random.Random(2)
+    whole = "".join(chr(97 + rnd.randrange(26)) for _ in range(1_500_000))
+    df = llm.createDataFrame([(1, "a" * 5_000_000), (2, whole), (3, "b" * 100 + whole[700_000:700_400])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, [tuple(x) for x in r.spans]) for r in S.without_repeats(df, "text").drop("kept", "text").collect()}
+    assert got == {1: (5_000_000, [(0, 5_000_000)]), 2: (1_500_000, [(700_000, 700_400)]), 3: (500, [(100, 500)])}
+
+
 def test_one_text_and_none(llm):
     check(llm, ["only one " * 100])
     check(llm, ["short"])
