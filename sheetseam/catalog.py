@@ -61,7 +61,8 @@ def regions(spark) -> DataFrame:
 def _stitched(spark, sf_dir, layer: str) -> S.StitchResult:
     src = poly if layer == "poly" else line
     kind = "polygon" if layer == "poly" else "line"
-    return _memo(f"stitch_{layer}", spark, sf_dir, lambda: S.stitch_layer(src(spark, sf_dir), "ufid", layer, kind=kind, regions=regions(spark)))
+    first = _CACHE.get((f"ns_{layer}", spark.sparkContext.applicationId, sf_dir))  # the first pass, if a query ran it
+    return _memo(f"stitch_{layer}", spark, sf_dir, lambda: S.stitch_layer(src(spark, sf_dir), "ufid", layer, kind=kind, regions=regions(spark), first=first))
 
 
 def _ns(spark, sf_dir, layer: str) -> S.PassResult:
@@ -627,7 +628,8 @@ def q_merge_pass(spark, sf_dir):
 def q_stitch_all(spark, sf_dir):
     """All layers of a store in one plan, published together; ids go on from the log of an earlier run."""
     folder = _layer_store(spark, sf_dir, "coast", "line", "poly")
-    done = runner.stitch_all(spark, folder, token="run")
+    merged = _memo("merged", spark, sf_dir, lambda: runner.merge_store(spark, folder))
+    done = runner.stitch_all(spark, folder, token="run", merged=merged)
     keys = {"coast": "coast_id", "line": "ufid", "poly": "ufid"}
     rows = [df.select(F.lit(n).alias("layer"), F.col(keys[n]).cast("long").alias("id"), F.size(F.array(*(F.col(c).cast("string") for c in df.columns if c != "geom"))).alias("n_columns")) for n, df in done.items()]
     every = rows[0]
@@ -646,8 +648,8 @@ class _Stop(Exception):
 
 def q_publish_layers(spark, sf_dir):
     """Runs that stop after each of their writes, one that is repeated, and one that another run overtakes: what the store shows after each."""
-    folder = _layer_store(spark, sf_dir, "coast", "line")
-    merged = runner.merge_store(spark, folder)
+    folder = _layer_store(spark, sf_dir, "coast", "line", "poly")
+    merged = _memo("merged", spark, sf_dir, lambda: runner.merge_store(spark, folder))
     shown = []
 
     def show(step: str) -> None:

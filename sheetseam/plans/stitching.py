@@ -60,7 +60,9 @@ def stitch_layer(
     associations: DataFrame | None = None,
     scope: str = "global",
     attrs: list[str] | None = None,
+    first: PassResult | None = None,
 ) -> StitchResult:
+    """Both passes, ids and logs; ``first`` is the north/south pass of this very layer, if it was run already."""
     spark = layer.sparkSession
     prepare_session(spark)
     kind = kind or dispatch_kind(layer)
@@ -69,10 +71,11 @@ def stitch_layer(
     op = op or default_op(kind)
     attrs = attrs if attrs is not None else attribute_columns(layer, key, name)
     out_name = OUTPUT_PREFIX + name
-    # the prepared layer feeds the candidates, the anti-join and the member join: write it once
-    df = materialize(prepare(layer, key, regions), "prepared")
-
-    p1 = run_pass(df, key, attrs, kind, op, C.NS, f"northsouth_{name}")
+    p1 = first
+    if p1 is None:
+        # the prepared layer feeds the candidates, the anti-join and the member join: write it once
+        df = materialize(prepare(layer, key, regions), "prepared")
+        p1 = run_pass(df, key, attrs, kind, op, C.NS, f"northsouth_{name}")
     mid = materialize(p1.merge.layer, "pass1")  # pass 2 reads pass 1's result: cut the lineage here
     p2 = run_pass(mid, key, attrs, kind, op, C.EW, f"eastwest_{name}")
     before = p2.merge.layer.withColumn(INTERIM_KEY, F.col(key).cast("long"))
