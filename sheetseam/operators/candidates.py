@@ -3,12 +3,11 @@
 The reference joins every feature with every other under an OR of two face
 conditions.  Here each feature is turned into *face rows* (its high face --
 north or east -- and its low face -- south or west), and high faces are
-equi-joined to low faces on ``(rounded value, attributes, bucket)``; a common crop region is a filter on
-the region bitmasks.
-``bucket`` cuts the face line into fixed-width stretches so that a hot
-``(value, attributes)`` key is spread over many tasks and only features whose
-faces overlap along the line meet; a pair is emitted once, in the bucket that
-holds the start of the overlap.
+equi-joined to low faces on ``(rounded value, attributes, stretch)``; a common crop region is a filter on the names of
+the regions.
+A face line is cut into stretches of several widths.  A face is at home in the narrowest ones that it fits into, and two faces meet in the stretches that
+the longer one is at home in, so a hot ``(value, attributes)`` key is spread over many tasks and thousands of short faces beside each other meet only
+their neighbours.  A pair is emitted once, in the stretch that holds the start of the overlap.
 
 The DE-9IM tests of the reference (``FF2F11212`` for polygons, ``FF1F00102``
 for lines) are decided relationally when the two faces are exactly equal
@@ -30,9 +29,8 @@ from sheetseam.functions import grid
 from sheetseam.schemas import INTERNAL, REGIONS
 from sheetseam.session import big_join, materialize
 
-# Width of a bucket along a sheet line (metres): half a standard sheet width, so a full-width
-# face spans three buckets while one bucket still holds only the features along 12 km of a line.
-BUCKET = 12000.0
+#: Widths (metres) of the stretches that a sheet line is cut into; the widest is half a standard sheet, of which a full-width face spans three.
+STRETCHES = (3.0, 48.0, 768.0, 12288.0)
 
 
 @dataclass(frozen=True)
@@ -123,10 +121,39 @@ def _face_rows(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: P
         cols["pts"] = F.array_distinct(F.filter(G.vertices("stg"), lambda p: p[al] == exact))
         cols["ends"] = G.path_endpoints("stg")
         cols["flat"] = F.size(on_face) > 0
-    out = df.filter(F.col(fcol)).select(*[c.alias(n) for n, c in cols.items()], *attrs)
-    b0 = F.floor(F.col("lo") / BUCKET).cast("long")
-    b1 = F.floor(F.col("hi") / BUCKET).cast("long")
-    return out.withColumn("bucket", F.explode(F.sequence(b0, b1)))
+    return df.filter(F.col(fcol)).select(*[c.alias(n) for n, c in cols.items()], *attrs)
+
+
+def _in_stretches(faces: DataFrame, high: bool) -> DataFrame:
+    """One row per stretch in which a face can meet faces of the other side.
+
+    Where the high face is the longer one, or both are at home in the same width, they meet on lane 0: the high face in its home, the low
+    one in all widths from its home on.  Where the low face is the longer one, on lane 1."""
+    last = len(STRETCHES) - 1
+    size = F.col("hi") - F.col("lo")
+    home = F.lit(last)
+    for k in range(last - 1, -1, -1):
+        home = F.when(size <= STRETCHES[k], F.lit(k)).otherwise(home)
+    places = F.array(*(F.struct(F.lit(k).alias("width"), F.lit(lane).alias("lane")) for k in range(last + 1) for lane in (0, 1)))
+    own, above = (lambda p: p["width"] == F.col("home")), (lambda p: p["width"] > F.col("home"))
+    if high:
+        used = F.filter(places, lambda p: ((p["lane"] == 0) & own(p)) | ((p["lane"] == 1) & above(p)))
+    else:
+        used = F.filter(places, lambda p: ((p["lane"] == 0) & (own(p) | above(p))) | ((p["lane"] == 1) & own(p)))
+    rows = faces.withColumn("home", home).withColumn("p", F.explode(used)).withColumns({"width": F.col("p.width"), "lane": F.col("p.lane")}).drop("p", "home")
+    metres = F.element_at(F.array(*(F.lit(w) for w in STRETCHES)), F.col("width") + 1)
+    rows = rows.withColumn("metres", metres)
+    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("metres")).cast("long"), F.floor(F.col("hi") / F.col("metres")).cast("long"))))
+
+
+def _meeting(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, match_attrs: bool = True) -> DataFrame:
+    """High faces ``h`` and low faces ``l`` of one stretch."""
+    h = _in_stretches(_face_rows(df, key, attrs, is_poly, spec, high=True), True).alias("h")
+    lo = _in_stretches(_face_rows(df, key, attrs, is_poly, spec, high=False), False).alias("l")
+    cond = [F.col(f"h.{c}") == F.col(f"l.{c}") for c in ("v", "width", "lane", "bucket")]
+    if match_attrs:
+        cond += [F.col(f"h.{a}").eqNullSafe(F.col(f"l.{a}")) for a in attrs]
+    return big_join(h, lo, cond, "inner")
 
 
 def face_join(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: PassSpec, match_attrs: bool = True) -> DataFrame:
@@ -134,24 +161,15 @@ def face_join(df: DataFrame, key: str, attrs: list[str], is_poly: bool, spec: Pa
 
     One row per unordered pair, with both sides' face data.
     """
-    h = _face_rows(df, key, attrs, is_poly, spec, high=True).alias("h")
-    lo = _face_rows(df, key, attrs, is_poly, spec, high=False).alias("l")
-    cond = [
-        F.col("h.v") == F.col("l.v"),
-        F.col("h.bucket") == F.col("l.bucket"),
-    ]
-    if match_attrs:
-        cond += [F.col(f"h.{a}").eqNullSafe(F.col(f"l.{a}")) for a in attrs]
-    j = big_join(h, lo, cond, "inner").filter(
+    return _meeting(df, key, attrs, is_poly, spec, match_attrs).filter(
         (F.col("h.k") != F.col("l.k"))
         & (F.col("h.lo") <= F.col("l.hi"))
         & (F.col("l.lo") <= F.col("h.hi"))
-        # emit a pair once: in the bucket holding the start of the overlap ...
-        & (F.floor(F.greatest(F.col("h.lo"), F.col("l.lo")) / BUCKET).cast("long") == F.col("h.bucket"))
+        # emit a pair once: in the stretch holding the start of the overlap ...
+        & (F.floor(F.greatest(F.col("h.lo"), F.col("l.lo")) / F.col("h.metres")).cast("long") == F.col("h.bucket"))
         # a pair needs a crop region in common
         & F.arrays_overlap("h.regions", "l.regions")
     )
-    return j
 
 
 def _poly_fast(h: str = "h", l: str = "l") -> Column:

@@ -153,3 +153,20 @@ def test_attributes_may_have_any_name(spark):
         out = stitch_layer(layer, "ufid", "poly", kind="polygon", scope=scope, attrs=names).layer.collect()
         assert len(out) == 1 + 2 * len(names)
         assert all(r[n] in (0, 1, 7) for r in out for n in names)
+
+
+def test_dense_faces_meet_only_their_neighbours(spark):
+    """5,000 short faces beside each other on one sheet line, and one long face over a part of them."""
+    from sheetseam.operators import candidates as C
+    from sheetseam.plans.stitching import prepare
+
+    n, step, y = 2500, 4, Y0 + H
+    rows = [(2 * k + s, "k", "a", rect(X0 + step * k, y - 10 * (1 - s), X0 + step * (k + 1), y + 10 * s)) for k in range(n) for s in (0, 1)]
+    rows.append((99_999, "k", "a", rect(X0, y, X0 + 2000, y + 50)))
+    cand = C.boundary_candidates(prepare(make_layer(spark, rows), "ufid", D.regions(spark)), True, C.NS)
+    met = C._meeting(cand, "ufid", ["kind", "cls"], True, C.NS).count()
+    pairs = {(r[0], r[1]) for r in C.face_join(cand, "ufid", ["kind", "cls"], True, C.NS).select("h.k", "l.k").collect()}
+    want = {(2 * k, 2 * j + 1) for k in range(n) for j in (k - 1, k, k + 1) if 0 <= j < n}
+    want |= {(2 * k, 99_999) for k in range(n) if step * k <= 2000}
+    assert pairs == want
+    assert met < 40 * len(want)
