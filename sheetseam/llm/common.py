@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 
 from ..session import big_join, materialize, prepare_session
 
-#: Rows per Arrow batch: texts can be long, so a batch stays small whatever their length.
+#: Rows per Arrow batch where the session does not set it; operators that hold more than a batch bound it by bytes themselves.
 BATCH_ROWS = 1000
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Package on the executors, checkpoint folder in place, small Arrow batches."""
+    """Package on the executors, checkpoint folder in place, small Arrow batches (unless the session chose a size)."""
     prepare_session(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get(_ROWS_KEY) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     return spark
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of a few large rows, for jobs that run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ROWS_KEY, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
