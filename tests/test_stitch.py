@@ -170,3 +170,25 @@ def test_dense_faces_meet_only_their_neighbours(spark):
     want |= {(2 * k, 99_999) for k in range(n) if step * k <= 2000}
     assert pairs == want
     assert met < 40 * len(want)
+
+
+def test_box_and_regions_are_worked_out_once_per_row(spark):
+    """A filter on the flags or on the regions does not repeat the geometry's expressions."""
+    from sheetseam.operators import candidates as C
+    from sheetseam.plans.stitching import prepare
+
+    layer = make_layer(spark, [(0, "k", "a", cell(0, 0)), (1, "k", "a", cell(0, 1))])
+    prepared = prepare(layer, "ufid", D.regions(spark))
+    plan = prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 2 and plan.count("array_min(") == 2
+    bare = layer.select("ufid", "kind", "cls", "geom").withColumn(C.REGIONS, F.array(F.lit("all")))
+    plan = C.boundary_candidates(bare, True, C.NS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") <= 2 and plan.count("array_min(") <= 2
+
+
+def test_sheet_wide_faces_lie_in_few_stretches(spark):
+    from sheetseam.operators import candidates as C
+
+    wide = spark.range(40).select((1_108_000.0 + 24_000 * F.col("id")).alias("lo")).withColumn("hi", F.col("lo") + 24_000)
+    rows = C._in_stretches(wide, True).count() + C._in_stretches(wide, False).count()
+    assert rows < 2 * 40 * 2
