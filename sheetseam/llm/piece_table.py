@@ -3,7 +3,7 @@
 For every prefix of a text the encoding has one last token.  It is found among the pieces that an
 Aho-Corasick automaton reports as ending there: the one that is *compatible* with the last token of
 the prefix before it, i.e. merging the two tokens' text from scratch gives just these two tokens.
-Walking back from the end of the text through the last tokens yields the ids.
+Walking back from the end of the text through the last tokens yields the ids.  The decoded text is put together from the ids' pieces.
 
 A text is cut into units that no piece can cross (no piece holds a ``▁`` after another character,
 and none holds a line feed); this is checked when the vocabulary is loaded.  Runs of ``▁`` carry equal
@@ -83,12 +83,15 @@ class PieceTable:
         self.split: dict[str, tuple[str, str]] = {}
         #: Character pairs inside some piece; no merge can cross any other pair.
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self._end = array("i", [self.eos]).tobytes()
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
         self.length = [len(p) for p in self.pieces]
+        #: Ids that do not simply show their piece.
+        self.odd = np.zeros(len(self.pieces), dtype=bool)
+        self.odd[[*self.byte_of, *self.hidden, self.unk_id]] = True
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost among equals."""
@@ -200,11 +203,12 @@ class PieceTable:
             raise AssertionError(f"no last token for a prefix of {text!r}")
         return LONE + ord(text[at])
 
-    def unit(self, text: str) -> bytes:
-        """Ids of a unit as four-byte numbers, from the last two generations of the cache if it is there."""
+    def unit(self, text: str) -> tuple[bytes, str]:
+        """Ids of a unit as four-byte numbers and the text that these ids show, from the last two generations of the cache if it is there."""
         got = self.units.get(text) or self.older.pop(text, None)
         if got is None:
-            got = array("i", self._cut(text)).tobytes()
+            ids = array("i", self._cut(text))
+            got = ids.tobytes(), self._shown(np.frombuffer(ids, np.intc))
         if len(text) < 64:
             if len(self.units) >= self.cached:
                 self.older, self.units = self.units, {}
@@ -252,8 +256,8 @@ class PieceTable:
     def packed(self, text: str) -> tuple[bytes, str]:
         """Ids as four-byte numbers, with the end id, and the text that they decode to.
 
-        Pieces spell the text and byte pieces whole characters, so units decode to themselves; only the first marker goes, if the
-        first piece begins with it."""
+        A unit's ids are decoded once with it: byte pieces of a character never lie in two units, so the units' texts make the whole; the first marker
+        goes, if the first piece begins with it."""
         marked = SPACE + text.replace(" ", SPACE) if text else ""
         units = _UNITS.findall(marked)
         found = list(map(self.units.get, units))
@@ -261,33 +265,39 @@ class PieceTable:
             for k, got in enumerate(found):
                 if got is None:
                     found[k] = self.unit(units[k])
-        found.append(self._end)
-        ids = b"".join(found)
-        starts_marked = bool(units) and self.pieces[int.from_bytes(ids[:4], sys.byteorder)].startswith(SPACE)
-        return ids, marked.replace(SPACE, " ")[starts_marked:]
+        ids = b"".join([*(i for i, _ in found), self._end])
+        shown = "".join([t for _, t in found])
+        starts_marked = bool(found) and self.pieces[int.from_bytes(ids[:4], sys.byteorder)].startswith(SPACE)
+        return ids, shown[starts_marked:]
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         ids = array("i", self.packed(text)[0]).tolist()
         return ids if end else ids[:-1]
 
-    def _shown(self, ids) -> str:
-        shown, byte_of, out, raw = self.shown, self.byte_of, [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
-                continue
-            if raw:
+    def _shown(self, ids: np.ndarray) -> str:
+        """Texts of the ids; stretches without byte pieces, control and unknown ids are joined at once."""
+        shown, byte_of, out, raw, at = self.shown.__getitem__, self.byte_of, [], bytearray(), 0
+        listed = ids.tolist()
+        for k in np.flatnonzero(self.odd[ids]).tolist():
+            i = listed[k]
+            if raw and (k > at or i not in byte_of):
                 out.append(_utf8(raw))
                 raw = bytearray()
-            if i not in self.hidden:
-                out.append(self.unk_surface if i == self.unk_id else shown[i])
+            out.extend(map(shown, listed[at:k]))
+            if i in byte_of:
+                raw.append(byte_of[i])
+            elif i == self.unk_id:
+                out.append(self.unk_surface)
+            at = k + 1
         if raw:
             out.append(_utf8(raw))
+        out.extend(map(shown, listed[at:]))
         return "".join(out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, dtype=np.intc)
         text = self._shown(ids)
-        first = next((i for i in ids if i not in self.hidden), None)
+        first = next((i for i in map(int, ids) if i not in self.hidden), None)
         return text[1:] if first is not None and first not in self.byte_of and self.pieces[first].startswith(SPACE) else text
 
 

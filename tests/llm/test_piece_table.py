@@ -88,3 +88,13 @@ def test_frame(llm, both):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
     assert piece_table.with_ids(df.where("doc_id > 5"), "text", piece_model_path()).count() == 0
+
+
+def test_decoded_text_is_read_from_the_ids(both):
+    """The decoded text shows what the ids stand for, not the text that was encoded."""
+    table = piece_table.PieceTable(piece_table.model_bytes(piece_model_path()))
+    text = "the theme 日𠀀 of the\x00 day"
+    ids = both[0].encode(text)
+    assert both[0].packed(text)[1] == text == both[1].decode(ids)
+    table.shown[ids[0]] = " THE"
+    assert table.packed(text)[1].startswith("THE")
