@@ -165,3 +165,35 @@ def test_queries_cover_their_table(llm, name):
     out = QUERIES[name](llm, SF)
     rows = {"op7_url_filter": "pages", "op10_language_id": "documents"}.get(name)
     assert rows is None or out.count() == llm.read.parquet(f"{SF}/{rows}.parquet").count()
+
+
+def test_calibration_sees_every_held_out_url(llm):
+    """All rows count: the few of one kind that come last by any order still move the fit."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=9000)
+    y = rnd.random(9000) < 1 / (1 + np.exp(-(1.7 * x - 0.6)))
+    a, b = url_model.logistic(llm.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "d double, y boolean").repartition(3))
+    pos, neg = y.sum(), len(y) - y.sum()
+    t, w = np.where(y, (pos + 1) / (pos + 2), 1 / (neg + 2)), np.where(y, 0.5 / pos, 0.5 / neg)
+    loss = lambda a, b: (w * (np.logaddexp(0, a * x + b) - t * (a * x + b))).sum()
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
+    assert url_model.logistic(llm.createDataFrame([(0.5, True)], "d double, y boolean")) is None
+
+
+def test_calibration_is_not_cut(llm):
+    rows = [(f"http://a{i}.com/x{i}", "allow") for i in range(30)] + [(f"http://b{i}.net/{i}y", "block") for i in range(30)]
+    taken = []
+
+    def seen(held):
+        taken.append(held.count())
+        return 1.0, 0.0
+
+    was, url_model.logistic = url_model.logistic, seen
+    try:
+        df = llm.createDataFrame(rows, "u string, v string")
+        url_model.train(df, "u", "v")
+        assert taken == [df.where(F.pmod(F.xxhash64("u"), F.lit(10)) == 0).count()]
+    finally:
+        url_model.logistic = was
