@@ -92,6 +92,7 @@ class PieceTable:
         #: Ids that do not simply show their piece.
         self.odd = np.zeros(len(self.pieces), dtype=bool)
         self.odd[[*self.byte_of, *self.hidden, self.unk_id]] = True
+        self.plain = [None if o else t for o, t in zip(self.odd.tolist(), self.shown, strict=True)]
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost among equals."""
@@ -207,8 +208,12 @@ class PieceTable:
         """Ids of a unit as four-byte numbers and the text that these ids show, from the last two generations of the cache if it is there."""
         got = self.units.get(text) or self.older.pop(text, None)
         if got is None:
-            ids = array("i", self._cut(text))
-            got = ids.tobytes(), self._shown(np.frombuffer(ids, np.intc))
+            ids = self._cut(text)
+            try:
+                shown = "".join(map(self.plain.__getitem__, ids))
+            except TypeError:  # a byte piece, a control or the unknown id
+                shown = self._shown(np.array(ids, np.intc))
+            got = array("i", ids).tobytes(), shown
         if len(text) < 64:
             if len(self.units) >= self.cached:
                 self.older, self.units = self.units, {}
