@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,52 +37,105 @@ MIN_DOCS, SMOOTH, UNIT = 30, 5, 1_000_000_000
 TOP_TERMS = 50
 #: Groups of a group block and terms of a term block.
 GROUPS, TERMS = 64, 4096
-#: Counts that a task holds before it hands them over, and bytes of a text that it looks at in one go.
-HELD, PIECE = 300_000, 1 << 20
+#: Bytes of texts that a task counts in one go (a row is taken as ROW bytes more), and of a longer text that it looks at in one go.
+HELD, ROW, PIECE = 6 << 20, 64, 1 << 20
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GROUP = ["lang", "source"]
+#: Letters (A-Z lower-cased) and bytes of other characters; 0 for all that separates terms.
+_LETTER = np.array([b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 0 for b in range(256)], dtype=np.uint8)
+_COUNTS = ["lang", "source", "term", "n", "docs"]
 
 
-def terms_of(text: str | None) -> Counter:
-    """Terms of a text (UTF-8 bytes) with their counts."""
-    raw, found, at = (text or "").encode("utf-8", "surrogatepass").lower(), Counter(), 0
+def _found(raw: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, piece by piece."""
+    raw, at = raw.lower(), 0
     while len(raw) - at > PIECE:  # a long text is cut behind a term
         end = _TERM.match(raw, at + PIECE)
         end = end.end() if end else at + PIECE
-        found.update(_TERM.findall(raw, at, end))
+        yield _TERM.findall(raw, at, end)
         at = end
-    found.update(_TERM.findall(raw, at))
-    return found
+    yield _TERM.findall(raw, at)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def terms_of(text: str | None) -> Counter:
+    """Terms of a text (UTF-8 bytes) with their counts."""
+    found = Counter()
+    for some in _found((text or "").encode("utf-8", "surrogatepass")):
+        found.update(some)
+    return found
 
-    def flushed() -> pd.DataFrame:
-        out = []
-        for (lang, source), (n, docs) in sums.items():
-            out.append((lang, source, "", 0, 0))  # the group occurs, with or without terms
-            out += [(lang, source, t.decode("utf-8", "surrogatepass"), c, docs[t]) for t, c in n.items()]
-        sums.clear()
-        return returned(pd.DataFrame(out, columns=["lang", "source", "term", "n", "docs"]))
 
-    held = 0
+def _row_counts(lang, source, term, n, docs) -> pa.RecordBatch:
+    text, whole = pa.string(), pa.int64()
+    return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip((lang, source, term, pa.array(n), pa.array(docs)), (text, text, text, whole, whole), strict=True)], names=_COUNTS)
+
+
+def _of_long(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Counts of one long text, looked at piece by piece."""
+    found = Counter()
+    for some in _found(row.column("text").cast(pa.binary())[0].as_py()):
+        found.update(some)
+    pick = pa.array(np.zeros(len(found) + 1, np.int64))  # the group occurs, with or without terms
+    yield _row_counts(
+        row.column("lang").take(pick), row.column("source").take(pick), pa.array([b"", *found], pa.binary()), np.array([0, *found.values()], np.int64), np.minimum(np.arange(len(found) + 1), 1)
+    )
+
+
+def _of_texts(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of some texts: their terms as one column, numbered and counted by sorting."""
+    table = pa.Table.from_batches(rows)
+    lang, source = (table[c].combine_chunks().dictionary_encode() for c in _GROUP)
+    if isinstance(lang, pa.ChunkedArray):
+        lang, source = lang.combine_chunks(), source.combine_chunks()
+    sources = len(source.dictionary)
+    group = lang.indices.to_numpy().astype(np.int64) * sources + source.indices.to_numpy()
+    texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in pc.fill_null(table["text"].cast(pa.binary()), b"").to_pylist()]
+    letters = _LETTER[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    inside = letters != 0
+    first = np.flatnonzero(np.diff(inside, prepend=False) & inside)
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[first] - 1, inside.sum()).astype(np.int32)
+    terms = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters[inside]))]).dictionary_encode()
+    doc = np.searchsorted(begins, first, side="right") - 1
+    kinds = max(1, len(terms.dictionary))
+    held, n = np.unique((group[doc] * kinds + terms.indices.to_numpy()) * len(texts) + doc, return_counts=True)
+    held, start, docs = np.unique(held // len(texts), return_index=True, return_counts=True)
+    n = np.add.reduceat(n, start) if len(start) else n
+    groups = np.unique(group)
+    of = lambda g: (lang.dictionary.take(pa.array(g // sources)), source.dictionary.take(pa.array(g % sources)))
+    yield _row_counts(*of(groups), pa.array([b""] * len(groups), pa.binary()), np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64))
+    yield _row_counts(*of(held // kinds), terms.dictionary.take(pa.array(held % kinds)), n, docs)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[pa.RecordBatch] = []
+    room = HELD
     for b in batches:
-        for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
-            n, docs = sums.setdefault((lang, source), (Counter(), Counter()))
-            before, found = len(n), terms_of(text)
-            n.update(found)
-            docs.update(found.keys())
-            held += len(n) - before
-            if held > HELD:
-                yield flushed()
-                held = 0
-    yield flushed()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW)
+        at = 0
+        while at < len(ends):
+            done = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, done + room, side="right"))
+            if to > at:
+                rows.append(b.slice(at, to - at))
+                room -= int(ends[to - 1]) - done
+                at = to
+            elif rows:
+                yield from _of_texts(rows)
+                rows, room = [], HELD
+                returned(None)
+            else:
+                yield from _of_long(b.slice(at, 1))
+                at += 1
+    if rows:
+        yield from _of_texts(rows)
+    rows = None
+    returned(None)
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences of a term in a group and documents that hold it; one row with the term '' per group."""
-    return docs.mapInPandas(_counted, "lang string, source string, term string, n long, docs long").groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _p(count: str, total: str) -> Column:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import pyarrow as pa
 
 from sheetseam.llm import divergence_cube
 
@@ -79,3 +80,24 @@ def test_long_texts_are_cut_behind_terms(monkeypatch):
     whole = divergence_cube.terms_of(text)
     monkeypatch.setattr(divergence_cube, "PIECE", 7)
     assert divergence_cube.terms_of(text) == whole == Counter({b"ab": 500, "cdé".encode(): 500, b"x" * 300: 1, b"y": 1})
+
+
+@pytest.mark.parametrize("held", [200, 700, 6 << 20])
+def test_counts_in_one_go_and_long_texts_apart(monkeypatch, held):
+    """Batches are cut by bytes; a text that is longer than a cut is counted by itself, and as one document."""
+    monkeypatch.setattr(divergence_cube, "HELD", held)
+    monkeypatch.setattr(divergence_cube, "PIECE", 50)
+    texts = ["Ab cdé, ab", None, "", "1 2", "é", "ab " * 400 + "z", "x", "\x00Q\x7fq[Q`", "ab é"]
+    rows = [{"lang": "ab"[i % 2], "source": "s" + "xyz"[i % 3], "text": t} for i, t in enumerate(texts * 3)]
+    got, want = Counter(), Counter()
+    for b in divergence_cube._counted(iter([pa.RecordBatch.from_pylist(rows[i : i + 5]) for i in range(0, len(rows), 5)])):
+        for r in b.to_pylist():
+            got[r["lang"], r["source"], r["term"], "n"] += r["n"]
+            got[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+    for r in rows:
+        for key in ("n", "docs"):
+            want[r["lang"], r["source"], "", key] += 0
+        for t, n in divergence_cube.terms_of(r["text"]).items():
+            want[r["lang"], r["source"], t.decode(), "n"] += n
+            want[r["lang"], r["source"], t.decode(), "docs"] += 1
+    assert got == want and set(got) == set(want)
