@@ -20,7 +20,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from operator import add
+from operator import add, itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,13 +32,16 @@ from .packed import returned
 SPACE = "▁"
 _UNITS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Units in each of the two generations kept per worker (results do not depend on it).
-CACHE_UNITS = 200_000
+CACHE_UNITS = 300_000
 #: The same where a worker goes on to other work, which needs the memory.
 CACHE_UNITS_BRIEF = 50_000
 
 
 #: Numbers from here on are characters without a piece.
 LONE = 1 << 21
+#: Stands before a word that follows a line feed, not a space.
+BARE = "\x00"
+_IDS, _TEXT = itemgetter(0), itemgetter(1)
 
 
 class PieceTable:
@@ -205,19 +208,23 @@ class PieceTable:
         return LONE + ord(text[at])
 
     def unit(self, text: str) -> tuple[bytes, str]:
-        """Ids of a unit as four-byte numbers and the text that these ids show, from the last two generations of the cache if it is there."""
-        got = self.units.get(text) or self.older.pop(text, None)
+        """Ids of a unit as four-byte numbers and the text that these ids show."""
+        ids = self._cut(text) if text else ()
+        try:
+            shown = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # a byte piece, a control or the unknown id
+            shown = self._shown(np.array(ids, np.intc))
+        return array("i", ids).tobytes(), shown
+
+    def word(self, word: str) -> tuple[bytes, str]:
+        """The unit of a word (see ``_words``), from the last two generations of the cache if it is there."""
+        got = self.units.get(word) or self.older.pop(word, None)
         if got is None:
-            ids = self._cut(text)
-            try:
-                shown = "".join(map(self.plain.__getitem__, ids))
-            except TypeError:  # a byte piece, a control or the unknown id
-                shown = self._shown(np.array(ids, np.intc))
-            got = array("i", ids).tobytes(), shown
-        if len(text) < 64:
+            got = self.unit(word if word == "\n" else word[1:] if word[:1] == BARE else SPACE + word)
+        if len(word) < 64:
             if len(self.units) >= self.cached:
                 self.older, self.units = self.units, {}
-            self.units[text] = got
+            self.units[word] = got
         return got
 
     def _cut(self, text: str) -> tuple[int, ...]:
@@ -263,16 +270,18 @@ class PieceTable:
 
         A unit's ids are decoded once with it: byte pieces of a character never lie in two units, so the units' texts make the whole; the first marker
         goes, if the first piece begins with it."""
-        marked = SPACE + text.replace(" ", SPACE) if text else ""
-        units = _UNITS.findall(marked)
-        found = list(map(self.units.get, units))
-        if None in found:
-            for k, got in enumerate(found):
-                if got is None:
-                    found[k] = self.unit(units[k])
-        ids = b"".join([*(i for i, _ in found), self._end])
-        shown = "".join([t for _, t in found])
-        starts_marked = bool(found) and self.pieces[int.from_bytes(ids[:4], sys.byteorder)].startswith(SPACE)
+        if BARE in text:
+            found = list(map(self.unit, _UNITS.findall(SPACE + text.replace(" ", SPACE))))
+        else:
+            words = _words(text)
+            found = list(map(self.units.get, words))
+            if None in found:
+                for k, got in enumerate(found):
+                    if got is None:
+                        found[k] = self.word(words[k])
+        ids = b"".join(map(_IDS, found)) + self._end
+        shown = "".join(map(_TEXT, found))
+        starts_marked = bool(text) and self.pieces[int.from_bytes(ids[:4], sys.byteorder)].startswith(SPACE)
         return ids, shown[starts_marked:]
 
     def encode(self, text: str, end: bool = True) -> list[int]:
@@ -306,6 +315,18 @@ class PieceTable:
         return text[1:] if first is not None and first not in self.byte_of and self.pieces[first].startswith(SPACE) else text
 
 
+def _words(text: str) -> list[str]:
+    """The units of a text without ``BARE``: a word stands for the marker and itself, after ``BARE`` for itself alone, a line feed for itself.
+
+    Where no two markers meet, cutting at the spaces gives them; the empty word is a marker alone, ``BARE`` alone is nothing."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or SPACE in text:
+        units = _UNITS.findall(SPACE + text.replace(" ", SPACE))
+        return [u[1:] if u[0] == SPACE else u if u == "\n" else BARE + u for u in units]
+    return text.replace("\n", " \n " + BARE).split(" ")
+
+
 def _utf8(raw: bytearray) -> str:
     """UTF-8 with one replacement character per byte that is not part of a valid character."""
     try:

@@ -98,3 +98,15 @@ def test_decoded_text_is_read_from_the_ids(both):
     assert both[0].packed(text)[1] == text == both[1].decode(ids)
     table.shown[ids[0]] = table.plain[ids[0]] = " THE"
     assert table.packed(text)[1].startswith("THE")
+
+
+def test_words_cut_at_spaces_are_the_units(both):
+    table, library = both
+    BARE, _words = piece_table.BARE, piece_table._words
+    whole = "to be\nor not \nto  be"
+    assert _words("to be\n or \nnot ") == ["to", "be", "\n", BARE, "or", "", "\n", BARE + "not", ""]
+    for text in (whole, " a", "a ", "\na", "a\n", "\n", " ", "  ", "a \n b", "a\n\n b", f"a{BARE}b c", f"{BARE}a a", "a▁ b", "▁", "a\n▁b", "é\n漢 x"):
+        for _ in range(2):  # the second time from the cache
+            ids = library.encode(text, add_eos=True)
+            assert table.encode(text) == ids, repr(text)
+            assert table.packed(text)[1] == library.decode(ids), repr(text)
