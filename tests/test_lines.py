@@ -131,3 +131,22 @@ def test_triple_points(spark):
         1: [("open", (0.0, 0.0), (4.0, 4.0)), ("open", (0.0, 4.0), (2.0, 2.0), (4.0, 0.0))],
         2: [("open", (0.0, 4.0), (2.0, 2.0), (4.0, 4.0))],
     }
+
+
+def test_only_groups_that_lost_a_loop_are_sewn_again(spark, monkeypatch):
+    from sheetseam.operators import lines
+
+    a, b, c, p, q = (0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (1.0, 3.0), (4.0, 3.0)
+    groups = {1: [(a, b), (b, c), (p, b)], 2: [(a, b), (b, p, q, b), (b, c)], 3: [(p, q), (p, b, q)], None: [(a, b), (b, p, q, b), (b, c)]}
+    rows = [(g, ("MULTILINESTRING", [[[{"x": x, "y": y} for x, y in path]] for path in paths])) for g, paths in groups.items()]
+    sewn, seen = lines.sewn, []
+
+    def watched(paths):
+        seen.append({r.comp for r in paths.select("comp").distinct().collect()})
+        return sewn(paths)
+
+    monkeypatch.setattr(lines, "sewn", watched)
+    out = {r.comp: [[(round(v.x, 6), round(v.y, 6)) for v in path] for part in r.geom.parts for path in part] for r in without_loops(spark.createDataFrame(rows, GEOM)).collect()}
+    assert seen == [{1, 2, 3, None}, {2}]
+    assert out[2] == [[a, b, c]] and len(out[1]) == 3 and len(out[3]) == 1 and out[3][0][0] == out[3][0][-1]
+    assert len(out[None]) == 3  # no group: left as it is
