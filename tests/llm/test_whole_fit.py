@@ -69,3 +69,25 @@ def test_long_repeats_add_up():
         at, sums = L.summed_by(to, rows, values)
         assert at.tolist() == np.unique(to).tolist()
         assert (plain[at] == sums).all()
+
+
+def test_the_pipeline_fits_all_documents(llm, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    texts, items = corpus(2500)
+    fitted = []
+    space = L.latent_space
+
+    def recorded(rows, *rest):
+        fitted.append(rows.count())
+        return space(rows, *rest)
+
+    monkeypatch.setattr(L, "latent_space", recorded)
+    llm.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(5000, "before " + items[3] + " after", "en"), (5001, None, "en"), (None, "w1 w2", None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = corpus_pipeline.decontamination(llm, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    ids = {r.doc_id for r in got.collect()}
+    assert fitted == [2502]
+    assert 5000 not in ids and {5001, None} <= ids and len(ids) > 2400
